@@ -12,7 +12,9 @@ from fanloom.stream import Bundle, PlanError, Stream, gather, group_copy, group_
 class Stage:
     """A node with `takes` input and `gives` output channels, ANY if it adapts; `a | b` connects, block(...) sets side by side."""
 
-    name, takes, gives = "stage", ANY, ANY
+    name: str
+    takes: int
+    gives: int
 
     def run(self, inputs: Bundle, n_out: int) -> Bundle:
         raise NotImplementedError
@@ -202,7 +204,8 @@ def order(nodes, edges: list[tuple[str, str]]) -> list[str]:
 
 def run_graph(nodes: dict[str, Stage], edges: list[tuple[str, str]]) -> dict[str, Bundle]:
     """Solves and runs a graph of stages; returns the outputs of the nodes without outgoing edges."""
-    sizes = dict(enumerate(solve({k: Node(s.name, s.takes, s.gives) for k, s in nodes.items()}, edges)))
+    leave = {a for a, _ in edges}
+    sizes = dict(enumerate(solve({k: Node(s.name, s.takes, s.gives if k in leave else ANY) for k, s in nodes.items()}, edges)))
     ready: dict[int, Bundle] = {}
     results = {}
     for n in order(nodes, edges):
