@@ -2,10 +2,10 @@
 
 import pytest
 
-from fanloom.plans import problems, relational, text_reports, weblog_report
+from fanloom.plans import problems, programs, relational, text_reports, weblog_report
 from tests import oracle
 
-MODULES = [problems, weblog_report, text_reports, relational]
+MODULES = [problems, weblog_report, text_reports, relational, programs]
 WITH_SQL = [(m, n) for m in MODULES for n in m.ORACLE]
 WITHOUT = [(m, n) for m in MODULES for n in m.QUERIES if n not in m.ORACLE]
 
