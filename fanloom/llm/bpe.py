@@ -1,8 +1,9 @@
 """Byte-pair encoding with the vocabulary files of public tokenizers.
 
 A text is cut into pieces by a pattern; each piece starts as a doubly linked list of its bytes. A priority queue holds the
-ranks of the merges that neighbouring symbols allow. The lowest rank, at the leftmost place, is taken next; entries whose
-symbols have changed since are stale and are skipped. So a piece of n bytes takes O(n log n), however long it is.
+ranks of the merges that neighbouring symbols allow, each with its places. The lowest rank is taken next, its places from
+left to right; places whose symbols have changed since are stale and are skipped. So a piece of n bytes takes O(n log n),
+however long it is.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import functools
 import heapq
 import json
+import re
 from array import array
 from collections.abc import Iterator
 
@@ -25,6 +27,8 @@ BYTE_BPE_50K = "/opt/tokenizers/byte_bpe_50k.json"
 
 # Fixed value: the published pattern that cuts text ahead of the merges of byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+# The same pattern where a text holds nothing but ASCII characters.
+ASCII_PATTERN = PATTERN.replace(r"\p{L}", "A-Za-z").replace(r"\p{N}", "0-9").replace(" ?A-Za-z+", " ?[A-Za-z]+").replace(" ?0-9+", " ?[0-9]+")
 
 
 def _shown_bytes() -> dict[str, int]:
@@ -47,10 +51,17 @@ class BytePairEncoder:
         self.byte_id = [0] * 256
         for c, b in shown.items():
             self.byte_id[b] = ids[c]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        #: The rank of two neighbouring symbols, as left << 20 | right; and of each rank, the two and what they make.
+        self.merges: dict[int, int] = {}
+        self.made: list[tuple[int, int, int]] = []
+        rank_of: dict[int, int] = {}
         for rank, (a, b) in enumerate(m.split(" ") if isinstance(m, str) else m for m in model["merges"]):
-            self.merges[ids[a], ids[b]] = (rank, ids[a + b])
-        self.pattern = regex.compile(PATTERN)
+            if max(rank_of.get(ids[a], -1), rank_of.get(ids[b], -1)) >= rank or ids[a + b] in rank_of:
+                raise ValueError(f"{path}: merge {rank} uses what is made later, or makes a symbol again")
+            rank_of[ids[a + b]] = rank
+            self.merges[ids[a] << 20 | ids[b]] = rank
+            self.made.append((ids[a], ids[b], ids[a + b]))
+        self.pattern, self.ascii_pattern = regex.compile(PATTERN), re.compile(ASCII_PATTERN, re.ASCII)
         #: Ids of pieces seen before; bounded, and started afresh when full.
         self.pieces: dict[str, tuple[int, ...]] = {}
         self.kept_pieces = kept_pieces
@@ -61,24 +72,43 @@ class BytePairEncoder:
     def merge(self, piece: bytes) -> list[int]:
         """The ids of one piece."""
         symbol = [self.byte_id[b] for b in piece]
-        n, merges = len(symbol), self.merges
+        n, ranked = len(symbol), self.merges.get
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        queue = [(found[0], i, found[1], symbol[i], symbol[i + 1]) for i in range(n - 1) if (found := merges.get((symbol[i], symbol[i + 1])))]
+        places: dict[int, list[int]] = {}  # of each rank in the queue, where its left symbols stand
+        queue: list[int] = []
+        for i in range(n - 1):
+            if (rank := ranked(symbol[i] << 20 | symbol[i + 1])) is not None:
+                if rank in places:
+                    places[rank].append(i)
+                else:
+                    places[rank] = [i]
+                    queue.append(rank)
         heapq.heapify(queue)
         while queue:
-            _, i, merged, left, right = heapq.heappop(queue)
-            j = after[i]
-            if symbol[i] != left or j >= n or symbol[j] != right:
-                continue  # stale: one of the two has gone into another symbol
-            symbol[i], symbol[j] = merged, -1
-            k = after[i] = after[j]
-            if k < n:
-                before[k] = i
-                if found := merges.get((merged, symbol[k])):
-                    heapq.heappush(queue, (found[0], i, found[1], merged, symbol[k]))
-            h = before[i]
-            if h >= 0 and (found := merges.get((symbol[h], merged))):
-                heapq.heappush(queue, (found[0], h, found[1], symbol[h], merged))
+            rank = heapq.heappop(queue)
+            left, right, made = self.made[rank]
+            # What a merge makes takes part in higher ranks only, so all places of a rank are merged in one go.
+            for i in sorted(places.pop(rank)):
+                j = after[i]
+                if symbol[i] != left or j >= n or symbol[j] != right:
+                    continue  # stale: one of the two has gone into another symbol
+                symbol[i], symbol[j] = made, -1
+                k, h = after[j], before[i]
+                after[i] = k
+                if k < n:
+                    before[k] = i
+                    if (new := ranked(made << 20 | symbol[k])) is not None:
+                        if new in places:
+                            places[new].append(i)
+                        else:
+                            places[new] = [i]
+                            heapq.heappush(queue, new)
+                if h >= 0 and (new := ranked(symbol[h] << 20 | made)) is not None:
+                    if new in places:
+                        places[new].append(h)
+                    else:
+                        places[new] = [h]
+                        heapq.heappush(queue, new)
         ids, i = [], 0
         while i < n:
             ids.append(symbol[i])
@@ -89,18 +119,22 @@ class BytePairEncoder:
         found = self.pieces.get(s)
         if found is None:
             found = tuple(self.merge(s.encode("utf-8")))
-            if len(s) <= 64:
+            if len(s) <= 128:
                 if len(self.pieces) >= self.kept_pieces:
                     self.pieces.clear()
                 self.pieces[s] = found
         return found
 
+    def cut(self, text: str) -> list[str]:
+        """The pieces of a text; ASCII texts by the faster engine, with the same result."""
+        return (self.ascii_pattern if text.isascii() else self.pattern).findall(text)
+
     def encode(self, text: str | None) -> list[int]:
         """Ids without special tokens; strings that look like special tokens are ordinary text; none for null and ''."""
         ids: list[int] = []
         if text:
             known = self.pieces.get
-            for s in self.pattern.findall(text):
+            for s in self.cut(text):
                 ids += known(s) or self.piece(s)
         return ids
 
@@ -108,7 +142,7 @@ class BytePairEncoder:
         if not text:
             return 0
         known = self.pieces.get
-        return sum([len(known(s) or self.piece(s)) for s in self.pattern.findall(text)])
+        return sum([len(known(s) or self.piece(s)) for s in self.cut(text)])
 
     def decode_bytes(self, ids) -> bytes:
         return b"".join(map(self.vocabulary.__getitem__, ids))

@@ -56,9 +56,9 @@ class _Offsets:
 
     def __init__(self, text: str, bpe: BytePairEncoder):
         self.text, self.bpe = text, bpe
-        spans = [m.span() for m in bpe.pattern.finditer(text)]
-        self.chars = np.array([a for a, _ in spans] + [len(text)], np.int64)
-        lengths = np.fromiter((len(bpe.piece(text[a:b])) for a, b in spans), np.int64, len(spans))
+        cut = bpe.cut(text)
+        self.chars = np.concatenate([[0], np.cumsum(np.fromiter(map(len, cut), np.int64, len(cut)))])
+        lengths = np.fromiter((len(bpe.piece(s)) for s in cut), np.int64, len(cut))
         self.tokens = np.concatenate([[0], np.cumsum(lengths)])
         self.total = int(self.tokens[-1])
         self.seen: tuple[int, np.ndarray | None] = (-1, None)  # of the last piece asked for, as it may be long
@@ -122,6 +122,8 @@ def split(text: str | None, limit: int, overlap: int, bpe: BytePairEncoder) -> l
         raise ValueError("the overlap must leave room for at least 8 tokens in the limit")
     if not text:
         return []
+    if len(text) <= limit // 4:  # a character is at most four bytes, and a token at least one
+        return [Piece(0, bpe.count(text), 0, len(text), "end")]
     at = _Offsets(text, bpe)
     if at.total <= limit:
         return [Piece(0, at.total, 0, len(text), "end")]
