@@ -94,7 +94,9 @@ def merge(cells: DataFrame) -> DataFrame:
     votes = cells.groupBy("field", "row", "cell", "candidate").agg(F.sum("total").alias("total"), F.sum("surplus").alias("surplus"))
     best = votes.groupBy("field", "row", "cell").agg(F.max_by("candidate", "surplus").alias("candidate"), F.sum("total").alias("total"), F.max("surplus").alias("best"), F.sum("surplus").alias("all"))
     left = F.greatest(2 * F.col("best") - F.col("all"), F.lit(0))
-    return best.select("field", "row", "cell", F.when(left > 0, F.col("candidate")).alias("candidate"), "total", left.alias("surplus"))
+    merged = best.select("field", "row", "cell", F.when(left > 0, F.col("candidate")).alias("candidate"), "total", left.alias("surplus"))
+    # Passed on as it is: the readers of different columns then share the plan below, and the sketch is built once.
+    return merged.mapInArrow(lambda batches: batches, _CELLS)
 
 
 def candidates(cells: DataFrame) -> DataFrame:
