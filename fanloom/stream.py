@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fanloom.session import checkpointed
@@ -48,16 +48,14 @@ def enumerate_channels(spark, n: int) -> Bundle:
     return Bundle(tuple(literal(spark, str(i)) for i in range(n)))
 
 
-def number_lines(df: DataFrame, order: list[str], name: str = "line_no") -> DataFrame:
-    """df with dense line numbers from 1 in the given order, without bringing all rows to one task.
+def number_lines(df: DataFrame, order: list, name: str = "line_no") -> DataFrame:
+    """df with dense line numbers from 1 in the given order (columns or sort expressions), without bringing all rows to one task.
 
     Rows are range-partitioned and sorted, their places within the partition are written down once, in the checkpoint
     folder, and the sizes of the partitions, one row each, shift them.
     """
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
     placed = checkpointed(ranged.withColumn("_part", F.shiftrightunsigned("_at", 33)).withColumn("_at", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))))
-    from pyspark.sql import Window
-
     sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
     shifts = sizes.withColumn("_shift", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return placed.join(F.broadcast(shifts.drop("_n")), "_part").withColumn(name, F.col("_at") + F.col("_shift") + 1).drop("_at", "_part", "_shift")
