@@ -181,7 +181,8 @@ def parse_line(value: Column) -> Column:
     def parsed(lines: pa.Array) -> pa.Array:
         return _columns([next(Grammar(s or "").records(iter([0]))) for s in lines.to_pylist()])
 
-    return parsed(value)
+    # Marked so that a filter on the result is not planned as a second evaluation.
+    return parsed.asNondeterministic()(value)
 
 
 def parse_file(text: Column) -> Column:
