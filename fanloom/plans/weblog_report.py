@@ -1,7 +1,7 @@
 """The web-log report: every section over the parsed log, with requests counted once per line number.
 
-The log is first reduced to one row per line_no. Each section is one aggregation; the summary is a single pass whose
-distinct counts Spark expands, and its derived figures are expressions over that one row.
+The log is first reduced to one row per line_no. Each section is one aggregation; the summary's figures all come from
+totals per distinct key.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fanloom.functions.scalar import parent_domain, top_level, week_day
+from fanloom.operators.hot_keys import totals_by_key
 from fanloom.operators.ordered import run_lengths, top_k, top_k_sum
 from fanloom.session import table
 
@@ -20,21 +21,30 @@ def requests(spark: SparkSession, d: str) -> DataFrame:
     return log.groupBy("line_no", "host", "url", "day", "hour").agg(F.max(F.coalesce(F.greatest("bytes", F.lit(0)), F.lit(0))).alias("bytes"))
 
 
-
 def _host_is_name():
     return ~top_level(F.col("host")).rlike("^[0-9]")
 
 
 def report_summary(spark: SparkSession, d: str) -> DataFrame:
-    one = requests(spark, d).agg(
-        F.count("*").alias("accesses"),
-        F.sum("bytes").alias("transferred"),
-        F.count_distinct("host").alias("hosts"),
-        F.count_distinct(F.when(_host_is_name(), parent_domain(F.col("host")))).alias("domains"),
-        F.count_distinct(F.when(~top_level(F.col("host")).rlike("[0-9]"), top_level(F.col("host")))).alias("top_level_domains"),
-        F.count_distinct("url").alias("pages"),
-        F.count_distinct("day").alias("days"),
+    """All figures from one pass over the requests and one over their distinct hosts, pages and days.
+
+    Counting five columns' distinct values side by side would expand every request five times up to the shuffle; here
+    requests are reduced to totals per host, page and day first, and domains are derived from the distinct hosts.
+    """
+    keyed = requests(spark, d).select("host", "url", F.coalesce(F.col("day").cast("string"), F.lit("")).alias("day"), "bytes")
+    by_key = totals_by_key(keyed, ["host", "url", "day"], ["bytes"])
+    host = F.col("field") == "host"
+    name = ~top_level(F.col("item")).rlike("^[0-9]")
+    derived = F.array(
+        F.struct(F.col("field").alias("kind"), F.col("item").alias("value")),
+        F.when(host & name, F.struct(F.lit("domain").alias("kind"), parent_domain(F.col("item")).alias("value"))),
+        F.when(host & ~top_level(F.col("item")).rlike("[0-9]"), F.struct(F.lit("top").alias("kind"), top_level(F.col("item")).alias("value"))),
     )
+    values = by_key.select(F.explode(derived).alias("k"), "requests", "bytes").where("k IS NOT NULL").groupBy("k.kind", "k.value").agg(F.sum("requests").alias("requests"), F.sum("bytes").alias("bytes"))
+    n = lambda kind: F.count_if(F.col("kind") == kind)
+    of_days = lambda c: F.sum(F.when(F.col("kind") == "day", F.col(c)))
+    days = F.count_if((F.col("kind") == "day") & (F.col("value") != ""))
+    one = values.agg(of_days("requests").alias("accesses"), of_days("bytes").alias("transferred"), n("host").alias("hosts"), n("domain").alias("domains"), n("top").alias("top_level_domains"), n("url").alias("pages"), days.alias("days"))
     return one.select(
         "accesses",
         F.round(F.col("transferred") / 2**30, 6).alias("gbytes"),
