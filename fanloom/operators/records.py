@@ -199,28 +199,33 @@ def parse_file(text: Column) -> Column:
     return parsed(text)
 
 
-def parsed_lines(lines: DataFrame, line: str = "value", ids: list[str] | None = None) -> tuple[DataFrame, str]:
-    """lines with one more column, a struct as RECORD, and that column's name: `record`, numbered if the name is taken.
-
-    With ids, rows that were delivered again with the same ids are parsed once; which delivery stays is not set. Null ids
-    are ids like any other.
-    """
-    once = lines.dropDuplicates(ids) if ids else lines
+def parsed_lines(lines: DataFrame, line: str = "value") -> tuple[DataFrame, str]:
+    """lines with one more column, a struct as RECORD, and that column's name: `record`, numbered if the name is taken."""
     name = free_name("record", lines.columns)
-    return once.withColumn(name, parse_line(F.col(line))), name
+    return lines.withColumn(name, parse_line(F.col(line))), name
 
 
 def rejected(lines: DataFrame, line: str = "value", ids: list[str] | None = None) -> DataFrame:
-    """The lines that cannot be loaded: (ids or all columns of lines, reason, error_at)."""
-    df, name = parsed_lines(lines.select(*ids, line) if ids else lines, line, ids)
-    return df.where(F.col(f"{name}.reason").isNotNull()).select(*(ids or lines.columns), F.col(f"{name}.reason").alias(free_name("reason", ids or lines.columns)), F.col(f"{name}.error_at").alias(free_name("error_at", ids or lines.columns)))
+    """The lines that cannot be loaded: (ids or all columns of lines, reason, error_at).
+
+    With ids, a row that was delivered again in full, with the same ids and text, counts once; null ids are ids like any
+    other. Lines are read where they lie, and only the bad ones are compared, so lines that load never move.
+    """
+    keep = ids or lines.columns
+    df, name = parsed_lines(lines.select(*ids, line) if ids else lines, line)
+    reason, error_at = (F.col(f"{name}.{c}").alias(free_name(c, lines.columns)) for c in ("reason", "error_at"))
+    bad = df.where(F.col(f"{name}.reason").isNotNull()).select(*df.columns[:-1], reason, error_at)
+    out = bad.distinct() if ids else bad
+    return out.select(*[F.col(c) for c in keep], *[F.col(c).alias(free_name(n, keep)) for c, n in zip(bad.columns[-2:], ("reason", "error_at"))])
 
 
 def loaded(lines: DataFrame, line: str = "value", ids: list[str] | None = None) -> DataFrame:
     """The lines that load, as typed rows: (ids, host, ident, auth_user, ts, tz, method, url, protocol, status, bytes).
 
-    Names of ids that clash with a typed column keep theirs; the typed column is numbered.
+    With ids, rows delivered again in full count once. Names of ids that clash with a typed column keep theirs; the typed
+    column is numbered.
     """
-    df, name = parsed_lines(lines.select(*(ids or []), line), line, ids)
+    raw = lines.select(*(ids or []), line)
+    df, name = parsed_lines(raw.distinct() if ids else raw, line)
     typed = [F.col(f"{name}.{f.name}").alias(free_name(f.name, ids or [])) for f in RECORD[:-2]]
     return df.where(F.col(f"{name}.reason").isNull()).select(*(ids or []), *typed)
