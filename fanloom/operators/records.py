@@ -20,11 +20,8 @@ from pyspark.sql import types as T
 
 from fanloom.session import free_name
 
-_BLANKS = re.compile(r"[ \t]+")
-_PLAIN = re.compile(r"[^ \t]+")
+_FIELD = re.compile(r'(\[[^\]]*\](?=[ \t]|\Z)|"(?:[^"\\]|\\.)*"(?=[ \t]|\Z)|[^ \t]+)[ \t]*', re.S)
 _QUOTES = re.compile(r'(\\*)"')
-_BRACKETED = re.compile(r"\[[^\]]*\]")
-_QUOTED = re.compile(r'"(?:[^"\\]|\\.)*"', re.S)
 _NAME = re.compile(r"[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]+)*\.?")
 _NUMERIC = re.compile(r"[0-9.]+")
 _IPV4 = re.compile(r"(?:[0-9]+\.){3}[0-9]+\.?")
@@ -70,10 +67,8 @@ class Grammar:
         fields = []
         while self.at < end:
             fields.append(self.field())
-            if not self.blanks():
-                break
-        if len(fields) != 7 or self.at < end:
-            raise Bad("columns", self.at if self.at < end else end)
+        if len(fields) != 7:
+            raise Bad("columns", fields[7][1] if len(fields) > 7 else end)
         (host, at), (ident, _), (user, _), (time, _), (request, request_at), (status, _), (size, size_at) = fields
         if not self.is_host(host):
             raise Bad("host", at)
@@ -83,7 +78,11 @@ class Grammar:
 
     def quotes(self) -> None:
         """Either no unescaped quote, or two that stand as a field of their own."""
-        found = [m.end() - 1 for m in _QUOTES.finditer(self.text, self.at, self.end) if len(m[1]) % 2 == 0]
+        text = self.text
+        if text.count('"', self.at, self.end) == 2 and text.find("\\", self.at, self.end) < 0:
+            found = [text.index('"', self.at), text.rindex('"', self.at, self.end)]
+        else:
+            found = [m.end() - 1 for m in _QUOTES.finditer(text, self.at, self.end) if len(m[1]) % 2 == 0]
         if not found:
             return
         if len(found) != 2:
@@ -94,23 +93,14 @@ class Grammar:
         if second + 1 < self.end and self.text[second + 1] not in " \t":
             raise Bad("quoting", second)
 
-    def blanks(self) -> bool:
-        m = _BLANKS.match(self.text, self.at, self.end)
-        if m:
-            self.at = m.end()
-        return m is not None
-
     def field(self) -> tuple[str, int]:
-        """A bracketed or quoted run that blanks or the end follow, else a run without blanks; with its position."""
-        begun, c = self.at, self.text[self.at]
-        run = _BRACKETED if c == "[" else _QUOTED if c == '"' else None
-        m = run and run.match(self.text, begun, self.end)
-        if not m or (m.end() < self.end and self.text[m.end()] not in " \t"):
-            m = _PLAIN.match(self.text, begun, self.end)
+        """A bracketed or quoted run that blanks or the end follow, else a run without blanks, with its position; blanks after it are passed."""
+        begun = self.at
+        m = _FIELD.match(self.text, begun, self.end)
         if not m:  # a blank where a field should begin
             raise Bad("columns", begun)
         self.at = m.end()
-        return m[0], begun
+        return m[1], begun
 
     @staticmethod
     def is_host(s: str) -> bool:
