@@ -13,31 +13,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fanloom.session import shuffle_partitions
+from fanloom.session import free_name, shuffle_partitions
 
 
 def bucket_counts(df: DataFrame, identifier: Column, groups: dict[str, Column], sets: list[tuple[str, ...]], buckets: int | None = None) -> DataFrame:
     """(bucket, in_set, group columns, n): distinct identifiers per bucket, for each set of groups.
 
     in_set is the position in `sets`; groups outside a set are null there. Rows with a null identifier take no part; a
-    null group is a group of its own. By default there are four buckets per shuffle partition.
+    null group is a group of its own. By default there are four buckets per shuffle partition. Groups called bucket,
+    in_set or n keep their names, and those columns are numbered.
     """
     buckets = buckets or 4 * shuffle_partitions(df.sparkSession)
     names = list(groups)
-    pairs = df.select(identifier.alias("_id"), *[c.alias(n) for n, c in groups.items()]).where(F.col("_id").isNotNull()).distinct()
-    placed = pairs.withColumn("bucket", F.pmod(F.xxhash64("_id"), F.lit(buckets)).cast("int")).repartition("bucket")
+    bucket, in_set, n = _names(names)
+    pairs = df.select(identifier.alias("_id"), *[c.alias(g) for g, c in groups.items()]).where(F.col("_id").isNotNull()).distinct()
+    placed = pairs.withColumn(bucket, F.pmod(F.xxhash64("_id"), F.lit(buckets)).cast("int")).repartition(bucket)
     types = dict(pairs.dtypes)
-    combined = F.explode(F.array(*[F.struct(F.lit(i).alias("in_set"), *[(F.col(n) if n in s else F.lit(None).cast(types[n])).alias(n) for n in names]) for i, s in enumerate(sets)])).alias("c")
-    once = placed.select("bucket", "_id", combined).select("bucket", "_id", "c.*").distinct()
-    return once.groupBy("bucket", "in_set", *names).agg(F.count("*").alias("n"))
+    combined = F.explode(F.array(*[F.struct(F.lit(i).alias(in_set), *[(F.col(g) if g in s else F.lit(None).cast(types[g])).alias(g) for g in names]) for i, s in enumerate(sets)])).alias("_c")
+    once = placed.select(bucket, "_id", combined).select(bucket, "_id", "_c.*").distinct()
+    return once.groupBy(bucket, in_set, *names).agg(F.count("*").alias(n))
 
 
-def add_buckets(counts: DataFrame) -> DataFrame:
+def _names(groups: list[str]) -> tuple[str, ...]:
+    return tuple(free_name(x, groups) for x in ("bucket", "in_set", "n"))
+
+
+def add_buckets(counts: DataFrame, groups: list[str]) -> DataFrame:
     """(in_set, group columns, n) over all buckets."""
-    names = [c for c in counts.columns if c not in ("bucket", "n")]
-    return counts.groupBy(*names).agg(F.sum("n").alias("n"))
+    _, in_set, n = _names(groups)
+    return counts.groupBy(in_set, *groups).agg(F.sum(n).alias(n))
 
 
 def distinct_counts(df: DataFrame, identifier: Column, groups: dict[str, Column], sets: list[tuple[str, ...]], buckets: int | None = None) -> DataFrame:
     """Exact distinct counts for each set of groups; an empty table gives no rows."""
-    return add_buckets(bucket_counts(df, identifier, groups, sets, buckets))
+    return add_buckets(bucket_counts(df, identifier, groups, sets, buckets), list(groups))

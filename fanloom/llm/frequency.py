@@ -123,7 +123,8 @@ def key_frequencies(df: DataFrame, key: Column, weight: Column, record: str, ids
     A row is a distinct combination of ids. Rows with a null or empty key, or a null weight or one below 1, take no part.
     A record that holds a key several times counts once as a record.
     """
-    once = df.select(*ids, F.col(record).alias("_record"), key.alias("term"), weight.cast("bigint").alias("weight")).dropDuplicates(ids)
+    named = [f"_id{i}" for i in range(len(ids))]
+    once = df.select(*[F.col(c).alias(n) for c, n in zip(ids, named)], F.col(record).alias("_record"), key.alias("term"), weight.cast("bigint").alias("weight")).dropDuplicates(named)
     valid = once.where((F.col("term") != "") & (F.col("weight") >= 1))
     per_record = valid.groupBy("_record", "term").agg(F.sum("weight").alias("weight"))
     return sum_by_range(keys_by_block(per_record)), df.agg(F.count_distinct(record)).scalar()

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fanloom.llm.bpe import BYTE_BPE_50K, token_count
-from fanloom.session import broadcast_if_bounded
+from fanloom.session import broadcast_if_bounded, free_name
 
 
 def measured(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", path: str = BYTE_BPE_50K) -> DataFrame:
@@ -43,16 +43,19 @@ def _fraction(seed: int, *ids: Column) -> Column:
 def copies(docs: DataFrame, plan: DataFrame, seed: int = 17) -> DataFrame:
     """docs (doc_id, source and any other columns) with `copies`, how often each goes into the mixture; those of no source in plan are left out.
 
-    Null ids are ids like any other, so documents without one are used or left out together.
+    Null ids are ids like any other, so documents without one are used or left out together. The new column is numbered
+    if its name is taken.
     """
-    whole = F.floor("rate")
-    drawn = (_fraction(seed, F.col("doc_id")) < F.col("rate") - whole).cast("bigint")
-    return docs.join(broadcast_if_bounded(plan.select("source", "rate")), "source").withColumn("copies", whole + drawn).drop("rate")
+    whole = F.floor("_rate")
+    drawn = (_fraction(seed, F.col("doc_id")) < F.col("_rate") - whole).cast("bigint")
+    rated = docs.join(broadcast_if_bounded(plan.select("source", F.col("rate").alias("_rate"))), "source")
+    return rated.withColumn(free_name("copies", docs.columns), whole + drawn).drop("_rate")
 
 
 def mixture(docs: DataFrame, plan: DataFrame, seed: int = 17) -> DataFrame:
     """The documents of the mixture, one row per use, numbered by `use` from 1."""
-    return copies(docs, plan, seed).where(F.col("copies") > 0).withColumn("use", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("copies")
+    n, use = free_name("copies", docs.columns), free_name("use", docs.columns)
+    return copies(docs, plan, seed).where(F.col(n) > 0).withColumn(use, F.explode(F.sequence(F.lit(1), F.col(n).cast("int")))).drop(n)
 
 
 def reached(docs: DataFrame, plan: DataFrame, seed: int = 17) -> DataFrame:
@@ -60,7 +63,7 @@ def reached(docs: DataFrame, plan: DataFrame, seed: int = 17) -> DataFrame:
 
     The share is 0 where the whole mixture is empty.
     """
-    held = copies(docs, plan, seed).groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("mixed_tokens"))
+    held = copies(docs.select("doc_id", "source", "tokens"), plan, seed).groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("mixed_tokens"))
     table = plan.join(held, "source", "left").withColumn("mixed_tokens", F.coalesce("mixed_tokens", F.lit(0)))
     total = F.sum("mixed_tokens").over(Window.partitionBy(F.lit(0)))
     return table.withColumn("mixed_share", F.coalesce(F.col("mixed_tokens") / F.nullif(total, F.lit(0)), F.lit(0.0)))

@@ -49,7 +49,10 @@ def test_blocks_are_bounded_and_add_up(spark, small_batches):
 def test_key_frequencies(spark):
     rows = [(1, 1, 5, " k\t"), (1, 1, 5, " k\t"), (1, 2, 1, "k\r"), (2, 1, 2, "k"), (3, 1, None, "k"), (3, 2, 0, "k"), (3, 3, -1, "k"), (4, 1, 9, None), (5, 1, 9, "  "), (6, 1, 1, "a b"), (None, None, 2, "K")]
     df = spark.createDataFrame(rows, "channel int, seq long, value long, key string")
+    clash = df.select("channel", F.col("seq").alias("weight"), "value", "key", F.lit(1).alias("term"))
+    again, _ = frequency.key_frequencies(clash, F.btrim("key", F.lit(" \t\r")), F.col("value"), "channel", ["channel", "weight"])
     got = {r.term: (r.occurrences, r.records, r.mark) for r in frequency.merged_keys(df).collect()}
+    assert {r.term: (r.occurrences, r.records) for r in again.collect()} == {k: v[:2] for k, v in got.items()}
     assert got == {"k": (8, 2, None), "a b": (1, 1, "rare"), "K": (2, 1, "rare")}
 
 
@@ -99,4 +102,6 @@ def test_bucket_counts_of_other_buckets_add_up(spark):
     counts = distinct.bucket_counts(df, F.col("u"), {}, [()], buckets=8)
     assert counts.count() > 4
     halves = counts.where("bucket < 4").unionByName(counts.where("bucket >= 4"))
-    assert distinct.add_buckets(halves).collect()[0].n == 97
+    assert distinct.add_buckets(halves, []).collect()[0].n == 97
+    odd = distinct.distinct_counts(df, F.col("u"), {"n": F.col("u"), "bucket": F.lit(1)}, [("n",), ("bucket",)])
+    assert odd.columns == ["in_set", "n", "bucket", "n_1"] and odd.where("in_set = 1").collect()[0].n_1 == 97

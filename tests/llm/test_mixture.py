@@ -53,6 +53,8 @@ def test_empty_tables_and_clashing_names(spark, made):
     assert mixture(docs, rates(docs, targets.limit(0))).count() == 0
     assert {r.mixed_share for r in reached(docs.limit(0), rates(docs.limit(0), targets)).collect()} == {0.0}
     odd = spark.createDataFrame([(None, "big", "text", 5, 5), (1, None, None, 5, 5)], "doc_id long, source string, text string, tokens long, rate long")
+    clash = docs.withColumns({c: F.lit(0) for c in ("rate", "copies", "use")})
+    assert mixture(clash, rates(docs, targets)).columns[-1] == "use_1" and mixture(clash, rates(docs, targets)).count() == mixture(docs, rates(docs, targets)).count()
     assert [tuple(r) for r in measured(odd).collect()] == [(None, "big", 1), (1, None, 0)]
 
 
