@@ -22,9 +22,10 @@ class Stage:
     def __or__(self, other: Stage) -> Stage:
         return Pipe(self, other)
 
-    def sized(self, n_in: int, n_out: int) -> tuple[int, int]:
-        """The numbers of channels given what the surroundings fix; ANY where they do not."""
-        return unify(self.takes, n_in, self.name, "its input") if self.takes != ANY or n_in != ANY else ANY, unify(self.gives, n_out, self.name, "its output") if self.gives != ANY or n_out != ANY else ANY
+    def least(self, side: str) -> int:
+        """The fewest channels it `takes` or `gives`."""
+        n = getattr(self, side)
+        return 1 if n == ANY else n
 
     def leaves(self) -> list[Stage]:
         return [self]
@@ -33,7 +34,7 @@ class Stage:
         """Runs the graph over the given channels."""
         n_in = unify(self.takes, len(streams), self.name, "the input")
         out = self.gives if n_out == ANY else n_out
-        return self.run(Bundle(tuple(streams)), 1 if out == ANY else out) if n_in == len(streams) else Bundle()
+        return self.run(Bundle(tuple(streams)), self.least("gives") if out == ANY else out) if n_in == len(streams) else Bundle()
 
 
 @dataclass
@@ -44,6 +45,8 @@ class Function(Stage):
     takes: int = 1
     gives: int = 1
     name: str = ""
+    reads: frozenset[str] = frozenset()  # stored values it uses
+    writes: frozenset[str] = frozenset()  # and defines
 
     def __post_init__(self):
         self.name = self.name or getattr(self.fn, "__name__", "function")
@@ -112,8 +115,13 @@ class Pipe(Stage):
 
     def run(self, inputs: Bundle, n_out: int) -> Bundle:
         between = unify(self.left.gives, self.right.takes, self.left.name, self.right.name)
+        if self.left.gives == self.right.takes == ANY:
+            between = max(self.left.least("gives"), self.right.least("takes"))
         return self.right.run(self.left.run(inputs, between), n_out)
 
+    def least(self, side: str) -> int:
+        return (self.left if side == "takes" else self.right).least(side)
+
     def leaves(self) -> list[Stage]:
         return self.left.leaves() + self.right.leaves()
 
@@ -132,9 +140,12 @@ class Block(Stage):
         total = lambda ns: ANY if ANY in ns else sum(ns)
         self.takes, self.gives = total([m.takes for m in self.members]), total([m.gives for m in self.members])
 
+    def least(self, side: str) -> int:
+        return sum(m.least(side) for m in self.members)
+
     def _shares(self, fixed: list[int], n: int, what: str) -> list[int]:
         """n channels over the members: the fixed ones theirs, one for each other, what remains to the first of those."""
-        shares = [1 if x == ANY else x for x in fixed]
+        shares = [m.least(what) for m in self.members]
         rest = n - sum(shares)
         if rest < 0 or (rest and ANY not in fixed):
             raise PlanError(f"{self.name} {what} {sum(shares)} channels where there are {n}")
@@ -145,11 +156,21 @@ class Block(Stage):
     def run(self, inputs: Bundle, n_out: int) -> Bundle:
         ins = self._shares([m.takes for m in self.members], len(inputs), "takes")
         outs = self._shares([m.gives for m in self.members], n_out, "gives")
-        made, at = [], 0
-        for m, a, b in zip(self.members, ins, outs):
-            made += m.run(Bundle(inputs.streams[at : at + a]), b).streams
-            at += a
-        return Bundle(tuple(made))
+        begins = [sum(ins[:i]) for i in range(len(ins))]
+        made = {i: self.members[i].run(Bundle(inputs.streams[begins[i] : begins[i] + ins[i]]), outs[i]).streams for i in self._readers_last()}
+        return Bundle(tuple(s for i in range(len(ins)) for s in made[i]))
+
+    def _readers_last(self) -> list[int]:
+        """Members in an order in which a stored value is written before it is read, wherever the two stand."""
+        used = lambda m, what: frozenset().union(*[getattr(x, what, frozenset()) for x in m.leaves()])
+        left, done = list(range(len(self.members))), []
+        while left:
+            ready = [i for i in left if not any(used(self.members[i], "reads") & used(self.members[j], "writes") for j in left if j != i)]
+            if not ready:
+                raise PlanError(f"stores are read and written in a cycle by {', '.join(self.members[i].name for i in left)}")
+            done += ready
+            left = [i for i in left if i not in ready]
+        return done
 
     def leaves(self) -> list[Stage]:
         return [x for m in self.members for x in m.leaves()]

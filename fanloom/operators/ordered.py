@@ -61,6 +61,35 @@ def running(df: DataFrame, order: str, sums: dict[str, Column], by: tuple[str, .
     return joined.drop("_chunk", *[f"_v_{n}" for n in names], *[f"_s_{n}" for n in names])
 
 
+def last_match(df: DataFrame, order: str, hits: dict[str, Column], by: tuple[str, ...] = (), inclusive: bool = True, chunk: int = CHUNK) -> DataFrame:
+    """df with, for each condition, the order of the last record so far that meets it, with the record itself or before it; null if none."""
+    by, names = list(by), list(hits)
+    rows = _chunked(df, order, chunk)
+    for n, c in hits.items():
+        rows = rows.withColumn(f"_v_{n}", F.when(c, F.col(order)))
+    near = Window.partitionBy(*by, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    far = (Window.partitionBy(*by) if by else Window).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy(*by, "_chunk").agg(*[F.max(f"_v_{n}").alias(f"_t_{n}") for n in names])
+    before = ends.select(*by, "_chunk", *[F.max(f"_t_{n}").over(far).alias(f"_s_{n}") for n in names])
+    for n in names:
+        rows = rows.withColumn(n, F.max(f"_v_{n}").over(near))
+    joined = _with_summary(rows, before, by, [f"_s_{n}" for n in names])
+    for n in names:
+        joined = joined.withColumn(n, F.coalesce(F.col(n), F.col(f"_s_{n}")))
+    return joined.drop("_chunk", *[f"_v_{n}" for n in names], *[f"_s_{n}" for n in names])
+
+
+def pattern_range(df: DataFrame, order: str, begins: Column, ends: Column, by: tuple[str, ...] = (), chunk: int = CHUNK) -> DataFrame:
+    """Records from one that begins a range to the next one after it that ends it, both included; ranges may follow each other.
+
+    An open range runs to the last record. A record that meets both conditions begins a range, or continues the one it is in.
+    """
+    started = last_match(df, order, {"_begun": F.coalesce(begins, F.lit(False))}, by, True, chunk)
+    only_ends = F.coalesce(ends, F.lit(False)) & ~F.coalesce(begins, F.lit(False))
+    both = last_match(started, order, {"_ended": only_ends}, by, False, chunk)
+    return both.where(F.col("_begun").isNotNull() & (F.col("_ended").isNull() | (F.col("_begun") > F.col("_ended")))).drop("_begun", "_ended")
+
+
 def squeeze(df: DataFrame, order: str, value: str, by: tuple[str, ...] = (), chunk: int = CHUNK) -> DataFrame:
     """Records whose value differs from the one before: repeats are dropped only where they follow each other."""
     rows = previous(df, order, value, by, "_previous", chunk)

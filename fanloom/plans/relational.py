@@ -140,6 +140,12 @@ def previous_events(spark: SparkSession, d: str) -> DataFrame:
     return ordered.previous(table(spark, d, "events"), "event_id", "event_type", ("user_id",), "before", 1024).select("event_id", "before")
 
 
+def ranges_of_events(spark: SparkSession, d: str) -> DataFrame:
+    """Each user's events from a signup to the next error."""
+    events = table(spark, d, "events").select("event_id", "user_id", "event_type")
+    return ordered.pattern_range(events, "event_id", F.col("event_type") == "signup", F.col("event_type") == "error", ("user_id",), chunk=2048)
+
+
 def last_records(spark: SparkSession, d: str) -> DataFrame:
     return record_window(table(spark, d, "events"), "event_id", 20, 5).select("event_id", "event_type")
 
@@ -245,7 +251,7 @@ QUERIES = {
     for f in (
         events_by_user, value_by_user, events_by_hour, events_by_week_day, join_orders_customers, join_repeated_keys, rows_of_repeated_keys, only_left, only_right, in_both, unused_parts, union_of_keys,
         reorder_columns, cut_ranges, cut_several_outputs, fields_and_numbers, paste_channels, compare_channels, edit_script, three_way_difference, edit_scripts_by_file, consecutive_distinct, run_lengths_all,
-        running_counters, previous_events, last_records, last_days, first_records, stored_ratios, percent_of_total, fused_totals, placed_from_both_sides, presence_by_day, numeric_order, order_from_field,
+        running_counters, previous_events, ranges_of_events, last_records, last_days, first_records, stored_ratios, percent_of_total, fused_totals, placed_from_both_sides, presence_by_day, numeric_order, order_from_field,
         scalar_functions, host_parts, transform_of_vectors, tumbling_hours, sliding_hours, event_sessions,
     )
 }
@@ -295,6 +301,10 @@ SELECT run, any_value(event_type) AS event_type, count(*) AS length, min(event_i
     "running_counters": """SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS nlines,
  coalesce(sum(strlen(coalesce(event_type, '')) + 1) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS nbytes, event_type AS data FROM events""",
     "previous_events": "SELECT event_id, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events",
+    "ranges_of_events": """WITH m AS (SELECT event_id, user_id, event_type, max(CASE WHEN event_type = 'signup' THEN event_id END) OVER w AS s,
+  max(CASE WHEN event_type = 'error' THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS e
+  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING))
+SELECT event_id, user_id, event_type FROM m WHERE s IS NOT NULL AND (e IS NULL OR s > e)""",
     "last_records": "SELECT event_id, event_type FROM (SELECT *, row_number() OVER (ORDER BY event_id DESC) AS r FROM events) WHERE r > 5 AND r <= 20",
     "last_days": "SELECT event_id, event_type FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 3 DAY AND ts <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY",
     "first_records": "SELECT event_id, event_type FROM (SELECT *, row_number() OVER (ORDER BY event_id) AS a, row_number() OVER (ORDER BY event_id DESC) AS z FROM events) WHERE a <= 7 OR z <= 7",

@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from fanloom.arity import ANY
 from fanloom.graph import Function, Stage, cat, perm, tee
 from fanloom.operators import compare, match, ordered, project, totals
-from fanloom.sources.files import read_lines
-from fanloom.stream import Bundle, PlanError, Stream, enumerate_channels, literal, number_lines
+from fanloom.sources.files import read_lines, write_to_all
+from fanloom.store import Stores, last_record, record_window
+from fanloom.stream import Bundle, PlanError, Stream, enumerate_channels, gather, literal, number_lines
 
 
 def _v():
@@ -184,6 +185,37 @@ def enumerate_stage(spark: SparkSession, n: int) -> Stage:
     return Function(lambda: enumerate_channels(spark, n), 0, n, "enumerate")
 
 
+def pecho(spark: SparkSession, *args: str) -> Stage:
+    """Its input, if it has one, and then its words as one record."""
+
+    def run(*s: Stream) -> Stream:
+        own = literal(spark, " ".join(args))
+        return own if not s else gather(Bundle((numbered(s[0]), own)))
+
+    return Function(run, ANY, 1, "pecho")
+
+
+def sql(spark: SparkSession, text: str, n_in: int = 1, order: tuple[str, ...] = ("value",)) -> Stage:
+    """A query over its inputs, which the text names {in1}, {in2} and so on."""
+    return Function(lambda *s: Stream(spark.sql(text, **{f"in{i}": x.df for i, x in enumerate(s, 1)}), order), n_in, 1, "sql")
+
+
+def write(*paths: str, append: bool = False) -> Stage:
+    """Takes a stream to files, and gives none."""
+    return Function(lambda s: write_to_all(s.df, list(paths), append=append), 1, 0, "write")
+
+
+def store_write(stores: Stores, name: str, begin: int = 1, end: int = 0) -> Stage:
+    """Keeps the last record of its input, or a window of records counted from the end, under a name; gives no stream."""
+    kept = lambda s: last_record(s) if (begin, end) == (1, 0) else record_window(numbered(s).df, "line_no", begin, end)
+    return Function(lambda s: stores.write(name, lambda: kept(s)), 1, 0, f"store {name}", writes=frozenset([name]))
+
+
+def store_read(spark: SparkSession, stores: Stores, name: str, column: str = "value") -> Stage:
+    """A stored value as a stream of one record; in a block it may stand before the member that writes it."""
+    return Function(lambda: Stream(stores.read(name).select(F.col(column).cast("string").alias("value")), ("value",)), 0, 1, f"read {name}", reads=frozenset([name]))
+
+
 def _number_list(text: str) -> list[tuple[int, int]]:
     return [(int(a), int(b or a)) for a, _, b in (x.partition("-") for x in text.split(","))]
 
@@ -240,7 +272,7 @@ def registry(spark: SparkSession) -> dict[str, Callable[[list[str]], Stage]]:
         "sort": made_sort, "uniq": made_uniq, "wc": made_count, "grep": made_grep, "join": made_join, "cut": made_cut,
         "head": lambda a: head(lines(a)), "tail": lambda a: tail(lines(a)), "comm": lambda a: comm("".join(x[1:] for x in a if x.startswith("-"))), "paste": lambda a: paste(options(a, "d")[0].get("d", "\t")),
         "diff": lambda a: diff(), "diff3": lambda a: diff3(), "cmp": lambda a: cmp(), "cat": lambda a: cat(), "tee": lambda a: tee(), "words": lambda a: words(), "merge-sum": lambda a: merge_sum(),
-        "perm": lambda a: perm(*map(int, a[0].split(","))), "echo": lambda a: echo(spark, *a), "read": lambda a: read(spark, *a), "enumerate": lambda a: enumerate_stage(spark, int(a[0])),
+        "perm": lambda a: perm(*map(int, a[0].split(","))), "echo": lambda a: echo(spark, *a), "pecho": lambda a: pecho(spark, *a), "read": lambda a: read(spark, *a), "enumerate": lambda a: enumerate_stage(spark, int(a[0])),
     }
 
 

@@ -97,6 +97,24 @@ def test_order_dependent_operators_across_chunks(spark):
     assert ordered.run_lengths(df.limit(0), "n", "v").count() == 0
 
 
+def test_pattern_range(spark):
+    rng = random.Random(8)
+    marks = [rng.choice("se.....") for _ in range(300)]
+    df = spark.createDataFrame([(i * 2, m, "k") for i, m in enumerate(marks)], "n long, v string, k string")
+    want, inside = [], False
+    for i, m in enumerate(marks):
+        if not inside and m == "s":
+            inside = True
+            want.append(i * 2)
+        elif inside:
+            want.append(i * 2)
+            inside = m != "e"
+    for chunk in (1, 13, 1 << 20):
+        for by in ((), ("k",)):
+            assert sorted(r.n for r in ordered.pattern_range(df, "n", F.col("v") == "s", F.col("v") == "e", by, chunk).collect()) == want
+    assert ordered.pattern_range(df.limit(0), "n", F.col("v") == "s", F.col("v") == "e").count() == 0
+
+
 def test_context(spark):
     df = text(spark, *["x" if i in (1, 10, 11) else "-" for i in range(1, 16)])
     out = ordered.context(df, "line_no", F.col("value") == "x", 1, 2)
@@ -191,6 +209,8 @@ def test_totals(spark):
 def test_monitor(spark):
     out = monitor(text(spark, "ab", None, "é"), "line_no", "value").orderBy("line_no").collect()
     assert [(r.nlines, r.nbytes, r.data) for r in out] == [(0, 0, "ab"), (1, 3, None), (2, 4, "é")]
+    timed = spark.sql("SELECT 1L AS n, TIMESTAMP '2021-03-01 00:00:01.5' AS t, 'x' AS v UNION ALL SELECT 2L, TIMESTAMP '2021-03-01 00:00:03', 'y'")
+    assert [r.rtime for r in monitor(timed, "n", "v", time="t").orderBy("n").collect()] == [0.0, 1.5]
     assert as_json(text(spark, 'a"/'), "line_no", "value").collect()[0].value == '{"line_no":1,"value":"a\\"/"}'
 
 

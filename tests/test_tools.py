@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from fanloom.graph import block, cat, from_text, run_graph, tee
 from fanloom.serve import StoreServer
 from fanloom.stream import PlanError, literal
-from fanloom.tools import comm, cut, diff, grep, grep_listed, join, paste, pipeline, registry, sort, values
+from fanloom.store import Stores
+from fanloom.tools import comm, count, cut, diff, echo, grep, grep_listed, join, paste, pipeline, registry, sort, sql, store_read, store_write, values, write
 
 A = ["", "1", "2", "3", "4", "5", "6"]
 B = ["", "3", "3", "4", "4", "5"]
@@ -84,3 +85,23 @@ def test_store_server(spark):
             get("missing")
     finally:
         server.quit()
+
+
+def test_stored_values_in_a_graph(spark):
+    stores = Stores()
+    g = tee() | block(echo(spark, "lines:"), store_read(spark, stores, "n"), count() | store_write(stores, "n"), tee()) | cat()
+    assert values(g(lines(spark, ["a", "b"]))) == [["lines:", "2", "a", "b"]]
+    stores = Stores()
+    window = block(store_write(stores, "w", 3, 1), store_read(spark, stores, "w"))
+    assert sorted(values(window(lines(spark, list("abcd"))))[0]) == ["b", "c"]
+    stores = Stores()
+    with pytest.raises(PlanError, match="cycle"):
+        block(store_read(spark, stores, "x") | store_write(stores, "y"), store_read(spark, stores, "y") | store_write(stores, "x"))()
+
+
+def test_sql_words_and_files(spark, tmp_path):
+    a, b = lines(spark, ["x", "y"]), lines(spark, ["y", "z"])
+    assert values(sql(spark, "SELECT value FROM {in1} WHERE value IN (SELECT value FROM {in2})", 2)(a, b)) == [["y"]]
+    assert values(pipeline(spark, "pecho done")(a)) == [["x", "y", "done"]] and values(pipeline(spark, "pecho a b")()) == [["a b"]]
+    assert len((tee() | block(write(str(tmp_path / "1"), str(tmp_path / "2")), tee()))(a)) == 1
+    assert spark.read.text(str(tmp_path / "2")).count() == 2
