@@ -70,8 +70,17 @@ def test_sketch_bounds_hold(spark, small_batches):
         want = {x for x, c in counts.items() if c >= share * 9000}
         found = heavy.frequent(df, ["f"], share)
         assert want <= {r["item"] for r in found.collect()}
-        exact = {r["item"]: r["count"] for r in heavy.exact(df, found, ["f"]).collect()}
-        assert {x for x, c in exact.items() if c >= share * 9000} == want and all(counts[x] == c for x, c in exact.items())
+        exact = {r["item"]: r["count"] for r in heavy.frequent_exactly(df, ["f"], share).collect()}
+        assert exact == {x: counts[x] for x in want}
+
+
+def test_items_hidden_by_others_are_found(spark):
+    """Two cells a row for ten items of a tenth each."""
+    df = spark.createDataFrame([(f"w{i % 10}", f"v{i % 7}" if i % 2 else None) for i in range(1000)], "f string, g string")
+    assert heavy.frequent(df, ["f"], 0.1, bits=1).count() < 10
+    exact = heavy.frequent_exactly(df, ["f", "g"], 0.1, bits=1).collect()
+    assert sorted((r.field, r["item"], r["count"]) for r in exact) == sorted([("f", f"w{i}", 100) for i in range(10)] + [("g", f"v{i}", sum(1 for k in range(1, 1000, 2) if k % 7 == i)) for i in range(7)])
+    assert heavy.frequent_exactly(df.limit(0), ["f"], 0.1).count() == 0
 
 
 def test_sketches_of_parts_merge(spark):
