@@ -64,8 +64,9 @@ def match_pattern_table(df: DataFrame, value: str, patterns: DataFrame, pattern:
     """
     words = patterns.select(F.lower(F.col(pattern)).alias("_word")).where(F.col("_word") != "").distinct()
     if word:
-        exploded = df.withColumn("_word", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(value)), F.lit("[a-z0-9_]+"), F.lit(0)))))
-        return exploded.join(broadcast_if_bounded(words), "_word", "left_semi").drop("_word").distinct()
+        # Lines are numbered where they lie, so that each comes back once, and lines alike stay apart.
+        each = df.withColumn("_line", F.monotonically_increasing_id()).withColumn("_word", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(value)), F.lit("[a-z0-9_]+"), F.lit(0)))))
+        return each.join(broadcast_if_bounded(words), "_word", "left_semi").drop("_word").dropDuplicates(["_line"]).drop("_line")
     listed = [r[0] for r in patterns.select(pattern).where(F.col(pattern) != "").distinct().limit(1001).collect()]
     if len(listed) > 1000:
         raise PlanError("match: more than 1000 strings; match them as whole words")

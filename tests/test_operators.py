@@ -145,6 +145,8 @@ def test_matching(spark):
             match.multi_match(df, "file", hit, bad)
     patterns = spark.createDataFrame([("CAT",), ("",), (None,)], "p string")
     assert match.match_pattern_table(df, "value", patterns, "p", word=True).count() == 2
+    twice = df.unionAll(df)
+    assert match.match_pattern_table(twice, "value", patterns.unionAll(spark.createDataFrame([("a",)], "p string")), "p", word=True).count() == 6
     assert match.match_pattern_table(df, "value", patterns.select(F.lower("p").alias("p")), "p").count() == 2
     assert [r.value for r in match.only_matching(text(spark, "a1b22", None), "value", "[0-9]+").collect()] == ["1", "22"]
     assert {r.file for r in match.files_with(df, "file", hit, matching=False).collect()} == {"g", "h"}
