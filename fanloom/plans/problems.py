@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from fanloom.functions.weblog import host_key, request_minute
 from fanloom.operators.hot_keys import hot_keys, weblog_totals
 from fanloom.operators.records import loaded, rejected
 from fanloom.operators.sessions import activity, gap_tree, sessions_at, weblog_sessions
-from fanloom.session import table
-from pyspark.sql import functions as F
-
-from fanloom.functions.weblog import host_key, request_minute
+from fanloom.session import spread_scan, table
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -38,12 +37,16 @@ def p3_totals(spark: SparkSession, d: str) -> DataFrame:
     return weblog_totals(table(spark, d, "web_log_report")).select("field", "item", "requests", "bytes")
 
 
+def _raw_log(spark: SparkSession, d: str) -> DataFrame:
+    return spread_scan(table(spark, d, "raw_log").select("line_id", "value"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return rejected(table(spark, d, "raw_log"), ids=["line_id"]).select("line_id", "reason")
+    return rejected(_raw_log(spark, d), ids=["line_id"]).select("line_id", "reason")
 
 
 def p6_loaded(spark: SparkSession, d: str) -> DataFrame:
-    return loaded(table(spark, d, "raw_log"), ids=["line_id"]).select("line_id", "host", "method", "url", "status", "bytes")
+    return loaded(_raw_log(spark, d), ids=["line_id"]).select("line_id", "host", "method", "url", "status", "bytes")
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_sessions, p2_settings, p3_found, p3_totals, p6_found, p6_loaded)}

@@ -45,6 +45,16 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread_scan(df: DataFrame) -> DataFrame:
+    """A plain scan over at least as many tasks as the cluster has cores, ahead of costly work on each row.
+
+    Only a table in fewer splits than cores, a small one, is shuffled for that. Not for plans with shuffles of their own,
+    which would have to run to be counted.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def broadcast_if_bounded(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
     """df with a broadcast hint if it has at most max_rows rows, else unchanged, so that the join shuffles.
 
