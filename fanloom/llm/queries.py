@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fanloom.functions.weblog import area, host_key, url_key
 from fanloom.llm import bpe, distinct, frequency, heavy, mixture, pieces
 from fanloom.operators.hot_keys import distinct_records
-from fanloom.session import checkpointed, table
+from fanloom.session import checkpointed, spread_scan, table
 
 
 def _frequencies(spark: SparkSession, d: str) -> DataFrame:
@@ -57,18 +57,22 @@ def p5_counts(spark: SparkSession, d: str) -> DataFrame:
     return _host_counts(spark, d).select(F.col("day").cast("string").alias("day"), "area", "in_set", "n")
 
 
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return spread_scan(table(spark, d, "documents").select("doc_id", "source", "text"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", bpe.encode(F.col("text")).alias("ids"))
+    return _documents(spark, d).select("doc_id", bpe.encode(F.col("text")).alias("ids"))
 
 
 def p7_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Documents whose text does not come back from its ids; there should be none."""
-    docs = table(spark, d, "documents").select("doc_id", "text", bpe.encode(F.col("text")).alias("ids"))
+    docs = _documents(spark, d).select("doc_id", "text", bpe.encode(F.col("text")).alias("ids"))
     return docs.withColumn("back", bpe.decode(F.col("ids"))).where(F.col("back") != F.coalesce("text", F.lit(""))).select("doc_id")
 
 
 def _plan(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    docs = mixture.measured(table(spark, d, "documents"))
+    docs = mixture.measured(_documents(spark, d))
     return docs, mixture.rates(docs, table(spark, d, "mix_targets"))
 
 
@@ -78,23 +82,23 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     """Targets and what the mixture really reaches; the documents are tokenised once and their sizes kept."""
-    docs = checkpointed(mixture.measured(table(spark, d, "documents")))
+    docs = checkpointed(mixture.measured(_documents(spark, d)))
     return mixture.reached(docs, mixture.rates(docs, table(spark, d, "mix_targets")))
 
 
 def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
     """The documents of the mixture, one row per use."""
-    docs = checkpointed(mixture.measured(table(spark, d, "documents")))
+    docs = checkpointed(mixture.measured(_documents(spark, d)))
     return mixture.mixture(docs, mixture.rates(docs, table(spark, d, "mix_targets")))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    cut = pieces.split_documents(table(spark, d, "documents"), 1024, 64, with_text=False)
+    cut = pieces.split_documents(_documents(spark, d), 1024, 64, with_text=False)
     return cut.where((F.col("pieces") > 1) & (F.col("piece") == 0)).select("doc_id")
 
 
 def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
-    return pieces.split_documents(table(spark, d, "documents"), 1024, 64)
+    return pieces.split_documents(_documents(spark, d), 1024, 64)
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_frequencies, p4_found, p4_bounds, p5_found, p5_counts, p7_ids, p7_round_trip, p8_found, p8_shares, p8_mixture, p9_found, p9_pieces)}
