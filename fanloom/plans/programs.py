@@ -140,12 +140,12 @@ QUERIES = {
 
 _LINES = "WITH lines AS (SELECT DISTINCT path, line_no, value FROM text_lines)"
 ORACLE = {
-    "labelled_tables": "SELECT 1 AS channel, 1 AS line_no, 'Regions' AS value UNION ALL SELECT 2, r_regionkey, r_name FROM region UNION ALL SELECT 3, 1, 'Nations' UNION ALL SELECT 4, n_nationkey, n_name FROM nation",
+    "labelled_tables": "SELECT 1 AS channel, 1::BIGINT AS line_no, 'Regions' AS value UNION ALL SELECT 2, r_regionkey, r_name FROM region UNION ALL SELECT 3, 1, 'Nations' UNION ALL SELECT 4, n_nationkey, n_name FROM nation",
     "copied_and_placed": """WITH six AS (SELECT p, CASE WHEN p % 2 = 1 THEN 'r' ELSE 'n' END AS t, 2 - p % 2 AS second FROM generate_series(1, 6) AS g(p))
 SELECT CASE WHEN p % 2 = 1 THEN 1 ELSE 2 END AS channel, p || ':' || v AS value, count(*) AS n
 FROM six JOIN (SELECT 'n' AS t, n_name AS v FROM nation UNION ALL SELECT 'r', r_name FROM region) USING (t) GROUP BY 1, 2""",
-    "numbered_matrix": "SELECT r AS channel, string_agg(r || '.' || c, chr(9) ORDER BY c) AS value FROM generate_series(1, 5) AS a(r), generate_series(1, 5) AS b(c) GROUP BY r",
-    "channel_numbers": "SELECT i + 1 AS channel, i::VARCHAR AS value FROM generate_series(0, 5) AS g(i)",
+    "numbered_matrix": "SELECT r::INTEGER AS channel, string_agg(r || '.' || c, chr(9) ORDER BY c) AS value FROM generate_series(1, 5) AS a(r), generate_series(1, 5) AS b(c) GROUP BY r",
+    "channel_numbers": "SELECT (i + 1)::INTEGER AS channel, i::VARCHAR AS value FROM generate_series(0, 5) AS g(i)",
     "scattered_totals": "SELECT o_orderstatus, count(*) AS value FROM orders GROUP BY 1",
     "contribution_report": "SELECT 'author' AS report, author_id::VARCHAR AS item, count(*) AS count FROM documents WHERE author_id IS NOT NULL GROUP BY 2 UNION ALL SELECT 'day', strftime(created, '%a'), count(*) FROM documents WHERE created IS NOT NULL GROUP BY 2",
     "contribution_plot": """WITH c AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1), r AS (SELECT user_id, row_number() OVER (ORDER BY n, user_id) AS r, count(*) OVER () AS m FROM c)

@@ -290,7 +290,7 @@ ORACLE = {
     "cut_several_outputs": "SELECT 1 AS channel, concat_ws(',', p_partkey, p_name) AS value FROM part UNION ALL SELECT 2, concat_ws(',', p_type, p_size) FROM part",
     "fields_and_numbers": """WITH f AS (SELECT DISTINCT line_id, file_name, value, list_filter(string_split_regex(regexp_replace(value, '\\r+$', ''), '[ \\t]+'), lambda x: x <> '') AS f FROM raw_log)
 SELECT line_id, coalesce(f[1], '') AS first, coalesce(TRY_CAST(regexp_extract(f[-1], '^[+-]?[0-9]+') AS BIGINT), 0) AS last, len(f)::INTEGER AS n_fields FROM f WHERE line_id IS NOT NULL AND f IS NOT NULL""",
-    "paste_channels": "SELECT n_nationkey + 1 AS line_no, concat_ws(chr(9), coalesce(r_name, ''), n_name, coalesce(r_name, '')) AS value FROM nation LEFT JOIN region ON n_nationkey = r_regionkey",
+    "paste_channels": "SELECT (n_nationkey + 1)::BIGINT AS line_no, concat_ws(chr(9), coalesce(r_name, ''), n_name, coalesce(r_name, '')) AS value FROM nation LEFT JOIN region ON n_nationkey = r_regionkey",
     "compare_channels": "SELECT count(*) FILTER (WHERE o_orderkey % 1000 = 999) = 0 AS identical, min(o_orderkey) FILTER (WHERE o_orderkey % 1000 = 999) AS line_no FROM orders",
     "edit_scripts_by_file": """WITH t AS (SELECT DISTINCT path, line_no, value FROM text_lines), r AS (SELECT path, count(*) FILTER (WHERE line_no % 10 = 0) AS removed FROM t GROUP BY path)
 SELECT path, 2 * removed AS n, removed FROM r WHERE removed > 0""",
