@@ -42,6 +42,27 @@ def underline(title: Column) -> Column:
     return F.repeat(F.lit("-"), F.length(title))
 
 
+def tag_text(value: Column, tag: str) -> Column:
+    """What stands between <tag> and </tag> on a line; null if they do not."""
+    hit = f"<{tag}>([^<]*)</{tag}>"
+    return F.when(value.rlike(hit), F.regexp_extract(value, hit, 1))
+
+
+def delete_characters(value: Column, characters: str) -> Column:
+    return F.translate(value, characters, "")
+
+
+def squeeze_characters(value: Column, characters: str) -> Column:
+    """Runs of one of the characters shortened to a single one."""
+    one = "[" + "".join("\\" + c if not c.isalnum() and c > " " else c for c in characters) + "]"
+    return F.regexp_replace(value, f"({one})\\1+", "$1")
+
+
+def keep_characters(value: Column, characters: str, instead: str = "") -> Column:
+    """Runs of other characters replaced, each run by one `instead`; characters is the inside of a character class, such as A-Za-z."""
+    return F.regexp_replace(value, f"[^{characters}]+", instead)
+
+
 def strip_comments(code: Column) -> Column:
     """Program text with strings and characters emptied, and comments taken out."""
     escaped = F.regexp_replace(code, r"\\[\\\"']", "@")

@@ -82,6 +82,23 @@ def venue_comparison(spark: SparkSession, d: str) -> DataFrame:
     return compare.lookup(papers, compare.compare_counts(pick("question"), pick("answer")))
 
 
+def bibliography_comparison(lines: DataFrame, first: str, second: str, order: str = "line_no", value: str = "value") -> DataFrame:
+    """One row (first_records, second_records, only_first, only_second, both) for two kinds of records in the lines of a bibliography.
+
+    A record runs from a line `<... key="KIND...` to the next line with <title>; its authors are on lines of their own.
+    Authors are compared as multisets, one for each time a record names them.
+    """
+    v = F.col(value)
+    authors, counts = [], []
+    for kind in (first, second):
+        begins = v.startswith("<") & F.contains(v, F.lit(f'key="{kind}'))
+        kept = ordered.pattern_range(lines.select(order, value), order, begins, F.contains(v, F.lit("<title>")))
+        authors.append(kept.select(scalar.tag_text(v, "author").alias("author")).where("author IS NOT NULL"))
+        counts.append(kept.agg(F.count_if(match.matches(v, "^<.* mdate=.* key=")).alias("n")).scalar())
+    both = compare.compare_counts(*authors)
+    return both.select(counts[0].alias("first_records"), counts[1].alias("second_records"), F.col("only_left").alias("only_first"), F.col("only_right").alias("only_second"), "both")
+
+
 def moved_files(spark: SparkSession, d: str) -> DataFrame:
     """(name, from_folder, to_folder): files of the first hierarchy with a line in common with a file of that name in the second.
 

@@ -216,6 +216,22 @@ def test_monitor(spark):
     assert as_json(text(spark, 'a"/'), "line_no", "value").collect()[0].value == '{"line_no":1,"value":"a\\"/"}'
 
 
+def test_character_functions(spark):
+    one = lambda c: spark.range(1).select(c).collect()[0][0]
+    assert one(scalar.tag_text(F.lit("<a>x</a> <b>y</b>"), "b")) == "y" and one(scalar.tag_text(F.lit("<b>"), "b")) is None
+    assert one(scalar.delete_characters(F.lit("a-b-c"), "-c")) == "ab" and one(scalar.squeeze_characters(F.lit("aa  bb]]--"), " ]-")) == "aa bb]-"
+    assert one(scalar.keep_characters(F.lit("a1, b"), "A-Za-z", "_")) == "a_b"
+
+
+def test_bibliography(spark):
+    from fanloom.plans.programs import bibliography_comparison
+
+    record = lambda key, *names: [f'<article mdate="2002" key="{key}/1">', *[f"<author>{n}</author>" for n in names], "<title>t</title>", "<author>not this</author>", "</article>"]
+    df = text(spark, *record("x/a", "A", "B"), *record("y/b", "B", "C"), *record("z", "D"), *record("x/a", "A"), *record("y/b", "A"))
+    assert tuple(bibliography_comparison(df, "x/a", "y/b").collect()[0]) == (2, 2, 1, 1, 2)
+    assert tuple(bibliography_comparison(df.limit(0), "x", "y").collect()[0]) == (0, 0, 0, 0, 0)
+
+
 def test_shared(spark):
     with shared(spark.range(3), 2) as kept:
         assert kept.is_cached and kept.count() == 3
