@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from fanloom.session import broadcast_if_bounded
 from fanloom.stream import PlanError
 
+_BLOCK = 1 << 14
+
 
 def join_fields(left: DataFrame, right: DataFrame, left_key: str, right_key: str, key: str = "key") -> DataFrame:
     """Inner join: the key, the rest of the left, the rest of the right; every pair of equal keys. Clashing names of the right get `_2`."""
@@ -44,7 +46,9 @@ def compare_sets(left: DataFrame, right: DataFrame, distinct: bool = False) -> t
         both = both.withColumn("_l", F.least("_l", F.lit(1).cast("bigint"))).withColumn("_r", F.least("_r", F.lit(1).cast("bigint")))
 
     def times(n: Column) -> DataFrame:
-        return both.withColumn("_n", n).where("_n > 0").select(*names, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_n"))).alias("_i")).drop("_i")
+        # In blocks, so that a value that occurs a billion times needs no array of that length.
+        blocks = both.withColumn("_n", n).where("_n > 0").select(*names, "_n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_n") - 1) / _BLOCK))).alias("_b"))
+        return blocks.select(*names, F.explode(F.sequence(F.lit(1).cast("bigint"), F.least(F.lit(_BLOCK).cast("bigint"), F.col("_n") - F.col("_b") * _BLOCK)))).select(*names)
 
     return times(F.col("_l") - F.col("_r")), times(F.col("_r") - F.col("_l")), times(F.least("_l", "_r"))
 

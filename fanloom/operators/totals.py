@@ -54,15 +54,20 @@ def sum_of_field(text: Column) -> Column:
     return F.coalesce(F.sum(number(text)), F.lit(0))
 
 
-def listed(df: DataFrame, key: str, item: str, separator: str = " ") -> DataFrame:
-    """Items of each key on one line, in order. A key's list is one value, so this is for keys of few items each."""
-    return df.groupBy(key).agg(F.array_join(F.array_sort(F.collect_list(item)), separator).alias("items"), F.count("*").alias("n"))
+def listed(df: DataFrame, key: str, item: str, separator: str = " ", least: int = 1, most: int = 10_000) -> DataFrame:
+    """(key, part, items, n): items of each key that has at least `least`, in order on one line; n is the key's number of items.
 
+    A key of many more than `most` items gets several lines, numbered by `part`, so that no list grows with the data;
+    which line an item is on depends on its hash. Null keys take no part.
+    """
+    counts = df.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    part = F.pmod(F.xxhash64(item), F.ceil(F.col("n") / most)).cast("int").alias("part")
+    return df.join(counts, key).groupBy(key, part, "n").agg(F.array_join(F.array_sort(F.collect_list(item)), separator).alias("items")).select(key, "part", "items", "n")
 
-def same_content(files: DataFrame, path: str, content: str) -> DataFrame:
-    """Paths of equal content on one line: (digest, items, n) for contents that occur more than once."""
-    hashed = files.select(F.md5(F.col(content).cast("binary")).alias("digest"), path)
-    return listed(hashed, "digest", path).where("n > 1")
+
+def same_content(files: DataFrame, path: str, content: str, most: int = 10_000) -> DataFrame:
+    """Paths of equal content together: (digest, part, items, n) for contents that occur more than once."""
+    return listed(files.select(F.md5(F.col(content).cast("binary")).alias("digest"), path), "digest", path, least=2, most=most)
 
 
 def compressed_sizes(files: DataFrame, content: str, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -79,11 +84,10 @@ def compressed_sizes(files: DataFrame, content: str, keep: tuple[str, ...] = ())
 
 
 def presence(df: DataFrame, day: str, item: str) -> DataFrame:
-    """(day, items): the sorted items seen on every day from the first to the last, days without any included."""
-    seen = df.groupBy(day).agg(F.array_sort(F.collect_set(item)).alias("items"))
+    """(day, item): the items seen on every day from the first to the last, once each; a null item on days without any."""
     span = df.agg(F.min(day).alias("a"), F.max(day).alias("b")).where("a IS NOT NULL")
     calendar = span.select(F.explode(F.sequence("a", "b")).alias(day))
-    return calendar.join(seen, day, "left").withColumn("items", F.coalesce("items", F.array().cast(seen.schema["items"].dataType)))
+    return calendar.join(df.select(day, item).distinct(), day, "left")
 
 
 def text_kind(content: Column) -> Column:

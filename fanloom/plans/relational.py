@@ -190,8 +190,7 @@ def placed_from_both_sides(spark: SparkSession, d: str) -> DataFrame:
 
 def presence_by_day(spark: SparkSession, d: str) -> DataFrame:
     days = table(spark, d, "events").where("event_type = 'purchase' AND value > 150").select(F.to_date("ts").alias("day"), "user_id")
-    found = totals.presence(days, "day", "user_id")
-    return found.select("day", F.array_join(F.transform("items", lambda x: x.cast("string")), " ").alias("items"))
+    return totals.presence(days, "day", "user_id")
 
 
 def numeric_order(spark: SparkSession, d: str) -> DataFrame:
@@ -314,9 +313,9 @@ SELECT event_id, user_id, event_type FROM m WHERE s IS NOT NULL AND (e IS NULL O
  count(*) FILTER (WHERE l_extendedprice < 2000) AS cheap, sum(l_quantity::BIGINT)::BIGINT AS quantity, coalesce(sum(l_quantity::BIGINT) FILTER (WHERE l_quantity > 45), 0)::BIGINT AS large_quantity FROM lineitem""",
     "placed_from_both_sides": """WITH c AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1), r AS (SELECT user_id, row_number() OVER (ORDER BY n, user_id) AS r, count(*) OVER () AS m FROM c)
 SELECT user_id, CASE WHEN r % 2 = 1 THEN (r - 1) // 2 ELSE m - r // 2 END AS place FROM r""",
-    "presence_by_day": """WITH p AS (SELECT ts::DATE AS day, user_id FROM events WHERE event_type = 'purchase' AND value > 150), s AS (SELECT day, string_agg(user_id::VARCHAR, ' ' ORDER BY user_id) AS items FROM (SELECT DISTINCT day, user_id FROM p) GROUP BY day),
+    "presence_by_day": """WITH p AS (SELECT DISTINCT ts::DATE AS day, user_id FROM events WHERE event_type = 'purchase' AND value > 150),
  c AS (SELECT unnest(generate_series((SELECT min(day) FROM p), (SELECT max(day) FROM p), INTERVAL 1 DAY))::DATE AS day)
-SELECT day, coalesce(items, '') AS items FROM c LEFT JOIN s USING (day)""",
+SELECT day, user_id FROM c LEFT JOIN p USING (day)""",
     "numeric_order": "SELECT p_size || ' ' || p_name AS value FROM part ORDER BY p_size DESC, value DESC LIMIT 20",
     "order_from_field": "SELECT concat_ws(' ', p_partkey, p_brand, p_type) AS value FROM part ORDER BY ' ' || p_brand || ' ' || p_type, value LIMIT 20",
     "scalar_functions": """SELECT p_partkey, p_name AS base, 'data/' || p_brand AS folder, regexp_replace(p_name, '[aeiou]', '#') AS first_replaced, lower(p_brand) AS lowered, repeat('-', length(p_name)) AS line,

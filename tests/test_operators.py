@@ -20,6 +20,7 @@ def test_multiset_comparison(spark):
     one = lambda xs: spark.createDataFrame([(x,) for x in xs], "v string")
     got = [sorted((r.v or repr(r.v)) for r in df.collect()) for df in compare.compare_sets(one(a), one(b))]
     assert got == [sorted(["''", "x", "x", "y"]), ["None", "z"], ["None", "x"]]
+    assert compare.compare_sets(one(["x"] * 20_000 + ["y"] * 16_384), one(["x"] * 2 + ["z"]))[0].groupBy("v").count().orderBy("v").collect() == [("x", 19_998), ("y", 16_384)]
     assert tuple(compare.compare_counts(one(a), one(b)).collect()[0]) == (4, 2, 2)
     assert tuple(compare.compare_counts(one([]), one([])).collect()[0]) == (0, 0, 0)
     assert [df.count() for df in compare.compare_sets(one(a), one(b), distinct=True)] == [2, 1, 2]
@@ -204,7 +205,9 @@ def test_totals(spark):
     sizes = totals.compressed_sizes(text(spark, "a" * 1000, None), "value", ("line_no",)).orderBy("line_no").collect()
     assert sizes[0].bytes == 1000 and sizes[0].gzip < 100 and sizes[1].bytes == 0
     days = spark.sql("SELECT DATE '2021-03-01' AS d, 1 AS u UNION ALL SELECT DATE '2021-03-03', 2")
-    assert [(str(r.d), r["items"]) for r in totals.presence(days, "d", "u").orderBy("d").collect()] == [("2021-03-01", [1]), ("2021-03-02", []), ("2021-03-03", [2])]
+    assert [(str(r.d), r.u) for r in totals.presence(days.unionAll(days), "d", "u").orderBy("d").collect()] == [("2021-03-01", 1), ("2021-03-02", None), ("2021-03-03", 2)]
+    many = totals.listed(spark.range(500).select(F.lit("k").alias("k"), F.col("id").cast("string").alias("v")), "k", "v", most=50).collect()
+    assert len(many) == 10 and {r.n for r in many} == {500} and sorted(int(x) for r in many for x in r["items"].split()) == list(range(500))
     assert totals.presence(days.limit(0), "d", "u").count() == 0
 
 
