@@ -56,17 +56,23 @@ def multi_match(df: DataFrame, file: str, hit: Column, outputs: list[str], value
     return [made[o]() for o in outputs]
 
 
-def match_pattern_table(df: DataFrame, value: str, patterns: DataFrame, pattern: str, word: bool = False) -> DataFrame:
-    """Lines that hold at least one of the fixed strings in a table of patterns.
+def match_pattern_table(df: DataFrame, value: str, patterns: DataFrame, pattern: str, word: bool = False, ids: list[str] | None = None) -> DataFrame:
+    """Lines that hold at least one of the fixed strings in a table of patterns; lines alike stay apart.
 
-    Whole words meet the patterns in an equi-join, however many there are. Other strings have to be looked for in each
-    line; a list of bounded size is put into one expression, and a longer one is refused.
+    Whole words meet the patterns in an equi-join, however many there are; ids, all columns by default, tell lines apart,
+    and only they come back from it. Other strings have to be looked for in each line; a list of bounded size is put into
+    one expression, and a longer one is refused.
     """
     words = patterns.select(F.lower(F.col(pattern)).alias("_word")).where(F.col("_word") != "").distinct()
     if word:
-        # Lines are numbered where they lie, so that each comes back once, and lines alike stay apart.
-        each = df.withColumn("_line", F.monotonically_increasing_id()).withColumn("_word", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(value)), F.lit("[a-z0-9_]+"), F.lit(0)))))
-        return each.join(broadcast_if_bounded(words), "_word", "left_semi").drop("_word").dropDuplicates(["_line"]).drop("_line")
+        ids = ids or df.columns
+        held = F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(value)), F.lit("[a-z0-9_]+"), F.lit(0)))).alias("_word")
+        each = df.select(*[F.col(c).alias(f"_id{i}") for i, c in enumerate(ids)], held)
+        hits = each.join(broadcast_if_bounded(words), "_word", "left_semi").drop("_word").distinct()
+        same = F.lit(True)
+        for i, c in enumerate(ids):
+            same = same & F.col(c).eqNullSafe(F.col(f"_id{i}"))
+        return df.join(hits, same, "left_semi")
     listed = [r[0] for r in patterns.select(pattern).where(F.col(pattern) != "").distinct().limit(1001).collect()]
     if len(listed) > 1000:
         raise PlanError("match: more than 1000 strings; match them as whole words")

@@ -85,7 +85,7 @@ def spelling_context(spark: SparkSession, d: str) -> DataFrame:
     """Lines that hold a rare word, with two lines around each."""
     text = lines(spark, d)
     rare = totals.frequencies(_words(text).select(ascii_lower(F.col("word")).alias("word")), F.col("word"), "word").where("count = 1").select("word")
-    hits = match.match_pattern_table(text, "value", rare, "word", word=True).select("path", "line_no", F.lit(True).alias("hit"))
+    hits = match.match_pattern_table(text, "value", rare, "word", word=True, ids=["path", "line_no"]).select("path", "line_no", F.lit(True).alias("hit"))
     marked = text.join(hits, ["path", "line_no"], "left")
     return ordered.context(marked, "line_no", F.coalesce("hit", F.lit(False)), 2, 2, ("path",)).select("path", "line_no", "matched")
 
