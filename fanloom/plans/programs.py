@@ -111,7 +111,7 @@ def moved_files(spark: SparkSession, d: str) -> DataFrame:
 
 def unused_exports(spark: SparkSession, d: str) -> DataFrame:
     """Defined symbols that none of the undefined ones names; customers and their orders stand in for symbol lines of 3 and 2 fields."""
-    lines = table(spark, d, "customer").select(F.concat_ws(" ", F.lit("0000"), F.lit("T"), "c_custkey").alias("value")).unionAll(table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.concat_ws(" ", F.lit("U"), "o_custkey")))
+    lines = table(spark, d, "customer").select(F.concat_ws(" ", F.lit("0000"), F.lit("T"), "c_custkey").alias("value")).unionAll(table(spark, d, "orders").select(F.concat_ws(" ", F.lit("U"), "o_custkey")))
     f = project.blank_fields(F.col("value"))
     exported = lines.where((F.size(f) == 3) & project.field(f, 2).rlike("[A-Z]")).select(project.field(f, 3).alias("symbol"))
     imported = lines.where(project.field(f, 1) == "U").select(project.field(f, 2).alias("symbol"))

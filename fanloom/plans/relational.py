@@ -65,7 +65,7 @@ def in_both(spark: SparkSession, d: str) -> DataFrame:
 
 def unused_parts(spark: SparkSession, d: str) -> DataFrame:
     """Parts that no line uses: one set without another."""
-    return compare.compare_sets(table(spark, d, "part").select(F.col("p_partkey").alias("partkey")), table(spark, d, "lineitem").where("l_quantity < 3").select(F.col("l_partkey").alias("partkey")), distinct=True)[0]
+    return compare.compare_sets(table(spark, d, "part").select(F.col("p_partkey").alias("partkey")), table(spark, d, "lineitem").select(F.col("l_partkey").alias("partkey")), distinct=True)[0]
 
 
 def union_of_keys(spark: SparkSession, d: str) -> DataFrame:
