@@ -1,6 +1,7 @@
 """Queries held against small tables made here, in which a cut of the input or of the result would show."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from fanloom.plans import programs, relational
 
@@ -27,3 +28,24 @@ def test_unused_exports_subtracts_every_order(spark, folder):
     orders = [(1, "O"), (2, "F"), (2, "P")]
     d = folder(customer=("c_custkey bigint", [(1,), (2,), (3,)]), orders=("o_custkey bigint, o_orderstatus string", orders))
     assert [r.symbol for r in programs.unused_exports(spark, d).collect()] == ["3"]
+
+
+def test_rows_of_repeated_keys_of_any_quantity(spark, folder):
+    lines = [(1, 9, 1, 1, 1.0), (1, 9, 2, 1, 30.0), (2, 9, 3, 1, 1.0), (3, 8, 4, 1, 40.0), (3, 8, 4, 1, 40.0), (4, 8, 5, 1, 7.0)]
+    d = folder(lineitem=("l_partkey bigint, l_suppkey bigint, l_orderkey bigint, l_linenumber int, l_quantity double", lines))
+    keys = [x[0] for x in lines]
+    assert sorted(map(tuple, relational.rows_of_repeated_keys(spark, d).collect())) == sorted(x[:4] for x in lines if keys.count(x[0]) > 1)
+
+
+def test_join_repeated_keys_gives_every_pair(spark, folder):
+    left, right = [(1, 11, -5.0), (1, 12, 9500.0), (2, 13, 20.0), (3, 14, 9900.0)], [(1, 21), (1, 22), (2, 23), (2, 24), (4, 25)]
+    d = folder(customer=("c_nationkey int, c_custkey bigint, c_acctbal double", left), supplier=("s_nationkey int, s_suppkey bigint", right))
+    assert sorted(map(tuple, relational.join_repeated_keys(spark, d).collect())) == sorted((n, c, s) for n, c, _ in left for m, s in right if m == n)
+
+
+def test_presence_by_day_of_all_events(spark, folder):
+    events = [("2024-01-01 10:00:00", 1, "purchase", 200.0), ("2024-01-01 11:00:00", 2, "click", 1.0), ("2024-01-01 12:00:00", 2, "error", None), ("2024-01-03 09:00:00", 1, "purchase", 3.0)]
+    d = folder(days=("ts string, user_id bigint, event_type string, value double", events))
+    spark.read.parquet(f"{d}/days.parquet").withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(f"{d}/events.parquet")
+    got = {(str(r.day), r.user_id) for r in relational.presence_by_day(spark, d).collect()}
+    assert got == {("2024-01-01", 1), ("2024-01-01", 2), ("2024-01-02", None), ("2024-01-03", 1)}
