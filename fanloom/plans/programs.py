@@ -105,7 +105,7 @@ def moved_files(spark: SparkSession, d: str) -> DataFrame:
     A plan of copies; nothing is copied. The text files stand in for both hierarchies, the second with its folder renamed.
     """
     text = table(spark, d, "text_lines").where("value RLIKE '[a-z]'").select(scalar.base_name(F.col("path")).alias("name"), scalar.dir_name(F.col("path")).alias("folder"), "value").distinct()
-    other = text.where("name LIKE '%1.txt'").select("name", F.concat(F.lit("new/"), "folder").alias("to_folder"), "value")
+    other = text.select("name", F.concat(F.lit("new/"), "folder").alias("to_folder"), "value")
     return text.join(other, ["name", "value"]).select("name", F.col("folder").alias("from_folder"), "to_folder").distinct()
 
 

@@ -49,3 +49,10 @@ def test_presence_by_day_of_all_events(spark, folder):
     spark.read.parquet(f"{d}/days.parquet").withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(f"{d}/events.parquet")
     got = {(str(r.day), r.user_id) for r in relational.presence_by_day(spark, d).collect()}
     assert got == {("2024-01-01", 1), ("2024-01-01", 2), ("2024-01-02", None), ("2024-01-03", 1)}
+
+
+def test_moved_files_takes_every_file_of_the_second_hierarchy(spark, folder):
+    lines = [("a/f1.txt", 1, "x"), ("a/f2.txt", 1, "x"), ("b/f2.txt", 1, "x"), ("b/f2.txt", 2, "y"), ("c/f2.txt", 1, "z"), ("a/f3.txt", 1, "12")]
+    d = folder(text_lines=("path string, line_no bigint, value string", lines))
+    want = [("f1.txt", "a", "new/a")] + [("f2.txt", p, f"new/{q}") for p in "ab" for q in "ab"] + [("f2.txt", "c", "new/c")]
+    assert sorted(map(tuple, programs.moved_files(spark, d).collect())) == want
