@@ -12,7 +12,7 @@ from fanloom.operators import compare, ordered, project, totals
 from fanloom.operators.monitor import monitor
 from fanloom.session import table
 from fanloom.store import Stores, last_record, record_window, time_window
-from fanloom.stream import Stream
+from fanloom.stream import Stream, number_lines
 from fanloom.streaming.live import activity_sessions, tumbling
 
 
@@ -194,14 +194,15 @@ def presence_by_day(spark: SparkSession, d: str) -> DataFrame:
 
 
 def numeric_order(spark: SparkSession, d: str) -> DataFrame:
-    """The first lines of a descending numeric sort of text, ties by the whole line."""
+    """All lines of a descending numeric sort of text with their places, ties by the whole line."""
     rows = table(spark, d, "part").select(F.concat(F.col("p_size").cast("string"), F.lit(" "), F.col("p_name")).alias("value"))
-    return rows.orderBy(*ordered.sort_numeric("value", descending=True)).limit(20)
+    return number_lines(rows, ordered.sort_numeric("value", descending=True)).select("line_no", "value")
 
 
 def order_from_field(spark: SparkSession, d: str) -> DataFrame:
+    """All lines sorted from their second field on, with their places."""
     rows = table(spark, d, "part").select(F.concat_ws(" ", "p_partkey", "p_brand", "p_type").alias("value"))
-    return rows.orderBy(*ordered.sort_from_field("value", 2)).limit(20)
+    return number_lines(rows, ordered.sort_from_field("value", 2)).select("line_no", "value")
 
 
 def scalar_functions(spark: SparkSession, d: str) -> DataFrame:

@@ -56,3 +56,13 @@ def test_moved_files_takes_every_file_of_the_second_hierarchy(spark, folder):
     d = folder(text_lines=("path string, line_no bigint, value string", lines))
     want = [("f1.txt", "a", "new/a")] + [("f2.txt", p, f"new/{q}") for p in "ab" for q in "ab"] + [("f2.txt", "c", "new/c")]
     assert sorted(map(tuple, programs.moved_files(spark, d).collect())) == want
+
+
+def test_sorts_place_every_line(spark, folder):
+    parts = [(i, f"name {i * 7 % 10}", f"Brand#{i % 4}", f"TYPE {i % 3}", i * 13 % 50 % 11) for i in range(1, 61)]
+    d = folder(part=("p_partkey bigint, p_name string, p_brand string, p_type string, p_size int", parts))
+    placed = lambda df: [tuple(r) for r in df.orderBy("line_no").collect()]
+    by_number = sorted((f"{x[4]} {x[1]}" for x in parts), key=lambda v: (int(v.split()[0]), v), reverse=True)
+    assert placed(relational.numeric_order(spark, d)) == list(enumerate(by_number, 1))
+    by_field = sorted((" ".join(map(str, x[:1] + x[2:4])) for x in parts), key=lambda v: (v[v.index(" ") :], v))
+    assert placed(relational.order_from_field(spark, d)) == list(enumerate(by_field, 1))
