@@ -60,7 +60,7 @@ def uniq(count: bool = False, repeated: bool = False) -> Stage:
         runs = runs.where("length > 1") if repeated else runs
         # Within a sorted stream the record itself is the order; `key` keeps it beside a count.
         place = _v().alias("key") if s.order == ("value",) else F.col("run").alias("line_no")
-        shown = F.concat_ws(" ", F.lpad(F.col("length").cast("string"), 7, " "), _v()) if count else _v()
+        shown = F.concat_ws(" ", F.format_string("%7d", F.col("length")), _v()) if count else _v()
         return Stream(runs.select(place, shown.alias("value")), (("key",) if s.order == ("value",) else ("line_no",)) if count else ("value",) if s.order == ("value",) else ("line_no",))
 
     return Function(run, 1, 1, "uniq")

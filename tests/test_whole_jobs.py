@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from fanloom.plans import programs, relational
+from fanloom.stream import Stream
+from fanloom.tools import sort, uniq, values
 
 
 @pytest.fixture
@@ -66,3 +68,8 @@ def test_sorts_place_every_line(spark, folder):
     assert placed(relational.numeric_order(spark, d)) == list(enumerate(by_number, 1))
     by_field = sorted((" ".join(map(str, x[:1] + x[2:4])) for x in parts), key=lambda v: (v[v.index(" ") :], v))
     assert placed(relational.order_from_field(spark, d)) == list(enumerate(by_field, 1))
+
+
+def test_uniq_shows_long_counts_in_full(spark):
+    many = Stream(spark.range(12_345_678).select(F.when(F.col("id") < 12_345_670, "a").otherwise("b").alias("value")), ("value",))
+    assert values((uniq(count=True) | sort(reverse=True, numeric=True))(many)) == [["12345670 a", "      8 b"]]
