@@ -5,7 +5,7 @@ from __future__ import annotations
 import bz2
 import lzma
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -54,20 +54,23 @@ def sum_of_field(text: Column) -> Column:
     return F.coalesce(F.sum(number(text)), F.lit(0))
 
 
-def listed(df: DataFrame, key: str, item: str, separator: str = " ", least: int = 1, most: int = 10_000) -> DataFrame:
+def listed(df: DataFrame, key: str, item: str, separator: str = " ", least: int = 1, most: int = 10_000, shown: Callable[[Column], Column] | None = None) -> DataFrame:
     """(key, part, items, n): items of each key that has at least `least`, in order on one line; n is the key's number of items.
 
+    `shown` makes the text of an item once they are in order, so that numbers are ordered as numbers.
+
     A key of many more than `most` items gets several lines, numbered by `part`, so that no list grows with the data;
     which line an item is on depends on its hash. Null keys take no part.
     """
     counts = df.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") >= least)
     part = F.pmod(F.xxhash64(item), F.ceil(F.col("n") / most)).cast("int").alias("part")
-    return df.join(counts, key).groupBy(key, part, "n").agg(F.array_join(F.array_sort(F.collect_list(item)), separator).alias("items")).select(key, "part", "items", "n")
+    items = F.array_sort(F.collect_list(item))
+    return df.join(counts, key).groupBy(key, part, "n").agg(F.array_join(F.transform(items, shown) if shown else items, separator).alias("items")).select(key, "part", "items", "n")
 
 
-def same_content(files: DataFrame, path: str, content: str, most: int = 10_000) -> DataFrame:
+def same_content(files: DataFrame, path: str, content: str, most: int = 10_000, shown: Callable[[Column], Column] | None = None) -> DataFrame:
     """Paths of equal content together: (digest, part, items, n) for contents that occur more than once."""
-    return listed(files.select(F.md5(F.col(content).cast("binary")).alias("digest"), path), "digest", path, least=2, most=most)
+    return listed(files.select(F.md5(F.col(content).cast("binary")).alias("digest"), path), "digest", path, least=2, most=most, shown=shown)
 
 
 def compressed_sizes(files: DataFrame, content: str, keep: tuple[str, ...] = ()) -> DataFrame:

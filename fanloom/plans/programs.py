@@ -121,7 +121,7 @@ def unused_exports(spark: SparkSession, d: str) -> DataFrame:
 def listing_totals(spark: SparkSession, d: str) -> DataFrame:
     """Listing lines reordered, with the number and bytes of files; text files stand in for a folder."""
     files = table(spark, d, "text_lines").select("path", "line_no", "value").distinct().groupBy("path").agg(totals.byte_size(F.col("value")).alias("length"))
-    lines = files.select(F.concat_ws(" ", F.lpad(F.col("length").cast("string"), 8, " "), scalar.base_name(F.col("path"))).alias("value"))
+    lines = files.select(F.concat_ws(" ", F.format_string("%8d", F.col("length")), scalar.base_name(F.col("path"))).alias("value"))
     summary = files.agg(F.concat(F.count("*").cast("string"), F.lit(" File(s) "), F.sum("length").cast("string"), F.lit(" bytes")).alias("value"))
     return lines.unionAll(summary)
 

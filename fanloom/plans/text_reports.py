@@ -71,8 +71,8 @@ def word_properties(spark: SparkSession, d: str) -> DataFrame:
 
 def duplicate_documents(spark: SparkSession, d: str) -> DataFrame:
     """Documents of equal text on one line."""
-    docs = table(spark, d, "documents").where("text IS NOT NULL").select(F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("id"), "text")
-    return totals.same_content(docs, "id", "text")
+    docs = table(spark, d, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("id"), "text")
+    return totals.same_content(docs, "id", "text", shown=lambda i: F.format_string("%012d", i))
 
 
 def spelling_words(spark: SparkSession, d: str) -> DataFrame:

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from fanloom.plans import programs, relational
+from fanloom.plans import programs, relational, text_reports
 from fanloom.stream import Stream
 from fanloom.tools import sort, uniq, values
 
@@ -73,3 +73,15 @@ def test_sorts_place_every_line(spark, folder):
 def test_uniq_shows_long_counts_in_full(spark):
     many = Stream(spark.range(12_345_678).select(F.when(F.col("id") < 12_345_670, "a").otherwise("b").alias("value")), ("value",))
     assert values((uniq(count=True) | sort(reverse=True, numeric=True))(many)) == [["12345670 a", "      8 b"]]
+
+
+def test_listing_shows_long_sizes_in_full(spark, tmp_path):
+    rows = spark.range(1000).select(F.lit("a/long.txt").alias("path"), F.col("id").alias("line_no"), F.repeat(F.lit("x"), 123_456).alias("value"))
+    rows.unionAll(spark.sql("SELECT 'a/short.txt', 1L, 'abc'")).write.parquet(f"{tmp_path}/text_lines.parquet")
+    assert sorted(r.value for r in programs.listing_totals(spark, str(tmp_path)).collect()) == ["       4 short.txt", "123457000 long.txt", "2 File(s) 123457004 bytes"]
+
+
+def test_duplicate_documents_shows_long_ids_in_full(spark, folder):
+    ids = [1234567890124, 7, 1234567890123, 999999999999, (1 << 63) - 1]
+    d = folder(documents=("doc_id bigint, text string", [(i, "same") for i in ids] + [(8, "other")]))
+    assert [(r["items"], r.n) for r in text_reports.duplicate_documents(spark, d).collect()] == [(" ".join(f"{i:012d}" for i in sorted(ids)), 5)]
