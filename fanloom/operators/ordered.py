@@ -124,15 +124,24 @@ def tail(df: DataFrame, order: list[str], n: int) -> DataFrame:
 
 def sort_numeric(value: str, descending: bool = False) -> list[Column]:
     """Sort keys of a numeric sort of text: the leading number, 0 if there is none; ties by the whole line, in the same direction."""
-    number = F.coalesce(F.regexp_extract(value, r"^[ \t]*(-?[0-9]+(?:\.[0-9]*)?|-?\.[0-9]+)", 1).try_cast("double"), F.lit(0.0))
-    return [number.desc(), F.col(value).desc()] if descending else [number.asc(), F.col(value).asc()]
+    return sort_keys(value, numeric=True, descending=descending)
 
 
 def sort_from_field(value: str, field: int, delimiter: str | None = None) -> list[Column]:
     """Sort keys from a field (counted from 1) to the end of the line; ties by the whole line."""
-    skip = rf"^(?:[ \t]*[^ \t]+){{{field - 1}}}" if delimiter is None else rf"^(?:[^{_quote(delimiter)}]*[{_quote(delimiter)}]){{{field - 1}}}"
-    rest = F.when(F.col(value).rlike(skip), F.regexp_replace(value, skip, "")).otherwise("")
-    return [rest.asc(), F.col(value).asc()]
+    return sort_keys(value, field, delimiter)
+
+
+def sort_keys(value: str, field: int | None = None, delimiter: str | None = None, numeric: bool = False, descending: bool = False, ties_descending: bool | None = None) -> list[Column]:
+    """Sort keys of the line, or of its part from a field on, as text or by the number it begins with; ties by the whole line, in the same direction unless told."""
+    key = F.col(value)
+    if field:
+        skip = rf"^(?:[ \t]*[^ \t]+){{{field - 1}}}" if delimiter is None else rf"^(?:[^{_quote(delimiter)}]*[{_quote(delimiter)}]){{{field - 1}}}"
+        key = F.when(F.col(value).rlike(skip), F.regexp_replace(value, skip, "")).otherwise("")
+    if numeric:
+        key = F.coalesce(F.regexp_extract(key, r"^[ \t]*(-?[0-9]+(?:\.[0-9]*)?|-?\.[0-9]+)", 1).try_cast("double"), F.lit(0.0))
+    ties_descending = descending if ties_descending is None else ties_descending
+    return [key.desc() if descending else key.asc(), F.col(value).desc() if ties_descending else F.col(value).asc()]
 
 
 def _quote(c: str) -> str:

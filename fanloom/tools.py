@@ -6,6 +6,7 @@ first; those that do not care never sort. A stage's arity is fixed by its settin
 
 from __future__ import annotations
 
+import re
 import shlex
 from collections.abc import Callable
 
@@ -36,14 +37,17 @@ def _together(streams: tuple[Stream, ...]) -> DataFrame:
     return df
 
 
-def sort(reverse: bool = False, numeric: bool = False, unique: bool = False, field: int | None = None, delimiter: str | None = None) -> Stage:
-    """All inputs in one order. Plain byte order is only noted, and costs nothing until a stage asks for it."""
+def sort(reverse: bool = False, numeric: bool = False, unique: bool = False, field: int | None = None, delimiter: str | None = None, reverse_ties: bool | None = None) -> Stage:
+    """All inputs in one order. Plain byte order is only noted, and costs nothing until a stage asks for it.
+
+    The key is the line or its part from a field on, as text or as a number; ties go by the whole line, reversed as the key is unless told.
+    """
 
     def run(*inputs: Stream) -> Stream:
         df = _together(inputs).distinct() if unique else _together(inputs)
         if not (reverse or numeric or field):
             return Stream(df, ("value",))
-        keys = ordered.sort_numeric("value", reverse) if numeric else ordered.sort_from_field("value", field, delimiter) if field else [_v().desc()]
+        keys = ordered.sort_keys("value", field, delimiter, numeric, reverse, reverse_ties) if numeric or field else [_v().desc()]
         return Stream(number_lines(df, keys).select("line_no", "value"))
 
     return Function(run, ANY, 1, "sort")
@@ -223,8 +227,8 @@ def _number_list(text: str) -> list[tuple[int, int]]:
 def registry(spark: SparkSession) -> dict[str, Callable[[list[str]], Stage]]:
     """Stages by name, each made from the words that follow the name in a text graph."""
 
-    def options(args: list[str], valued: str = "") -> tuple[dict[str, str], list[str]]:
-        """Single-letter options, those in `valued` with a value, and the other words."""
+    def options(args: list[str], valued: str = "", once: str = "") -> tuple[dict[str, str], list[str]]:
+        """Single-letter options, those in `valued` with a value, and the other words; those in `once` may not come again."""
         found, rest, words_ = {}, [], list(args)
         while words_:
             w = words_.pop(0)
@@ -232,6 +236,8 @@ def registry(spark: SparkSession) -> dict[str, Callable[[list[str]], Stage]]:
                 rest.append(w)
                 continue
             for k, c in enumerate(w[1:], 1):
+                if c in once and c in found:
+                    raise PlanError(f"-{c} given twice in {' '.join(args)}")
                 if c in valued:
                     found[c] = w[k + 1 :] or (words_.pop(0) if words_ else "")
                     break
@@ -239,8 +245,14 @@ def registry(spark: SparkSession) -> dict[str, Callable[[list[str]], Stage]]:
         return found, rest
 
     def made_sort(args: list[str]) -> Stage:
-        o, _ = options(args, "kt")
-        return sort("r" in o, "n" in o or o.get("k", "").endswith("n"), "u" in o, int(o["k"].rstrip("n")) if o.get("k", "").rstrip("n").isdigit() and "n" not in o.get("k", "") else None, o.get("t"))
+        # -m, -S and -T say how to sort, and change nothing here.
+        o, rest = options(args, "ktST", once="kt")
+        key = re.fullmatch("([1-9][0-9]*)([nr]*)", o.get("k", "1"))
+        if rest or set(o) - set("kntrumST") or not key or len(o.get("t", " ")) != 1 or ("u" in o and ("n" in o or "k" in o)):
+            raise PlanError(f"sort: cannot use {' '.join(args)}")
+        # As in sort(1), a key with letters of its own takes none of those for all keys, which then only hold for ties.
+        letters = key[2] or o
+        return sort("r" in letters, "n" in letters, "u" in o, int(key[1]) if "k" in o else None, o.get("t"), "r" in o)
 
     def made_uniq(args: list[str]) -> Stage:
         o, _ = options(args)

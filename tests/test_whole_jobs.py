@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from fanloom.plans import programs, relational, text_reports
-from fanloom.stream import Stream
-from fanloom.tools import sort, uniq, values
+from fanloom.stream import PlanError, Stream, literal
+from fanloom.tools import pipeline, sort, uniq, values
 
 
 @pytest.fixture
@@ -85,3 +85,20 @@ def test_duplicate_documents_shows_long_ids_in_full(spark, folder):
     ids = [1234567890124, 7, 1234567890123, 999999999999, (1 << 63) - 1]
     d = folder(documents=("doc_id bigint, text string", [(i, "same") for i in ids] + [(8, "other")]))
     assert [(r["items"], r.n) for r in text_reports.duplicate_documents(spark, d).collect()] == [(" ".join(f"{i:012d}" for i in sorted(ids)), 5)]
+
+
+def test_sort_combines_field_number_and_direction(spark):
+    run = lambda p, *xs: values(pipeline(spark, p)(literal(spark, *xs)))[0]
+    text = ["x 10 a", "y 9 b", "5 9 a", "z 100"]
+    for p in ("sort -k 2n", "sort -n -k 2", "sort -k2n", "sort -nk 2"):
+        assert run(p, *text) == ["5 9 a", "y 9 b", "x 10 a", "z 100"]
+    assert run("sort -r -k 2", *text) == ["y 9 b", "5 9 a", "z 100", "x 10 a"] and run("sort -k 2r", *text) == ["y 9 b", "5 9 a", "z 100", "x 10 a"]
+    assert run("sort -rn -k 2", *text) == ["z 100", "x 10 a", "y 9 b", "5 9 a"] and run("sort -k 2nr", *text) == ["z 100", "x 10 a", "5 9 a", "y 9 b"]
+    assert run("sort -r -k 2n", *text) == ["y 9 b", "5 9 a", "x 10 a", "z 100"]
+    assert run("sort -t , -k 2n", "a,10", "b,9", "c") == ["c", "b,9", "a,10"] and run("sort -k 2n | head -n 1", *text) == ["5 9 a"]
+
+
+@pytest.mark.parametrize("words", ["-k 2,2", "-k 2.1", "-k x", "-k 0", "-k", "-k 2b", "-k 1 -k 2n", "-f", "+1n", "-t ab -k 2", "-u -k 2", "-un"])
+def test_sort_refuses_other_keys(spark, words):
+    with pytest.raises(PlanError):
+        pipeline(spark, f"sort {words}")
