@@ -1,11 +1,14 @@
 """Queries held against small tables made here, in which a cut of the input or of the result would show."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from fanloom.operators import match
 from fanloom.plans import programs, relational, text_reports
 from fanloom.stream import PlanError, Stream, literal
-from fanloom.tools import pipeline, sort, uniq, values
+from fanloom.tools import grep_listed, pipeline, sort, uniq, values
 
 
 @pytest.fixture
@@ -102,3 +105,22 @@ def test_sort_combines_field_number_and_direction(spark):
 def test_sort_refuses_other_keys(spark, words):
     with pytest.raises(PlanError):
         pipeline(spark, f"sort {words}")
+
+
+def test_long_lists_of_strings_are_looked_for(spark, monkeypatch):
+    monkeypatch.setattr(match, "_BLOCK", 500, raising=False)  # more blocks than a task keeps
+    draw = random.Random(7)
+    made = lambda n: "".join(draw.choice("abü -") for _ in range(n))
+    strings = sorted({made(draw.randint(5, 8)) for _ in range(1500)})
+    texts = [made(draw.randint(0, 60)) for _ in range(300)] + ["", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "line_no int, value string")
+    out = match.match_pattern_table(df, "value", spark.createDataFrame([(x,) for x in strings], "p string"), "p")
+    want = [i for i, t in enumerate(texts) if t is not None and any(x in t for x in strings)]
+    assert len(strings) > 1000 and 0 < len(want) < 300 and sorted(r.line_no for r in out.collect()) == want
+
+
+def test_words_of_any_script_and_phrases_are_matched(spark):
+    text = literal(spark, "Sie ist Über uns", "darüber", "a New York minute", "a new yorker", "a well-known b", "нет слова", "b", "word", "b", None)
+    found = values(grep_listed()(literal(spark, "über", "new york", "well-known", "СЛОВА", "b"), text))[0]
+    assert found == ["Sie ist Über uns", "a New York minute", "a well-known b", "нет слова", "b", "b"]
+    assert values(grep_listed()(literal(spark, "x y z", "y-"), literal(spark, "x y zz", "x y- z", "ax y z")))[0] == ["x y- z"]
