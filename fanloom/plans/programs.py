@@ -170,10 +170,10 @@ SELECT DISTINCT (ts::DATE - (SELECT min(ts)::DATE FROM events))::BIGINT AS day,
     "venue_comparison": """WITH n AS (SELECT author_id, count(*) FILTER (WHERE post_type = 'question') AS q, count(*) FILTER (WHERE post_type = 'answer') AS a FROM documents WHERE author_id IS NOT NULL GROUP BY 1)
 SELECT sum(q)::BIGINT AS questions, sum(a)::BIGINT AS answers, sum(greatest(q - a, 0))::BIGINT AS only_left, sum(greatest(a - q, 0))::BIGINT AS only_right, sum(least(a, q))::BIGINT AS both FROM n""",
     "moved_files": """WITH t AS (SELECT DISTINCT list_extract(string_split(path, '/'), -1) AS name, regexp_extract(path, '^(.*)/[^/]*$', 1) AS folder, value FROM text_lines WHERE regexp_matches(value, '[a-z]'))
-SELECT DISTINCT name, folder AS from_folder, 'new/' || folder AS to_folder FROM t WHERE name LIKE '%1.txt'""",
-    "unused_exports": "SELECT c_custkey::VARCHAR AS symbol FROM customer EXCEPT ALL SELECT o_custkey::VARCHAR FROM orders WHERE o_orderstatus = 'F'",
+SELECT DISTINCT name, a.folder AS from_folder, 'new/' || b.folder AS to_folder FROM t a JOIN t b USING (name, value)""",
+    "unused_exports": "SELECT c_custkey::VARCHAR AS symbol FROM customer EXCEPT ALL SELECT o_custkey::VARCHAR FROM orders",
     "listing_totals": f"""{_LINES}, f AS (SELECT path, sum(strlen(coalesce(value, '')) + 1)::BIGINT AS length FROM lines GROUP BY path)
-SELECT lpad(length::VARCHAR, 8, ' ') || ' ' || list_extract(string_split(path, '/'), -1) AS value FROM f UNION ALL SELECT count(*) || ' File(s) ' || sum(length)::BIGINT || ' bytes' FROM f""",
+SELECT printf('%8d', length) || ' ' || list_extract(string_split(path, '/'), -1) AS value FROM f UNION ALL SELECT count(*) || ' File(s) ' || sum(length)::BIGINT || ' bytes' FROM f""",
     "code_metrics": """WITH l AS (SELECT unnest(string_split(text, chr(10))) AS v FROM documents WHERE text IS NOT NULL)
 SELECT count(*) FILTER (WHERE regexp_matches(v, '\\breturn\\b')) AS n_return, count(*) FILTER (WHERE regexp_matches(v, '\\bvoid\\b')) AS n_void, count(*) FILTER (WHERE regexp_matches(v, '/\\*|//')) AS n_comment,
  count(*) FILTER (WHERE regexp_matches(v, '(?i)copyright')) AS n_copyright, count(*) FILTER (WHERE starts_with(v, '{')) AS n_function, count(*) FILTER (WHERE regexp_matches(v, '[@#][ \\t]*include')) AS n_include,

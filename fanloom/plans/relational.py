@@ -278,12 +278,12 @@ ORACLE = {
     "events_by_hour": "SELECT hour(ts)::INTEGER AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "events_by_week_day": "SELECT strftime(ts, '%a') AS week_day, count(*) AS n FROM events GROUP BY 1",
     "join_orders_customers": "SELECT c_custkey AS custkey, c_name, o_orderkey, o_orderstatus FROM customer JOIN orders ON c_custkey = o_custkey",
-    "join_repeated_keys": "SELECT c_nationkey AS nation, c_custkey, s_suppkey FROM customer JOIN supplier ON c_nationkey = s_nationkey WHERE c_acctbal > 9000",
-    "rows_of_repeated_keys": "WITH r AS (SELECT l_partkey, l_suppkey, l_orderkey, l_linenumber FROM lineitem WHERE l_quantity = 1) SELECT * FROM r WHERE l_partkey IN (SELECT l_partkey FROM r GROUP BY 1 HAVING count(*) > 1)",
+    "join_repeated_keys": "SELECT c_nationkey AS nation, c_custkey, s_suppkey FROM customer JOIN supplier ON c_nationkey = s_nationkey",
+    "rows_of_repeated_keys": "SELECT l_partkey, l_suppkey, l_orderkey, l_linenumber FROM lineitem WHERE l_partkey IN (SELECT l_partkey FROM lineitem GROUP BY 1 HAVING count(*) > 1)",
     "only_left": f"{_NATIONS} EXCEPT ALL {_SUPPLIERS}",
     "only_right": f"{_SUPPLIERS} EXCEPT ALL {_NATIONS}",
     "in_both": f"{_NATIONS} INTERSECT ALL {_SUPPLIERS}",
-    "unused_parts": "SELECT p_partkey AS partkey FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity < 3",
+    "unused_parts": "SELECT p_partkey AS partkey FROM part EXCEPT SELECT l_partkey FROM lineitem",
     "union_of_keys": f"{_NATIONS} UNION {_SUPPLIERS}",
     "reorder_columns": "SELECT concat_ws(',', p_type, p_size, p_name) AS value FROM part",
     "cut_ranges": "SELECT concat_ws(',', p_partkey, p_name, p_size) AS value FROM part",
@@ -314,11 +314,11 @@ SELECT event_id, user_id, event_type FROM m WHERE s IS NOT NULL AND (e IS NULL O
  count(*) FILTER (WHERE l_extendedprice < 2000) AS cheap, sum(l_quantity::BIGINT)::BIGINT AS quantity, coalesce(sum(l_quantity::BIGINT) FILTER (WHERE l_quantity > 45), 0)::BIGINT AS large_quantity FROM lineitem""",
     "placed_from_both_sides": """WITH c AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1), r AS (SELECT user_id, row_number() OVER (ORDER BY n, user_id) AS r, count(*) OVER () AS m FROM c)
 SELECT user_id, CASE WHEN r % 2 = 1 THEN (r - 1) // 2 ELSE m - r // 2 END AS place FROM r""",
-    "presence_by_day": """WITH p AS (SELECT DISTINCT ts::DATE AS day, user_id FROM events WHERE event_type = 'purchase' AND value > 150),
+    "presence_by_day": """WITH p AS (SELECT DISTINCT ts::DATE AS day, user_id FROM events),
  c AS (SELECT unnest(generate_series((SELECT min(day) FROM p), (SELECT max(day) FROM p), INTERVAL 1 DAY))::DATE AS day)
 SELECT day, user_id FROM c LEFT JOIN p USING (day)""",
-    "numeric_order": "SELECT p_size || ' ' || p_name AS value FROM part ORDER BY p_size DESC, value DESC LIMIT 20",
-    "order_from_field": "SELECT concat_ws(' ', p_partkey, p_brand, p_type) AS value FROM part ORDER BY ' ' || p_brand || ' ' || p_type, value LIMIT 20",
+    "numeric_order": "SELECT row_number() OVER (ORDER BY p_size DESC, value DESC) AS line_no, value FROM (SELECT p_size, p_size || ' ' || p_name AS value FROM part)",
+    "order_from_field": "SELECT row_number() OVER (ORDER BY key, value) AS line_no, value FROM (SELECT ' ' || p_brand || ' ' || p_type AS key, concat_ws(' ', p_partkey, p_brand, p_type) AS value FROM part)",
     "scalar_functions": """SELECT p_partkey, p_name AS base, 'data/' || p_brand AS folder, regexp_replace(p_name, '[aeiou]', '#') AS first_replaced, lower(p_brand) AS lowered, repeat('-', length(p_name)) AS line,
  lpad(p_size::VARCHAR, 8, ' ') AS padded, trunc(p_retailprice / -7)::BIGINT AS whole FROM part""",
     "host_parts": "SELECT DISTINCT host, list_extract(string_split(host, '.'), -1) AS top, CASE WHEN contains(host, '.') THEN regexp_replace(host, '^[^.]*', '') ELSE '' END AS parent FROM web_log_report WHERE host IS NOT NULL",

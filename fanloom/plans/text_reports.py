@@ -197,7 +197,7 @@ SELECT CASE WHEN c IN (' ', chr(9), chr(10), chr(13)) THEN '' ELSE c END AS char
  round(count(*) / (SELECT sum(strlen(coalesce(value, '')) + 1) FROM lines) * 100, 6) AS percent FROM chars GROUP BY 1""",
     "document_words": "SELECT word, count(*) AS count FROM (SELECT unnest(string_split_regex(text, '[ \\t\\n\\r\\f]+')) AS word FROM documents) WHERE word <> '' GROUP BY word",
     "scattered_word_count": f"{_LINES} SELECT word, count(*) AS count FROM (SELECT unnest(string_split_regex(value, '[ \\t\\n\\r\\f]+')) AS word FROM lines) WHERE word <> '' GROUP BY word",
-    "duplicate_documents": "SELECT md5(text) AS digest, 0 AS part, string_agg(lpad(doc_id::VARCHAR, 12, '0'), ' ' ORDER BY doc_id) AS items, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
+    "duplicate_documents": "SELECT md5(text) AS digest, 0 AS part, string_agg(printf('%012d', doc_id), ' ' ORDER BY doc_id) AS items, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
     "spelling_words": f"{_WORDS} SELECT DISTINCT lower(word) AS word FROM words EXCEPT SELECT DISTINCT lower(word) FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS word FROM documents)",
     "matching_context": f"{_LINES}, " + _context_sql("SELECT path, line_no FROM lines WHERE regexp_matches(value, '[0-9]')"),
     "spelling_context": f"{_WORDS}, rare AS (SELECT lower(word) AS word FROM words GROUP BY 1 HAVING count(*) = 1), tokens AS (SELECT path, line_no, unnest(regexp_extract_all(lower(value), '[a-z0-9_]+')) AS word FROM lines), " + _context_sql("SELECT DISTINCT path, line_no FROM tokens WHERE word IN (SELECT word FROM rare)"),
