@@ -1,10 +1,15 @@
 """Parsing of web-log lines that keeps going after bad ones: typed rows, and located errors for the rest.
 
-A recursive-descent grammar reads a record as fields, a field as a bracketed run, a quoted run or a plain run, and the
-request and the typed values within. On an error it reports the reason and the column, gives the record up and resumes at
-the next record-start anchor. In a table of lines each row is an anchor. In the text of a whole file an anchor is a
-position after a line end that is validated: either no quote is open there, or what follows reads as the start of a
-record (host, ident, user and an opening bracket), so an unclosed quote costs its own record and not those after it.
+One recursive-descent parser walks over a text with a single cursor: a record is fields between blanks, a field is a
+bracketed, a quoted or a plain run, a request is method, url and protocol, and so on. A quoted run is read up to its closing
+quote wherever that stands, so a broken quote runs into what follows. The parser notices that at the next anchor, a position
+where a record is known to start, reports the record's error with its place, and resumes at the first anchor after the
+record's start. Every line is therefore in exactly one record or one error.
+
+What is an anchor depends on the text. In a batch of rows of a table, put together to one text, it is the start of every
+row, so no record ever takes in another row. In the text of a whole file it is the start of a line, unless a quote is open
+there and the line does not read as the start of a record (host, ident, user and an opening bracket). Lines are joined that
+way only if what they make up loads; else the first of them is an error of its own, and the parser resumes at the second.
 """
 
 from __future__ import annotations
@@ -20,8 +25,12 @@ from pyspark.sql import types as T
 
 from fanloom.session import free_name
 
-_FIELD = re.compile(r'(\[[^\]]*\](?=[ \t]|\Z)|"(?:[^"\\]|\\.)*"(?=[ \t]|\Z)|[^ \t]+)[ \t]*', re.S)
-_QUOTES = re.compile(r'(\\*)"')
+_BLANKS = re.compile(r"[ \t]*")
+_RETURNS = re.compile(r"\r*")
+# Runs without anything a rule has to look at; an escaped quote or backslash is passed over as a pair.
+_PLAIN = re.compile(r'(?:[^ \t\r\n"\\]+|\\["\\]?)+')
+_QUOTED = re.compile(r'(?:[^"\\\n]+|\\[^\n]?)*')
+_BRACKETED = re.compile(r'(?:[^]"\\\r\n]+|\\["\\]?)*')
 _NAME = re.compile(r"[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]+)*\.?")
 _NUMERIC = re.compile(r"[0-9.]+")
 _IPV4 = re.compile(r"(?:[0-9]+\.){3}[0-9]+\.?")
@@ -33,14 +42,17 @@ _TIME = re.compile(r"\[(\d\d)/([A-Z][a-z]{2})/(\d{4}):(\d\d):(\d\d):(\d\d)(?: ([
 _MONTHS = {m: i for i, m in enumerate("Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split(), 1)}
 _MOST = 9223372036854775807
 
+#: What a line gives: typed values, the names of those whose text could not be typed, or the reason and place of an error.
 RECORD = T.StructType(
     [T.StructField(n, T.StringType()) for n in ("host", "ident", "auth_user")]
     + [T.StructField("ts", T.TimestampNTZType()), T.StructField("tz", T.StringType())]
     + [T.StructField(n, T.StringType()) for n in ("method", "url", "protocol")]
-    + [T.StructField("status", T.IntegerType()), T.StructField("bytes", T.LongType())]
+    + [T.StructField("status", T.LongType()), T.StructField("bytes", T.LongType()), T.StructField("untyped", T.StringType())]
     + [T.StructField("reason", T.StringType()), T.StructField("error_at", T.IntegerType())]
 )
-_ARROW = pa.struct([(f.name, {"string": pa.string(), "timestamp_ntz": pa.timestamp("us"), "int": pa.int32(), "bigint": pa.int64()}[f.dataType.simpleString()]) for f in RECORD])
+#: The same for the text of a file, with the number of the record's first line, from 1, and how many lines it takes.
+FILE_RECORD = T.StructType([T.StructField("line_no", T.LongType()), T.StructField("lines", T.IntegerType()), *RECORD.fields])
+_ARROW_TYPES = {"string": pa.string(), "timestamp_ntz": pa.timestamp("us"), "int": pa.int32(), "bigint": pa.int64()}
 
 
 class Bad(Exception):
@@ -51,56 +63,169 @@ class Bad(Exception):
         self.reason, self.at = reason, at
 
 
-class Grammar:
-    """Reads records of the common log format from `text`; one method per rule, each from self.at on."""
+class Parser:
+    """Reads records of the common log format from a text; one method per rule, each from the cursor on.
 
-    def __init__(self, text: str):
-        self.text = text
-        self.at, self.end = 0, len(text)
+    rows: the positions where rows of a table start, in order; None for the text of a file.
+    """
+
+    def __init__(self, text: str, rows: list[int] | None = None):
+        self.text, self.end, self.rows = text, len(text), rows
+        self.at = 0
+        self.anchor = 0  # the first anchor after the record's start that is known without looking at quotes
+        self.crossed = -1  # where a quote was opened that runs over a line end
+        self.seen = 0  # unescaped quotes of the record so far
+
+    def records(self) -> Iterator[tuple[int, int, tuple]]:
+        """(start, stop, values of RECORD) of every record and error; error_at counts from the record's start."""
+        starts = iter([*self.rows[1:], self.end + 1] if self.rows else []) if self.rows is not None else None
+        while starts is not None or self.at < self.end:
+            begun = self.at
+            if starts is None:
+                found = self.text.find("\n", begun)
+                self.anchor = found + 1 if found >= 0 else self.end + 1
+            elif (anchor := next(starts, None)) is None:
+                return
+            else:
+                self.anchor = anchor
+            try:
+                values = *self.record(), None, None
+            except Bad as bad:
+                reason, at = (bad.reason, bad.at) if self.crossed < 0 else ("quoting", self.crossed)
+                values = *[None] * (len(RECORD) - 2), reason, at - begun
+                self.at = self.anchor
+            yield begun, self.at, values
 
-    def record(self, end: int) -> tuple:
-        """The record from self.at to end, as the values of RECORD without reason and error_at."""
-        while end > self.at and self.text[end - 1] == "\r":
-            end -= 1
-        self.end = end
-        self.quotes()
+    # Rules of the record.
+
+    def record(self) -> tuple:
+        self.crossed, self.seen, begun = -1, 0, self.at
         fields = []
-        while self.at < end:
-            fields.append(self.field())
-        if len(fields) != 7:
-            raise Bad("columns", fields[7][1] if len(fields) > 7 else end)
+        while not self.closed():
+            fields.append(self.field(begun))
+            self.at = _BLANKS.match(self.text, self.at).end()
+        stop = self.at
+        if self.seen not in (0, 2):
+            raise Bad("quoting", self.opened)
+        if len(fields) != 7 or self.text[begun] in " \t":
+            raise Bad("columns", begun if fields and self.text[begun] in " \t" else fields[7][1] if len(fields) > 7 else stop)
         (host, at), (ident, _), (user, _), (time, _), (request, request_at), (status, _), (size, size_at) = fields
         if not self.is_host(host):
             raise Bad("host", at)
         method, url, protocol = self.request(request, request_at)
+        size = self.size(size, size_at)
         ts, tz = self.time(time)
-        return host, ident, user, ts, tz, method, url, protocol, int(status) if _DIGITS.fullmatch(status) and len(status) < 10 else None, self.size(size, size_at)
-
-    def quotes(self) -> None:
-        """Either no unescaped quote, or two that stand as a field of their own."""
+        code = int(status) if _DIGITS.fullmatch(status) and len(status.lstrip("0")) < 19 else None
+        untyped = ([] if ts else ["ts"]) + ([] if code is not None else ["status"])
+        self.at = min(_RETURNS.match(self.text, stop).end() + 1, self.end + 1)
+        return host, ident, user, ts, tz, method, url, protocol, code, size, ",".join(untyped) or None
+
+    def closed(self) -> bool:
+        """Whether the record ends here: nothing but carriage returns up to an anchor or the end of the text."""
+        at = self.at
+        if at < self.end and self.text[at] == "\r":
+            at = _RETURNS.match(self.text, at).end()
+        return at == self.end or self.line_ends(at)
+
+    def line_ends(self, at: int) -> bool:
+        """Whether a line end stands here behind which the next record starts; no quote is open."""
+        return self.text[at] == "\n" and (self.rows is None or at + 1 == self.anchor)
+
+    def field(self, begun: int) -> tuple[str, int]:
+        """A bracketed or quoted run that blanks or the record's end follow, else a plain run, with its position."""
+        start, text = self.at, self.text
+        c = text[start]
+        if c == '"' and start > begun:
+            self.quoted()
+        elif not (c == "[" and self.bracketed()):
+            self.plain()
+        return text[start : self.at], start
+
+    def quoted(self) -> None:
+        """From an opening quote to the next one that is not escaped, over line ends if need be, but over no anchor."""
+        start = self.opened = self.at
+        self.seen += 1
+        if self.seen > 2:
+            raise Bad("quoting", start)
+        if self.seen == 2:  # the first one stood within brackets
+            if self.text[start + 1 : start + 2] not in (" ", "\t"):
+                self.after_quote(start)
+            self.at += 1
+            return
+        at = start + 1
+        while True:
+            at = _QUOTED.match(self.text, at).end()
+            if at >= self.end:
+                raise Bad("quoting", start)
+            if self.text[at] == '"':
+                break
+            if at + 1 == self.anchor and self.rows is not None or self.rows is None and (at + 1 >= self.end or _START.match(self.text, at + 1)):
+                raise Bad("quoting", start)
+            if self.crossed < 0 and self.rows is None:
+                self.crossed = start
+            at += 1
+        self.seen = 2
+        self.after_quote(at)
+        self.at = at + 1
+
+    def after_quote(self, at: int) -> None:
+        """What follows the second quote of a record: a blank, or the record's end."""
+        self.at = at + 1
+        if not (self.closed() or self.text[self.at] in " \t"):
+            raise Bad("quoting", at)
+
+    def bracketed(self) -> bool:
+        """A run up to the next closing bracket, if blanks or the record's end follow that; else the cursor stays."""
+        text, at, inner = self.text, self.at, []
+        while True:
+            at = _BRACKETED.match(text, at).end()
+            if at >= self.end or self.line_ends(at):
+                return False
+            if text[at] == "]":
+                break
+            if text[at] == "\r":
+                back, self.at = self.at, at
+                over = self.closed()
+                self.at = back
+                if over:
+                    return False
+            elif text[at] == '"':
+                inner.append(at)
+            at += 1
+        back, self.at = self.at, at + 1
+        if not (self.closed() or text[self.at] in " \t"):
+            self.at = back
+            return False
+        for quote in inner:
+            self.stray(quote)
+        self.at = at + 1
+        return True
+
+    def plain(self) -> None:
+        """A run without blanks, up to the record's end at most."""
         text = self.text
-        if text.count('"', self.at, self.end) == 2 and text.find("\\", self.at, self.end) < 0:
-            found = [text.index('"', self.at), text.rindex('"', self.at, self.end)]
+        while True:
+            if m := _PLAIN.match(text, self.at):
+                self.at = m.end()
+            if self.at >= self.end or text[self.at] in " \t" or self.closed():
+                return
+            if text[self.at] == '"':
+                self.stray(self.at)
+            self.at += 1
+
+    def stray(self, at: int) -> None:
+        """An unescaped quote within a bracketed or plain run counts as any other."""
+        self.seen += 1
+        here = self.at
+        if self.seen == 1:
+            self.opened = at
+            if at == 0 or self.text[at - 1] not in " \t":
+                raise Bad("quoting", at)
+        elif self.seen == 2:
+            self.after_quote(at)
+            self.at = here
         else:
-            found = [m.end() - 1 for m in _QUOTES.finditer(text, self.at, self.end) if len(m[1]) % 2 == 0]
-        if not found:
-            return
-        if len(found) != 2:
-            raise Bad("quoting", found[-1] if len(found) == 1 else found[min(2, len(found) - 1)])
-        first, second = found
-        if first == self.at or self.text[first - 1] not in " \t":
-            raise Bad("quoting", first)
-        if second + 1 < self.end and self.text[second + 1] not in " \t":
-            raise Bad("quoting", second)
-
-    def field(self) -> tuple[str, int]:
-        """A bracketed or quoted run that blanks or the end follow, else a run without blanks, with its position; blanks after it are passed."""
-        begun = self.at
-        m = _FIELD.match(self.text, begun, self.end)
-        if not m:  # a blank where a field should begin
-            raise Bad("columns", begun)
-        self.at = m.end()
-        return m[1], begun
+            raise Bad("quoting", at)
 
     @staticmethod
     def is_host(s: str) -> bool:
@@ -133,60 +258,60 @@ class Grammar:
         except (KeyError, ValueError):
             return None, None
 
-    def records(self, anchors: Iterator[int] | None = None) -> Iterator[tuple]:
-        """The values of RECORD for each record of the text, from anchor to anchor; error_at counts from the record's start."""
-        stops = [*(self.anchors() if anchors is None else anchors), len(self.text)]
-        for begun, stop in zip(stops, stops[1:]):
-            end = stop - 1 if anchors is None and stop > begun and self.text[stop - 1] == "\n" else stop
-            self.at = begun
-            try:
-                yield *self.record(end), None, None
-            except Bad as bad:
-                yield *[None] * (len(RECORD) - 2), bad.reason, bad.at - begun
 
-    def anchors(self) -> list[int]:
-        """Starts of records in the text of a file."""
-        found, begun = [0] if self.text else [], 0
-        for m in re.finditer("\n", self.text):
-            if m.end() < len(self.text):
-                open_quote = sum(len(q[1]) % 2 == 0 for q in _QUOTES.finditer(self.text, begun, m.start())) % 2
-                if not open_quote or _START.match(self.text, m.end()):
-                    found.append(m.end())
-                    begun = m.end()
-        return found
+def _columns(rows: list[tuple], schema: T.StructType) -> pa.Array:
+    kinds = [pa.field(f.name, _ARROW_TYPES[f.dataType.simpleString()]) for f in schema]
+    return pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(kinds), kinds)], fields=kinds)
+
+
+def read_rows(lines: list[str | None]) -> list[tuple]:
+    """The values of RECORD for each row of a table of lines, which are parsed as one text; a null line is an empty one."""
+    starts, at = [], 0
+    for s in lines:
+        starts.append(at)
+        at += len(s or "") + 1
+    return [values for _, _, values in Parser("\n".join(s or "" for s in lines), starts).records()]
 
 
-def _columns(rows: list[tuple]) -> pa.Array:
-    return pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(RECORD), _ARROW)], fields=list(_ARROW))
+def read_file(text: str) -> list[tuple]:
+    """The values of FILE_RECORD for each record and error in the text of a file; every line is in one of them."""
+    found, line_no = [], 1
+    for start, stop, values in Parser(text).records():
+        lines = text.count("\n", start, min(stop, len(text))) or 1
+        lines += stop > len(text) and text.count("\n", start, len(text)) > 0
+        found.append((line_no, lines, *values))
+        line_no += lines
+    return found
 
 
 def parse_line(value: Column) -> Column:
     """A struct as RECORD for a column of log lines, one record each: `reason` is null for a line that loads.
 
     The first reason that applies is given: quoting, columns, host, url, bytes. A null or empty line has no fields, so its
-    reason is `columns`. error_at is the position of the error in the line.
+    reason is `columns`. error_at is the position of the error in the line. A time or status that has no typed form is null,
+    and named in `untyped`.
     """
 
     @F.arrow_udf(RECORD)
     def parsed(lines: pa.Array) -> pa.Array:
-        return _columns([next(Grammar(s or "").records(iter([0]))) for s in lines.to_pylist()])
+        return _columns(read_rows(lines.to_pylist()), RECORD)
 
     # Marked so that a filter on the result is not planned as a second evaluation.
     return parsed.asNondeterministic()(value)
 
 
 def parse_file(text: Column) -> Column:
-    """An array of structs as RECORD for a column with texts of whole files; null for a null text."""
+    """An array of structs as FILE_RECORD for a column with texts of whole files; null for a null text, empty for an empty one."""
 
-    @F.arrow_udf(T.ArrayType(RECORD))
+    @F.arrow_udf(T.ArrayType(FILE_RECORD))
     def parsed(texts: pa.Array) -> pa.Array:
         offsets, rows = [0], []
         for s in texts.to_pylist():
-            rows += Grammar(s or "").records()
+            rows += read_file(s or "")
             offsets.append(len(rows))
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), _columns(rows), mask=texts.is_null())
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), _columns(rows, FILE_RECORD), mask=texts.is_null())
 
-    return parsed(text)
+    return parsed.asNondeterministic()(text)
 
 
 def parsed_lines(lines: DataFrame, line: str = "value") -> tuple[DataFrame, str]:
@@ -219,3 +344,18 @@ def loaded(lines: DataFrame, line: str = "value", ids: list[str] | None = None)
     df, name = parsed_lines(raw.distinct() if ids else raw, line)
     typed = [F.col(f"{name}.{f.name}").alias(free_name(f.name, ids or [])) for f in RECORD[:-2]]
     return df.where(F.col(f"{name}.reason").isNull()).select(*(ids or []), *typed)
+
+
+def text_records(lines: DataFrame, path: str = "path", line_no: str = "line_no", line: str = "value", block: int = 4096) -> DataFrame:
+    """(path, line_no, lines, columns of RECORD): the records and errors of texts given by their numbered lines.
+
+    Lines are put together to texts of `block` line numbers, so a file of any length is read by many tasks; a text's end is
+    an anchor like any other. line_no is that of a record's first line, and `lines` how many it takes. Numbers may have
+    gaps, must not repeat, and their lines hold no line end; null lines are empty ones, a null path is a path like any other.
+    """
+    place = F.struct(F.col(line_no).cast("bigint").alias("n"), F.coalesce(line, F.lit("")).alias("v"))
+    blocks = lines.select(F.col(path).alias("path"), F.floor(F.col(line_no) / block).alias("block"), place.alias("p")).where(F.col("p.n").isNotNull()).groupBy("path", "block").agg(F.array_sort(F.collect_list("p")).alias("l"))
+    # The last line gets its end as well, so that it counts if it is empty.
+    text = F.concat(F.array_join(F.transform("l", lambda x: x["v"]), "\n"), F.lit("\n"))
+    found = blocks.select("path", F.transform("l", lambda x: x["n"]).alias("n"), F.explode(parse_file(text)).alias("r"))
+    return found.select("path", F.element_at("n", F.col("r.line_no").cast("int")).alias("line_no"), *[f"r.{f.name}" for f in FILE_RECORD.fields[1:]])

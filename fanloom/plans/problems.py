@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from fanloom.functions.weblog import host_key, request_minute
 from fanloom.operators.hot_keys import hot_keys, weblog_totals
-from fanloom.operators.records import loaded, rejected
+from fanloom.operators.records import loaded, rejected, text_records
 from fanloom.operators.sessions import activity, gap_tree, sessions_at, weblog_sessions
-from fanloom.session import spread_scan, table
+from fanloom.session import table
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -38,7 +38,7 @@ def p3_totals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _raw_log(spark: SparkSession, d: str) -> DataFrame:
-    return spread_scan(table(spark, d, "raw_log").select("line_id", "value"))
+    return table(spark, d, "raw_log").select("line_id", "value")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -49,7 +49,13 @@ def p6_loaded(spark: SparkSession, d: str) -> DataFrame:
     return loaded(_raw_log(spark, d), ids=["line_id"]).select("line_id", "host", "method", "url", "status", "bytes")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_sessions, p2_settings, p3_found, p3_totals, p6_found, p6_loaded)}
+def p6_texts(spark: SparkSession, d: str) -> DataFrame:
+    """The bad lines again, found in texts put together from the lines of each file, in which broken quotes run on."""
+    lines = table(spark, d, "raw_log").select("file_name", "line_id", "value").distinct()
+    return text_records(lines, "file_name", "line_id").where("reason IS NOT NULL").select(F.col("line_no").alias("line_id"), "reason")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_sessions, p2_settings, p3_found, p3_totals, p6_found, p6_loaded, p6_texts)}
 
 _HOST = "lower(regexp_replace(trim(host, ' ' || chr(9)), '\\.$', ''))"
 _URL = "regexp_extract(url, '^[^?#]*')"
@@ -96,5 +102,6 @@ SELECT minutes, count(*) AS n_sessions, sum(c)::BIGINT AS n_requests, max(durati
     "p3_found": f"{_TOTALS}, sums AS (SELECT field, sum(requests) AS n FROM totals GROUP BY field) SELECT field, item FROM totals JOIN sums USING (field) WHERE requests >= 0.02 * n",
     "p3_totals": f"{_TOTALS} SELECT * FROM totals",
     "p6_found": f"{_LINES} SELECT line_id, reason FROM judged WHERE reason IS NOT NULL",
-    "p6_loaded": rf"{_LINES} SELECT line_id, host, request[1] AS method, replace(request[2], chr(1) || chr(1), '\\') AS url, TRY_CAST(status AS INTEGER) AS status, TRY_CAST(size AS BIGINT) AS bytes FROM judged WHERE reason IS NULL",
+    "p6_texts": f"{_LINES} SELECT line_id, reason FROM judged WHERE reason IS NOT NULL",
+    "p6_loaded": rf"{_LINES} SELECT line_id, host, request[1] AS method, replace(request[2], chr(1) || chr(1), '\\') AS url, TRY_CAST(status AS BIGINT) AS status, TRY_CAST(size AS BIGINT) AS bytes FROM judged WHERE reason IS NULL",
 }

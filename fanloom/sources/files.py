@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fanloom.operators.records import RECORD, parse_file, parse_line
+from fanloom.operators.records import RECORD, parse_line, text_records
 from fanloom.stream import Stream
 
 
@@ -50,10 +50,9 @@ def read_log(spark: SparkSession, *paths: str) -> DataFrame:
     return lines.withColumn("record", parse_line(F.col("value"))).select("file_no", "path", "line_no", "value", *[f"record.{f.name}" for f in RECORD])
 
 
-def read_log_files(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
-    """Typed requests of whole log files, in which broken quotes may run over line ends."""
-    texts = spark.read.option("wholetext", True).option("pathGlobFilter", glob).text(folder).select(F.col("_metadata.file_path").alias("path"), "value")
-    return texts.select("path", F.posexplode(parse_file(F.col("value"))).alias("record_no", "record")).select("path", F.col("record_no") + 1, *[f"record.{f.name}" for f in RECORD])
+def read_log_files(spark: SparkSession, *paths: str) -> DataFrame:
+    """(path, line_no, lines, columns of RECORD): typed requests of log files in which quotes may run over line ends."""
+    return text_records(read_lines(spark, *paths).df)
 
 
 def read_delimited(spark: SparkSession, *paths: str, delimiter: str = ",", null: str = "\\N", header: bool = False, schema: str | None = None) -> DataFrame:
