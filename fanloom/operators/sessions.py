@@ -5,10 +5,12 @@ run of events that hangs together for every allowed gap from its own largest inn
 the two gaps around it (`gap <= allowed < parent_gap`). So the nodes of one tree hold the sessions for all settings, and a
 setting is a filter.
 
-Trees are built per entity and chunk of time, so that no entity, however busy, has to fit into one task. A chunk's nodes
-that touch neither its first nor its last event are final. What does touch them, the two outer spines, is handed on as a
-short list of items in which every finished subtree counts as one; the lists of an entity's chunks, put together with the
-gaps between chunks, go through the same construction once more. Rows are first reduced to (entity, tick, events).
+Rows are first reduced to (entity, tick, events), each spread by its own id, so that no burst of one entity is one task's.
+Trees are then built per entity and chunk of time, so that no entity, however busy, has to fit into one task. A chunk's
+nodes that touch neither its first nor its last event are final. What does touch them, the two outer spines, is handed on
+as a short list of items in which every finished subtree counts as one; the lists of an entity's neighbouring chunks, put
+together with the gaps between chunks, go through the same construction: once for spans of SPAN chunks, and once for the
+whole entity.
 """
 
 from __future__ import annotations
@@ -22,9 +24,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fanloom.functions.weblog import host_key, minute_text, request_minute
+from fanloom.session import shuffle_partitions
 
 NO_GAP = np.int64(2**62)  # stands for the unbounded gap at either end of an entity
+#: Ticks of a chunk unless told, and chunks of a span, the level between chunks and entities.
+CHUNK, SPAN = 128, 1024
 _NODES = "entity string, start bigint, end bigint, events bigint, gap bigint, parent_gap bigint, open boolean"
+_NAMES = ["entity", "start", "end", "events", "gap", "parent_gap", "open"]
 
 
 def cartesian_tree(gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -92,7 +98,7 @@ def _build(start: np.ndarray, end: np.ndarray, events: np.ndarray, first: np.nda
         a, b = between[:-1], between[1:]
         ends = (gaps[a] == NO_GAP) | (gaps[b] == NO_GAP)
         lo, hi = np.concatenate([lo[keep], a]), np.concatenate([hi[keep], b])
-        gap = np.concatenate([gap[keep], np.where(ends & (b - a == 1), 0, -1)])  # -1: given out already
+        gap = np.concatenate([gap[keep], np.where(ends & (b - a == 1) & leaf[a], 0, -1)])  # -1: given out already
         parent = np.concatenate([parent[keep], np.zeros(len(a), np.int64)])
         is_open = np.concatenate([np.zeros(int(keep.sum()), bool), np.ones(len(a), bool)])
         keep = np.ones(len(lo), bool)
@@ -119,7 +125,7 @@ class _Level:
         start, end, events, kind = (t[c].to_numpy() for c in ("start", "end", "events", "gap"))
         lo, *values = _build(start, end, events, self._changes(t), kind >= 0, self.cut, self.closed)
         entity = t["entity"].combine_chunks().take(pa.array(lo))
-        return pa.RecordBatch.from_arrays([entity, *map(pa.array, values)], ["entity", "start", "end", "events", "gap", "parent_gap", "open"])
+        return pa.RecordBatch.from_arrays([entity, *map(pa.array, values)], _NAMES)
 
     def push(self, b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         if not b.num_rows:
@@ -138,48 +144,54 @@ class _Level:
             yield self._nodes(pa.Table.from_batches(self.held))
 
 
-def activity(df: DataFrame, entity: Column, tick: Column, ids: list[Column] | None = None, chunk: int = 10) -> DataFrame:
-    """(entity, chunk, tick, events): events per entity and tick, each record once.
+def activity(df: DataFrame, entity: Column, tick: Column, ids: list[Column] | None = None, chunk: int = CHUNK) -> DataFrame:
+    """(entity, chunk, tick, events): events per entity and tick, each record once; partitioned by entity and chunk of `chunk` ticks.
 
     ids identify a record that may be delivered again for the same entity and tick; without ids each row is an event.
     Rows with a null entity or tick take no part; a null id is an id like any other.
-    Partitioned by entity and chunk of `chunk` ticks, so a hot entity is spread over all its chunks.
+
+    Records are spread by entity, chunk and a part of their id's hash, and counted there by tick; the parts' counts are then
+    added up. An entity with a third of all rows in one tick is so counted by all tasks, and gives one row for each of them.
     """
     names = [f"id{i}" for i in range(len(ids or []))]
     rows = df.select(entity.cast("string").alias("entity"), tick.cast("bigint").alias("tick"), *[c.alias(n) for c, n in zip(ids or [], names)]).dropna(subset=["entity", "tick"])
     rows = rows.withColumn("chunk", F.floor(F.col("tick") / chunk))
-    if not names:
-        rows = rows.groupBy("entity", "chunk", "tick").agg(F.count("*").alias("events"))
-        return rows.repartition("entity", "chunk")
-    return rows.repartition("entity", "chunk").distinct().groupBy("entity", "chunk", "tick").agg(F.count("*").alias("events"))
+    key = ["entity", "chunk", "tick"]
+    if names:
+        parts = shuffle_partitions(df.sparkSession)
+        once = rows.withColumn("part", F.pmod(F.xxhash64(*names), F.lit(parts)).cast("int")).repartition("entity", "chunk", "part").distinct()
+        counted = once.groupBy(*key, "part").agg(F.count("*").alias("events")).drop("part")
+        return counted.repartition("entity", "chunk").groupBy(*key).agg(F.sum("events").alias("events"))
+    return rows.groupBy(*key).agg(F.count("*").alias("events")).repartition("entity", "chunk")
 
 
-def gap_tree(ticks: DataFrame, cut: int | None = None) -> DataFrame:
-    """Nodes of the merged trees over what activity() gives: (entity, start, end, events, gap, parent_gap).
+def gap_tree(ticks: DataFrame, cut: int | None = None, chunk: int = CHUNK, span: int = SPAN) -> DataFrame:
+    """Nodes of the merged trees over what activity() gives for chunks of `chunk` ticks: (entity, start, end, events, gap, parent_gap).
 
     Without cut, all nodes, to be stored once and read for many settings with sessions_at(). With cut, only the sessions
-    for that allowed gap, which saves passing on the rest.
+    for that allowed gap, which saves passing on the rest; a chunk then hands on two items at most, and so does a span.
     Ties (several events in one tick) are one leaf with its number of events; equal gaps make one node.
     An empty table gives no rows.
     """
     items = ticks.select("entity", "chunk", F.col("tick").alias("start"), F.col("tick").alias("end"), "events", F.lit(0).cast("bigint").alias("gap"))
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = _Level(["entity", "chunk"], cut, closed=False)
-        for b in batches:
-            yield from level.push(b)
-        yield from level.finish()
+    def level(group: list[str], closed: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            level = _Level(group, cut, closed)
+            for b in batches:
+                if "open" in b.schema.names:
+                    yield b.filter(pc.invert(b["open"])).select(_NAMES)
+                    b = b.filter(b["open"])
+                yield from level.push(b)
+            yield from level.finish()
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = _Level(["entity"], cut, closed=True)
-        for b in batches:
-            yield b.filter(pc.invert(b["open"]))
-            yield from level.push(b.filter(b["open"]))
-        yield from level.finish()
+        return run
 
-    # Finished nodes and open items go through one shuffle, so the first level runs once.
-    seen = items.sortWithinPartitions("entity", "start").mapInArrow(build, _NODES).repartition("entity").sortWithinPartitions("entity", "start")
-    return seen.mapInArrow(merge, _NODES).drop("open")
+    # Finished nodes and open items go through one shuffle, so each level runs once.
+    made = items.sortWithinPartitions("entity", "start").mapInArrow(level(["entity", "chunk"], False), _NODES)
+    spans = made.withColumn("span", F.floor(F.col("start") / (chunk * span))).repartition("entity", "span").sortWithinPartitions("entity", "start")
+    made = spans.mapInArrow(level(["entity", "span"], False), _NODES)
+    return made.repartition("entity").sortWithinPartitions("entity", "start").mapInArrow(level(["entity"], True), _NODES).drop("open")
 
 
 def sessions_at(nodes: DataFrame, allowed: int) -> DataFrame:
@@ -187,13 +199,15 @@ def sessions_at(nodes: DataFrame, allowed: int) -> DataFrame:
     return nodes.where((F.col("gap") <= allowed) & (F.col("parent_gap") > allowed)).select("entity", "start", "end", "events")
 
 
-def sessions(df: DataFrame, entity: Column, tick: Column, allowed: int, ids: list[Column] | None = None, chunk: int = 10) -> DataFrame:
+def sessions(df: DataFrame, entity: Column, tick: Column, allowed: int, ids: list[Column] | None = None, chunk: int | None = None, span: int = SPAN) -> DataFrame:
     """(entity, start, end, duration, events): sessions of each entity, in ticks.
 
     A new session starts when more than `allowed` ticks have passed since the entity's previous event. Rows with a null
     entity or tick take no part; repeated deliveries of an id count once; an empty table gives no sessions.
+    Chunks are four times the allowed gap, so their number depends on the time covered and not on how fine a tick is.
     """
-    found = sessions_at(gap_tree(activity(df, entity, tick, ids, chunk), cut=allowed), allowed)
+    chunk = chunk or max(4 * allowed, 16)
+    found = sessions_at(gap_tree(activity(df, entity, tick, ids, chunk), allowed, chunk, span), allowed)
     return found.withColumn("duration", F.col("end") - F.col("start"))
 
 

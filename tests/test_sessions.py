@@ -41,22 +41,33 @@ def rows():
     return out + [(None, 5, 1), ("x", None, 2), ("lone", 7, 3), ("", 1, 4), ("", 2, 5)]
 
 
-@pytest.mark.parametrize("chunk", [1, 7, 100, 10**6])
+@pytest.mark.parametrize("chunk, span", [(1, 3), (7, 4), (100, 2), (10**6, 1024), (None, 1024)])
 @pytest.mark.parametrize("allowed", [0, 1, 5, 40, 10**6])
-def test_sessions_match_a_walk(spark, small_batches, rows, chunk, allowed):
-    df = sessions(table(spark, rows), F.col("entity"), F.col("tick"), allowed, [F.col("id")], chunk)
+def test_sessions_match_a_walk(spark, small_batches, rows, chunk, span, allowed):
+    df = sessions(table(spark, rows), F.col("entity"), F.col("tick"), allowed, [F.col("id")], chunk, span)
     assert found(df) == brute(rows, allowed)
 
 
-@pytest.mark.parametrize("chunk", [3, 50])
-def test_one_tree_serves_all_settings(spark, small_batches, rows, chunk):
-    nodes = gap_tree(activity(table(spark, rows), F.col("entity"), F.col("tick"), [F.col("id")], chunk)).persist()
+@pytest.mark.parametrize("chunk, span", [(3, 5), (50, 1024)])
+def test_one_tree_serves_all_settings(spark, small_batches, rows, chunk, span):
+    nodes = gap_tree(activity(table(spark, rows), F.col("entity"), F.col("tick"), [F.col("id")], chunk), None, chunk, span).persist()
     for allowed in (0, 1, 2, 3, 8, 25, 200, 10**7):
         assert found(sessions_at(nodes, allowed)) == brute(rows, allowed), allowed
     n = nodes.groupBy("entity", "start", "end").count()
     assert n.where("count > 1").count() == 0
 
 
+def test_a_burst_of_one_entity_is_spread(spark):
+    """A third of all rows in one minute of one entity: no task counts more than its share of them."""
+    log = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("e"), F.col("id").cast("string"))).alias("e"), F.lit(7).alias("t"), "id")
+    once = activity(log, F.col("e"), F.col("t"), [F.col("id")])
+    shuffles = [x for x in once._jdf.queryExecution().optimizedPlan().toString().splitlines() if "RepartitionByExpression" in x]
+    assert len(shuffles) == 2 and "part#" in shuffles[1].split("[")[1].split("]")[0]
+    by_part = log.where("e = 'hot'").groupBy(F.pmod(F.xxhash64("id"), F.lit(4))).count().collect()
+    assert len(by_part) == 4 and max(r["count"] for r in by_part) < 3000
+    assert [tuple(r) for r in sessions(log, F.col("e"), F.col("t"), 30, [F.col("id")]).where("entity = 'hot'").collect()] == [("hot", 7, 7, 10_000, 0)]
+
+
 def test_duration_and_missing_ids(spark):
     df = sessions(spark.createDataFrame([("a", 1), ("a", 1), ("a", 4), ("a", 99)], "entity string, tick long"), F.col("entity"), F.col("tick"), 3)
     assert {tuple(r) for r in df.select("start", "end", "duration", "events").collect()} == {(1, 4, 3, 3), (99, 99, 0, 1)}
