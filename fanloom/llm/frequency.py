@@ -1,10 +1,13 @@
 """How often every distinct term occurs, and in how many records, with marks on those too rare or too common.
 
-Blocks of records are encoded with a dictionary of their own and counted in two arrays by identifier, occurrences and
-records; a block is bounded by its number of distinct terms. What leaves a task are those arrays with their terms, spread
-over identifier ranges by the terms' hash. Each range then builds its part of the global dictionary, in byte order, encodes
-the blocks' terms with it, and sums their arrays. A global identifier is the range and the place in it, so identifiers need
-no counting across ranges. A term that makes up most of the text reaches its range as one number per block.
+Blocks of records are counted in two arrays, occurrences and records, over the block's own dictionary; a block is bounded by
+its number of distinct terms. The blocks' terms, each once a block, then meet in RANGES ranges of their hash, where the
+global dictionary gives each distinct term an integer: the range, and the term's place in it in byte order. Every block's
+counts are encoded with these identifiers, come out of the dictionary in their order, and are added up in arrays over ranges
+of PLACES identifiers, one such range after the other. A term that makes up most of the text is one number per block.
+
+Identifiers depend on the set of terms alone, not on the cluster. With the dictionary of an earlier run, its terms keep
+their identifiers and new terms follow, so encoded data stays valid.
 """
 
 from __future__ import annotations
@@ -14,15 +17,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fanloom.session import shuffle_partitions
-
 #: Fixed value: what separates words; other Unicode spaces, and the vertical tab, are part of words.
 WORD_BREAK = "[ \t\n\r\f]+"
 _PARTIAL = "term string, occurrences bigint, records bigint"
-_RANGE_BITS = 40
+#: Ranges of the terms' hash, the bits of a place in them, and identifiers in one count array. Lasting: identifiers depend on the first two.
+RANGES, _PLACE_BITS, PLACES = 4096, 40, 1 << 16
 
 
 def _counts(terms: pa.Array, weight: np.ndarray | None, record: np.ndarray | None) -> pa.Table:
@@ -91,33 +93,87 @@ def keys_by_block(counts: DataFrame, most_terms: int = 200_000) -> DataFrame:
     return counts.select("term", "weight").mapInArrow(lambda it: _blocks(keyed(it), most_terms), _PARTIAL)
 
 
-def sum_by_range(blocks: DataFrame, ranges: int | None = None) -> DataFrame:
-    """(term_id, term, occurrences, records) over all blocks; a range is one group, so ranges bounds a task's memory.
+def encoded(blocks: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(term_id, term, occurrences, records): the blocks' counts under the identifiers of the global dictionary, in their order within each partition.
 
-    By default there are four times as many ranges as shuffle partitions, so they grow with what the cluster is set to.
+    known (term_id, term) is a dictionary made before, whose identifiers are kept. The dictionary is a ranking within hash
+    ranges, which reads sorted rows one after another, so no range has to fit into memory.
     """
-    ranges = ranges or 4 * shuffle_partitions(blocks.sparkSession)
+    rows = blocks.select("term", "occurrences", "records", F.lit(None).cast("bigint").alias("_known"))
+    if known is not None:
+        rows = rows.unionAll(known.select("term", F.lit(0).cast("bigint"), F.lit(0).cast("bigint"), F.col("term_id")))
+    placed = rows.withColumn("_range", F.pmod(F.xxhash64("term"), F.lit(RANGES)).cast("bigint")).repartition("_range")
+    order = [F.col("term")]
+    if known is not None:
+        # Known terms first, by their identifiers, which fill the first places of their range.
+        placed = placed.withColumn("_known", F.max("_known").over(Window.partitionBy("_range", "term")))
+        order = [F.col("_known").asc_nulls_last(), F.col("term")]
+    place = F.dense_rank().over(Window.partitionBy("_range").orderBy(*order)).cast("bigint") - 1
+    return placed.select((F.shiftleft("_range", _PLACE_BITS) + place).alias("term_id"), "term", "occurrences", "records")
+
 
-    def total(key: tuple, t: pa.Table) -> pa.Table:
-        summed = _sum([t.select(["term", "occurrences", "records"])])
-        ids = (key[0].as_py() << _RANGE_BITS) + np.arange(summed.num_rows)
-        return summed.add_column(0, "term_id", pa.array(ids, pa.int64()))
+def dictionary(blocks: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(term_id, term) of every distinct term, to be stored and passed on as `known`."""
+    return encoded(blocks, known).select("term_id", "term").distinct()
 
-    placed = blocks.withColumn("range", F.pmod(F.xxhash64("term"), F.lit(ranges)).cast("bigint"))
-    return placed.groupBy("range").applyInArrow(total, "term_id bigint, term string, occurrences bigint, records bigint")
 
+def sum_by_range(counts: DataFrame, places: int = PLACES) -> DataFrame:
+    """(term_id, term, occurrences, records) summed over what encoded() gives.
+
+    The rows of a partition come in the order of their identifiers. Their counts are added into arrays over a range of
+    `places` identifiers; the arrays are given out when the identifiers leave the range, and begun anew.
+    """
 
-def word_frequencies(df: DataFrame, text: str, ids: list[str]) -> tuple[DataFrame, Column]:
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = [np.zeros(places, np.int64), np.zeros(places, np.int64)]
+        terms: list[pa.Array] = []  # of the identifiers seen in the range, which come without gaps
+        at, n, done = -1, 0, []
+
+        def close() -> None:
+            nonlocal n
+            if n:
+                done.append(pa.table([pa.array(at * places + np.arange(n)), pa.chunked_array(terms), *[pa.array(c[:n].copy()) for c in sums]], names=["term_id", "term", "occurrences", "records"]))
+                for c in sums:
+                    c[:n] = 0
+                terms.clear()
+                n = 0
+
+        for b in batches:
+            ids = b["term_id"].to_numpy()
+            counts, which = [b[c].to_numpy() for c in ("occurrences", "records")], ids // places
+            edges = [0, *(np.flatnonzero(which[1:] != which[:-1]) + 1).tolist(), len(ids)] if len(ids) else []
+            for a, z in zip(edges, edges[1:]):
+                if at != which[a]:
+                    close()
+                    at = int(which[a])
+                place = ids[a:z] - at * places
+                for c, x in zip(sums, counts):
+                    np.add.at(c, place, x[a:z])
+                new = np.flatnonzero(np.diff(place, prepend=n - 1))
+                terms.append(b["term"].take(pa.array(a + new)))
+                n = int(place[-1]) + 1
+            if sum(t.num_rows for t in done) >= 10_000:
+                yield from pa.concat_tables(done).combine_chunks().to_batches()
+                done = []
+        close()
+        if done:
+            yield from pa.concat_tables(done).combine_chunks().to_batches()
+
+    return counts.mapInArrow(total, "term_id bigint, term string, occurrences bigint, records bigint")
+
+
+def word_frequencies(df: DataFrame, text: str, ids: list[str], known: DataFrame | None = None) -> tuple[DataFrame, Column]:
     """Frequencies of the words in df's text column, and the number of records as a scalar subquery.
 
     A record is a distinct combination of ids, nulls included; if it was delivered several times, one delivery counts.
-    Null, empty and blank texts are records without words. Words are compared exactly.
+    Null, empty and blank texts are records without words. Words are compared exactly. known is a dictionary made before;
+    its terms come out too, with no occurrences if there are none.
     """
     once = df.select(*ids, text).dropDuplicates(ids)
-    return sum_by_range(words_by_block(once, text)), df.select(*ids).distinct().agg(F.count("*")).scalar()
+    return sum_by_range(encoded(words_by_block(once, text), known)), df.select(*ids).distinct().agg(F.count("*")).scalar()
 
 
-def key_frequencies(df: DataFrame, key: Column, weight: Column, record: str, ids: list[str]) -> tuple[DataFrame, Column]:
+def key_frequencies(df: DataFrame, key: Column, weight: Column, record: str, ids: list[str], known: DataFrame | None = None) -> tuple[DataFrame, Column]:
     """Frequencies of weighted keys, and the number of distinct records (of all rows of df, null left out).
 
     A row is a distinct combination of ids. Rows with a null or empty key, or a null weight or one below 1, take no part.
@@ -127,7 +183,7 @@ def key_frequencies(df: DataFrame, key: Column, weight: Column, record: str, ids
     once = df.select(*[F.col(c).alias(n) for c, n in zip(ids, named)], F.col(record).alias("_record"), key.alias("term"), weight.cast("bigint").alias("weight")).dropDuplicates(named)
     valid = once.where((F.col("term") != "") & (F.col("weight") >= 1))
     per_record = valid.groupBy("_record", "term").agg(F.sum("weight").alias("weight"))
-    return sum_by_range(keys_by_block(per_record)), df.agg(F.count_distinct(record)).scalar()
+    return sum_by_range(encoded(keys_by_block(per_record), known)), df.agg(F.count_distinct(record)).scalar()
 
 
 def marked(frequencies: DataFrame, n_records: Column, rare: Column, common_share: float) -> DataFrame:

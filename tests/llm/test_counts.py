@@ -42,8 +42,38 @@ def test_blocks_are_bounded_and_add_up(spark, small_batches):
     df = spark.createDataFrame([(f"a{i % 37} hot b{i}",) for i in range(400)], "t string").coalesce(1)
     blocks = frequency.words_by_block(df, "t", most_terms=20)
     assert blocks.where("term = 'hot'").count() > 5
-    total = frequency.sum_by_range(blocks, ranges=3)
-    assert {r.term: r.occurrences for r in total.collect()}["hot"] == 400 and total.count() == 37 + 400 + 1
+    for places in (1 << 16, 1):
+        total = frequency.sum_by_range(frequency.encoded(blocks), places)
+        assert {r.term: r.occurrences for r in total.collect()}["hot"] == 400 and total.count() == 37 + 400 + 1
+
+
+def test_ranges_of_many_terms_are_summed_in_bounded_arrays(spark, small_batches, monkeypatch):
+    """All terms in two ranges, with arrays of 16 places."""
+    monkeypatch.setattr(frequency, "RANGES", 2)
+    df = spark.createDataFrame([(f"a{i % 37} hot b{i % 300}",) for i in range(900)], "t string").repartition(3)
+    got = frequency.sum_by_range(frequency.encoded(frequency.words_by_block(df, "t", most_terms=20)), 16).collect()
+    want = Counter(w for i in range(900) for w in (f"a{i % 37}", "hot", f"b{i % 300}"))
+    assert {r.term: (r.occurrences, r.records) for r in got} == {w: (c, c) for w, c in want.items()} and len({r.term_id for r in got}) == len(want)
+
+
+def test_identifiers_last(spark, small_batches):
+    """The same whatever the number of partitions and blocks; terms of an earlier dictionary keep theirs."""
+    texts = [f"t{i} t{i % 7} é" for i in range(200)]
+    blocks = lambda xs, n: frequency.words_by_block(spark.createDataFrame([(x,) for x in xs], "t string").repartition(n), "t", 20)
+    ids = lambda df: {r.term: r.term_id for r in df.collect()}
+    first = ids(frequency.dictionary(blocks(texts, 3)))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        assert ids(frequency.dictionary(blocks(texts, 1))) == first and len(set(first.values())) == len(first) == 201
+        known = spark.createDataFrame(list(first.items()), "term string, term_id long")
+        more = [f"n{i} t{i}" for i in range(5000)] + ["a"]
+        extended = ids(frequency.dictionary(blocks(more, 2), known))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert {t: extended[t] for t in first} == first and len(set(extended.values())) == len(extended) == len({*first, *" ".join(more).split()})
+    again = frequency.sum_by_range(frequency.encoded(blocks(["t1 t1 new"], 1), known)).where("occurrences > 0")
+    assert {r.term: (r.occurrences, r.term_id == first.get(r.term)) for r in again.collect()} == {"t1": (2, True), "new": (1, False)}
 
 
 def test_key_frequencies(spark):
