@@ -22,10 +22,16 @@ ROWS, CELL_BITS = 4, 11
 _CELLS = "field string, row int, cell int, candidate string, total bigint, surplus bigint"
 
 
+def _check(bits: int) -> None:
+    if not 1 <= bits <= 64 // ROWS:
+        raise ValueError(f"{ROWS} rows take their cells from one hash of 64 bits, so cells have 1 to {64 // ROWS} bits")
+
+
 class Sketch:
     """The cells of one task for one field: ROWS x 2**bits, whatever it is fed."""
 
     def __init__(self, bits: int = CELL_BITS):
+        _check(bits)
         self.bits = bits
         self.total = np.zeros((ROWS, 1 << bits), np.int64)
         self.surplus = np.zeros_like(self.total)
@@ -75,6 +81,8 @@ def sketch(df: DataFrame, fields: list[str], bits: int = CELL_BITS) -> DataFrame
     Sketches of other parts of the data can be added with merge(a.unionByName(b)).
     """
 
+    _check(bits)
+
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketches = {f: Sketch(bits) for f in fields}
         for b in batches:

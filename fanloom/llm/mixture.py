@@ -11,7 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fanloom.llm.bpe import BYTE_BPE_50K, token_count
-from fanloom.session import broadcast_if_bounded, free_name
+from fanloom.session import free_name
+
+#: Parts into which a source's documents are spread when they meet their rate.
+PARTS = 64
 
 
 def measured(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", path: str = BYTE_BPE_50K) -> DataFrame:
@@ -19,6 +22,14 @@ def measured(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", te
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), token_count(F.col(text), path).alias("tokens"))
 
 
+def kept(sizes: DataFrame) -> DataFrame:
+    """What measured() gives, for several readers of one query: it is made once, as the readers share the shuffle that spreads it.
+
+    The sizes pass a shuffle by document and source, and are handed on as they are, so that each reader plans the same below.
+    """
+    return sizes.repartition("doc_id", "source").mapInArrow(lambda batches: batches, sizes.schema)
+
+
 def rates(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     """One row per source of targets: (source, target_share, max_repeats, tokens, size, wanted, rate, falls_short).
 
@@ -48,8 +59,10 @@ def copies(docs: DataFrame, plan: DataFrame, seed: int = 17) -> DataFrame:
     """
     whole = F.floor("_rate")
     drawn = (_fraction(seed, F.col("doc_id")) < F.col("_rate") - whole).cast("bigint")
-    rated = docs.join(broadcast_if_bounded(plan.select("source", F.col("rate").alias("_rate"))), "source")
-    return rated.withColumn(free_name("copies", docs.columns), whole + drawn).drop("_rate")
+    # A source's rate is repeated for every part, and its documents spread over the parts, so no source is one task's.
+    rated = plan.select("source", F.col("rate").alias("_rate"), F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("_part"))
+    placed = docs.withColumn("_part", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int"))
+    return placed.join(rated, ["source", "_part"]).select(*docs.columns, (whole + drawn).alias(free_name("copies", docs.columns)))
 
 
 def mixture(docs: DataFrame, plan: DataFrame, seed: int = 17) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fanloom.functions.weblog import area, host_key, url_key
 from fanloom.llm import bpe, distinct, frequency, heavy, mixture, pieces
 from fanloom.operators.hot_keys import distinct_records
-from fanloom.session import checkpointed, spread_scan, table
+from fanloom.session import table
 
 
 def _frequencies(spark: SparkSession, d: str) -> DataFrame:
@@ -58,7 +58,7 @@ def p5_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, d: str) -> DataFrame:
-    return spread_scan(table(spark, d, "documents").select("doc_id", "source", "text"))
+    return table(spark, d, "documents").select("doc_id", "source", "text")
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -66,29 +66,37 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    """Documents whose text does not come back from its ids; there should be none."""
-    docs = _documents(spark, d).select("doc_id", "text", bpe.encode(F.col("text")).alias("ids"))
-    return docs.withColumn("back", bpe.decode(F.col("ids"))).where(F.col("back") != F.coalesce("text", F.lit(""))).select("doc_id")
-
-
-def _plan(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    docs = mixture.measured(_documents(spark, d))
-    return docs, mixture.rates(docs, table(spark, d, "mix_targets"))
+    """A digest of what the ids of every document decode to, which is that of its text."""
+    back = bpe.decode(bpe.encode(F.col("text")))
+    return _documents(spark, d).select("doc_id", F.md5(back.cast("binary")).alias("digest"))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return _plan(spark, d)[1].where("falls_short").select("source")
+    return mixture.rates(mixture.measured(_documents(spark, d)), table(spark, d, "mix_targets")).where("falls_short").select("source")
 
 
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
-    """Targets and what the mixture really reaches; the documents are tokenised once and their sizes kept."""
-    docs = checkpointed(mixture.measured(_documents(spark, d)))
+    """Targets and what the mixture really reaches; the documents are tokenised once."""
+    docs = mixture.kept(mixture.measured(_documents(spark, d)))
     return mixture.reached(docs, mixture.rates(docs, table(spark, d, "mix_targets")))
 
 
+def p8_reached(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each source holds the tokens wanted of it: all its uses if it falls short, else what was wanted up to six standard deviations of the draw."""
+    docs = mixture.kept(mixture.measured(_documents(spark, d)))
+    plan = mixture.rates(docs, table(spark, d, "mix_targets"))
+    part = F.col("rate") - F.floor("rate")
+    spread = F.sqrt(F.sum(F.col("tokens").cast("double") * F.col("tokens") * part * (1 - part)))
+    drawn = docs.select("source", "tokens").join(plan.select("source", "rate"), "source").groupBy("source").agg(spread.alias("spread"))
+    held = mixture.reached(docs, plan).join(drawn, "source", "left")
+    short = F.col("mixed_tokens") == F.col("tokens") * F.col("max_repeats")
+    enough = F.abs(F.col("mixed_tokens") - F.col("wanted")) <= 6 * F.coalesce("spread", F.lit(0.0)) + 1e-6 * F.col("wanted")
+    return held.select("source", F.when(F.col("falls_short"), short).otherwise(enough).alias("reached"))
+
+
 def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
-    """The documents of the mixture, one row per use."""
-    docs = checkpointed(mixture.measured(_documents(spark, d)))
+    """The documents of the mixture, one row per use; they are tokenised once."""
+    docs = mixture.kept(mixture.measured(_documents(spark, d)))
     return mixture.mixture(docs, mixture.rates(docs, table(spark, d, "mix_targets")))
 
 
@@ -101,7 +109,16 @@ def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
     return pieces.split_documents(_documents(spark, d), 1024, 64)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_frequencies, p4_found, p4_bounds, p5_found, p5_counts, p7_ids, p7_round_trip, p8_found, p8_shares, p8_mixture, p9_found, p9_pieces)}
+def p9_rebuilt(spark: SparkSession, d: str) -> DataFrame:
+    """A digest of what the pieces of every document put together to, each without what it repeats, which is that of its text."""
+    cut = p9_pieces(spark, d)
+    placed = F.array_sort(F.collect_list(F.struct("piece", "char_start", "char_end", "text")))
+    rest = F.transform("parts", lambda x, i: F.when(i == 0, x["text"]).otherwise(F.substring(x["text"], F.element_at("parts", i)["char_end"] - x["char_start"] + 1, F.length(x["text"]))))
+    rebuilt = cut.groupBy("doc_id").agg(placed.alias("parts")).select("doc_id", F.array_join(rest, "").alias("text"))
+    return rebuilt.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_frequencies, p4_found, p4_bounds, p5_found, p5_counts, p7_ids, p7_round_trip, p8_found, p8_shares, p8_reached, p8_mixture, p9_found, p9_pieces, p9_rebuilt)}
 
 _HOST = "lower(regexp_replace(trim(host, ' ' || chr(9)), '\\.$', ''))"
 _URL = "regexp_extract(url, '^[^?#]*')"
@@ -125,6 +142,9 @@ WITH requests AS (SELECT line_no, any_value({_HOST}) AS host, any_value({_URL})
  keys AS (SELECT 'host' AS field, host AS item FROM requests WHERE host NOT IN ('', '-') UNION ALL SELECT 'url', url FROM requests WHERE url LIKE '/%'),
  totals AS (SELECT field, item, count(*) AS c FROM keys GROUP BY field, item), sums AS (SELECT field, sum(c) AS n FROM totals GROUP BY field)
 SELECT field, item FROM totals JOIN sums USING (field) WHERE c >= 0.003 * n""",
+    "p7_round_trip": "SELECT doc_id, md5(coalesce(text, '')) AS digest FROM documents",
+    "p8_reached": "SELECT DISTINCT source, true AS reached FROM mix_targets",
+    "p9_rebuilt": "SELECT doc_id, md5(text) AS digest FROM documents WHERE text <> ''",
     "p5_found": f"""{_COUNTS}, cells AS (SELECT day, area, count(DISTINCT host) AS n FROM hosts GROUP BY day, area),
  days AS (SELECT day, count(DISTINCT host) AS total FROM hosts GROUP BY day)
 SELECT day, area FROM cells JOIN days USING (day) WHERE n >= 0.4 * total""",

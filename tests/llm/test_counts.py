@@ -122,6 +122,12 @@ def test_sketches_of_parts_merge(spark):
     assert heavy.frequent(spark.createDataFrame([(None,)], "f string"), ["f"], 0.1).count() == 0
 
 
+def test_cells_need_bits_of_one_hash(spark):
+    for bits in (0, 17):
+        with pytest.raises(ValueError):
+            heavy.sketch(spark.createDataFrame([("a",)], "f string"), ["f"], bits)
+
+
 def test_distinct_counts(spark):
     rng = random.Random(3)
     rows = [("hot" if i % 3 == 0 else f"u{rng.randrange(40)}", rng.choice(["d1", "d2", None]), rng.choice("abc"), 1) for i in range(2000)] + [(None, "d1", "a", 1)]

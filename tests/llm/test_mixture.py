@@ -69,4 +69,25 @@ def test_query(spark):
     want = {t.source for t in targets if t.max_repeats * held.get(t.source, 0) < t.target_share * size}
     assert {r.source for r in QUERIES["p8_found"](spark, oracle.DATA).collect()} == want and want
     assert QUERIES["p8_shares"](spark, oracle.DATA).count() == len(targets)
-    assert QUERIES["p8_mixture"](spark, oracle.DATA).count() > 0
+    plan = {r.source: r for r in QUERIES["p8_shares"](spark, oracle.DATA).collect()}
+    uses = {(r.source, r.doc_id): r["count"] for r in QUERIES["p8_mixture"](spark, oracle.DATA).groupBy("source", "doc_id").count().collect()}
+    docs = [r for r in spark.read.parquet(f"{oracle.DATA}/documents.parquet").collect() if r.source in wanted]
+    for r in docs:
+        assert uses.get((r.source, r.doc_id), 0) - int(plan[r.source].rate) in (0, 1) and uses.get((r.source, r.doc_id), 0) <= plan[r.source].max_repeats
+    for source, p in plan.items():
+        assert p.mixed_tokens == sum(bpe.count(r.text) * uses.get((source, r.doc_id), 0) for r in docs if r.source == source)
+    assert set(uses) <= {(r.source, r.doc_id) for r in docs} and all(r.reached for r in QUERIES["p8_reached"](spark, oracle.DATA).collect())
+
+
+def test_one_source_is_spread(spark):
+    docs = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("only").alias("source"), F.lit(2).cast("long").alias("tokens"))
+    targets = spark.createDataFrame([("only", 0.5, 1)], "source string, target_share double, max_repeats int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = copies(docs, rates(docs, targets)).withColumn("at", F.spark_partition_id())
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        sizes = [r["count"] for r in made.groupBy("at").count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(sizes) == 5000 and len(sizes) == 4 and max(sizes) < 2500
