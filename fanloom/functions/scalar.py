@@ -1,11 +1,15 @@
-"""Scalar functions over text, dates and complex numbers, all on the JVM side."""
+"""Scalar functions over text, dates and complex numbers, on the JVM side; transforms of whole vectors in Arrow batches."""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def ascii_lower(value: Column) -> Column:
@@ -119,3 +123,50 @@ def inverse_transform(channels: list[Column]) -> list[Column]:
             for k in range(half):
                 x[begin + k], x[begin + k + half] = butterfly(x[begin + k], x[begin + k + half], stage, k)
     return x
+
+
+def transform_stages(df: DataFrame, keep: list[str], channels: list[str]) -> DataFrame:
+    """The same network over 2**k columns of numbers, as one projection for each of its stages: (keep, re0, im0, re1, im1, ...).
+
+    A stage names what it makes, and the next one reads it by name, so no expression holds another one twice.
+    """
+    n = len(channels)
+    bits = n.bit_length() - 1
+    if 1 << bits != n:
+        raise ValueError("the number of channels must be a power of two")
+    first = [F.col(channels[int(format(i, f"0{bits}b")[::-1], 2) if bits else 0]).cast("double") for i in range(n)]
+    made = df.select(*keep, *[c for i, x in enumerate(first) for c in (x.alias(f"re{i}"), F.lit(0.0).alias(f"im{i}"))])
+    for stage in range(1, bits + 1):
+        half, out = 1 << (stage - 1), {}
+        for begin in range(0, n, 2 * half):
+            for k in range(half):
+                i, j = begin + k, begin + k + half
+                a, b = ({"re": F.col(f"re{x}"), "im": F.col(f"im{x}")} for x in (i, j))
+                c, s = twiddle(stage, k)
+                re, im = b["re"] * c - b["im"] * s, b["re"] * s + b["im"] * c
+                out |= {f"re{i}": a["re"] + re, f"im{i}": a["im"] + im, f"re{j}": a["re"] - re, f"im{j}": a["im"] - im}
+        made = made.select(*keep, *[out[f"{p}{i}"].alias(f"{p}{i}") for i in range(n) for p in ("re", "im")])
+    return made
+
+
+def transformed(vector: Column) -> Column:
+    """The unscaled transform of arrays of numbers of any length, as arrays of complex numbers; whole batches at a time.
+
+    Null arrays stay null, and empty ones empty; a null number is taken as 0.
+    """
+    kind = T.StructType([T.StructField("re", T.DoubleType(), False), T.StructField("im", T.DoubleType(), False)])
+
+    @F.arrow_udf(T.ArrayType(kind, False))
+    def run(values: pa.Array) -> pa.Array:
+        flat = pc.fill_null(values.flatten().cast(pa.float64()), 0.0).to_numpy(zero_copy_only=False)
+        sizes = pc.fill_null(pc.list_value_length(values), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        offsets = np.concatenate([[0], np.cumsum(sizes)])
+        out = np.empty(len(flat), complex)
+        for n in np.unique(sizes[sizes > 0]):  # vectors of one length are one matrix
+            at = offsets[:-1][sizes == n][:, None] + np.arange(n)
+            out[at] = np.fft.ifft(flat[at], axis=1) * n
+        fields = [pa.field("re", pa.float64(), False), pa.field("im", pa.float64(), False)]
+        items = pa.StructArray.from_arrays([pa.array(out.real.copy()), pa.array(out.imag.copy())], fields=fields)
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), items, type=pa.list_(pa.field("element", items.type, False)), mask=values.is_null())
+
+    return run(vector)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
@@ -20,14 +21,31 @@ def fuse_columns(df: DataFrame, branches: dict[str, Column], keep: tuple[str, ..
     return df.select(*keep, *[c.alias(n) for n, c in branches.items()])
 
 
+_kept: ContextVar[list[DataFrame] | None] = ContextVar("kept", default=None)
+
+
 @contextmanager
-def shared(df: DataFrame, consumers: int) -> Iterator[DataFrame]:
-    """df, kept while several consumers that cannot be fused read it; spilled to disk where memory is short, and redone if lost."""
-    if consumers < 2:
-        yield df
-        return
-    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+def keeping() -> Iterator[None]:
+    """While this is open, what several branches of a graph read is kept: spilled to disk where memory is short, redone if lost.
+
+    For runs that end within it; a plan that is only handed on should not hold storage, and is left to Spark's own sharing
+    of equal shuffles.
+    """
+    token = _kept.set([])
     try:
-        yield kept
+        yield
     finally:
-        kept.unpersist()
+        for df in _kept.get():
+            df.unpersist()
+        _kept.reset(token)
+
+
+def shared(df: DataFrame, consumers: int) -> DataFrame:
+    """df, kept for its consumers if there are several that cannot be fused, and a keeping() is open."""
+    kept = _kept.get()
+    if consumers < 2 or kept is None:
+        return df
+    if not df.is_cached:
+        df.persist(StorageLevel.MEMORY_AND_DISK)
+        kept.append(df)
+    return df

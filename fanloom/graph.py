@@ -6,7 +6,8 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from fanloom.arity import ANY, Node, solve, unify
-from fanloom.stream import Bundle, PlanError, Stream, gather, group_copy, group_gather, permute, scatter
+from fanloom.fuse import shared
+from fanloom.stream import Bundle, PlanError, Scattered, Stream, gather, group_copy, group_gather, permute, scatter
 
 
 class Stage:
@@ -39,7 +40,11 @@ class Stage:
 
 @dataclass
 class Function(Stage):
-    """A Python function from channels to channels, with a fixed or adapting number of both."""
+    """A Python function from channels to channels, with a fixed or adapting number of both.
+
+    each, if given, does the same in all channels of a scattered stream at once: (stream, column of the channel) to a stream
+    that keeps the column.
+    """
 
     fn: Callable[..., object]
     takes: int = 1
@@ -47,6 +52,7 @@ class Function(Stage):
     name: str = ""
     reads: frozenset[str] = frozenset()  # stored values it uses
     writes: frozenset[str] = frozenset()  # and defines
+    each: Callable[[Stream, str], Stream] | None = None
 
     def __post_init__(self):
         self.name = self.name or getattr(self.fn, "__name__", "function")
@@ -78,8 +84,13 @@ class _Adapter(Stage):
 
 
 def tee() -> Stage:
-    """Copies its inputs, as a group, to as many channels as are taken."""
-    return _Adapter("tee", group_copy)
+    """Copies its inputs, as a group, to as many channels as are taken; within keeping(), the inputs are computed once."""
+
+    def copy(bundle: Bundle, n_out: int) -> Bundle:
+        group_copy(bundle, n_out)  # checks the numbers
+        return group_copy(Bundle(tuple(s.map(lambda df: shared(df, n_out // len(bundle))) for s in bundle.streams)), n_out)
+
+    return _Adapter("tee", copy)
 
 
 def cat(n_out: int = 1) -> Stage:
@@ -97,9 +108,14 @@ def spread(n: int, keys: list[str] | None = None) -> Stage:
     return _Adapter(f"scatter {n}", lambda b, _: scatter(b[0], n, keys), 1, n)
 
 
-def parallel(make: Callable[[object], Stage], items: int | list) -> Stage:
-    """A block of one stage per number from 1 on, or per item of a list."""
-    return block(*[make(x) for x in (range(1, items + 1) if isinstance(items, int) else items)])
+def scattered(keys: list[str] | None = None) -> Stage:
+    """Each record of its input to one of as many channels as are taken."""
+    return _Adapter("scatter", lambda b, n: scatter(b[0], n, keys), 1)
+
+
+def parallel(make: Callable[[object], Stage] | Stage, items: int | list) -> Stage:
+    """A block of one stage per number from 1 on, or per item of a list; make may be a stage itself, the same for all."""
+    return block(*[make if isinstance(make, Stage) else make(x) for x in (range(1, items + 1) if isinstance(items, int) else items)])
 
 
 @dataclass
@@ -154,6 +170,9 @@ class Block(Stage):
         return shares
 
     def run(self, inputs: Bundle, n_out: int) -> Bundle:
+        first = self.members[0]
+        if isinstance(inputs, Scattered) and len(inputs) == len(self.members) == n_out and all(m is first for m in self.members) and getattr(first, "each", None):
+            return inputs.map(first.each)
         ins = self._shares([m.takes for m in self.members], len(inputs), "takes")
         outs = self._shares([m.gives for m in self.members], n_out, "gives")
         begins = [sum(ins[:i]) for i in range(len(ins))]

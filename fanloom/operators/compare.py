@@ -3,16 +3,14 @@
 from __future__ import annotations
 
 import difflib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fanloom.session import broadcast_if_bounded
-from fanloom.stream import PlanError
-
-_BLOCK = 1 << 14
+from fanloom.operators import ordered
+from fanloom.stream import PlanError, number_lines, repeated
 
 
 def join_fields(left: DataFrame, right: DataFrame, left_key: str, right_key: str, key: str = "key") -> DataFrame:
@@ -27,9 +25,9 @@ def join_fields(left: DataFrame, right: DataFrame, left_key: str, right_key: str
 
 def keep_repeated(df: DataFrame, key: str) -> DataFrame:
     """Rows whose key occurs more than once. The keys are counted ahead of the shuffle, and come back as a semi-join."""
-    from fanloom.operators.match import repeated
+    from fanloom.operators.match import repeated_values
 
-    return df.join(repeated(df, key), key, "left_semi")
+    return df.join(repeated_values(df, key), key, "left_semi")
 
 
 def compare_sets(left: DataFrame, right: DataFrame, distinct: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -45,11 +43,7 @@ def compare_sets(left: DataFrame, right: DataFrame, distinct: bool = False) -> t
     if distinct:
         both = both.withColumn("_l", F.least("_l", F.lit(1).cast("bigint"))).withColumn("_r", F.least("_r", F.lit(1).cast("bigint")))
 
-    def times(n: Column) -> DataFrame:
-        # In blocks, so that a value that occurs a billion times needs no array of that length.
-        blocks = both.withColumn("_n", n).where("_n > 0").select(*names, "_n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_n") - 1) / _BLOCK))).alias("_b"))
-        return blocks.select(*names, F.explode(F.sequence(F.lit(1).cast("bigint"), F.least(F.lit(_BLOCK).cast("bigint"), F.col("_n") - F.col("_b") * _BLOCK)))).select(*names)
-
+    times = lambda n: repeated(both.select(*names, n.alias("_n")), "_n")
     return times(F.col("_l") - F.col("_r")), times(F.col("_r") - F.col("_l")), times(F.least("_l", "_r"))
 
 
@@ -99,40 +93,97 @@ def _ranges(a: int, b: int) -> str:
     return f"{a + 1},{b}" if b - a > 1 else f"{b}" if b > a else f"{a}"
 
 
-def edit_script(old: list[str], new: list[str]) -> Iterator[str]:
-    """The lines of a normal edit script from old to new."""
+def edit_script(old: list[str], new: list[str], at_old: int = 0, at_new: int = 0) -> Iterator[str]:
+    """The lines of a normal edit script from old to new, which begin behind the lines at_old and at_new of their texts."""
     for op, a, b, c, d in difflib.SequenceMatcher(None, old, new, autojunk=False).get_opcodes():
         if op == "equal":
             continue
-        yield _ranges(a, b) + {"replace": "c", "delete": "d", "insert": "a"}[op] + _ranges(c, d)
+        yield _ranges(at_old + a, at_old + b) + {"replace": "c", "delete": "d", "insert": "a"}[op] + _ranges(at_new + c, at_new + d)
         yield from ("< " + s for s in old[a:b])
         if op == "replace":
             yield "---"
         yield from ("> " + s for s in new[c:d])
 
 
-def _texts(streams: list[DataFrame], line: str, value: str, most: int) -> DataFrame:
-    """One row with a sorted array of lines per channel; refused beyond `most` lines, as an edit script has no partition."""
-    parts = None
-    for i, df in enumerate(streams):
-        rows = df.select(F.lit(i).alias("_i"), F.col(line).alias("_n"), F.coalesce(value, F.lit("")).alias("_v"))
-        parts = rows if parts is None else parts.unionAll(rows)
-    if parts.limit(most + 1).count() > most:
-        raise PlanError(f"diff: more than {most} lines; compare them as sets, or by key with diff_by_group")
-    arrays = [F.transform(F.array_sort(F.collect_list(F.when(F.col("_i") == i, F.struct("_n", "_v")))), lambda x: x["_v"]).alias(f"c{i}") for i in range(len(streams))]
-    return parts.agg(*arrays)
+#: Lines of a text that are compared in one go at most, and lines between anchors at least.
+MOST, SPACING = 1 << 13, 1 << 10
 
 
-def diff(left: DataFrame, right: DataFrame, line: str = "line_no", value: str = "value", most: int = 1_000_000) -> DataFrame:
-    """(line_no, value): the edit script from left to right. The longest common subsequence needs both texts in one task."""
+def _anchors(sides: list[DataFrame], by: list[str], spacing: int, chunk: int) -> DataFrame:
+    """(by, n0, n1, ...): places of lines that occur once in every text, in an order common to all; one in `spacing` lines of the first.
 
-    def script(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    sides hold (by, n, v). Of the lines that occur once, those are kept that follow all earlier ones and precede all later
+    ones in every text, so any number of them can be cut at together.
+    """
+    marked = None
+    for i, df in enumerate(sides):
+        rows = df.select(*by, "v", F.lit(i).alias("i"), "n")
+        marked = rows if marked is None else marked.unionAll(rows)
+    of = lambda i: F.col("i") == i
+    places = [F.max(F.when(of(i), F.col("n"))).alias(f"n{i}") for i in range(len(sides))]
+    kept = marked.groupBy(*by, "v").agg(*places, *[F.count_if(of(i)).alias(f"c{i}") for i in range(len(sides))])
+    for i in range(len(sides)):
+        kept = kept.where(F.col(f"c{i}") == 1)
+    kept = kept.select(*by, *[f"n{i}" for i in range(len(sides))])
+    for i in range(1, len(sides)):
+        here = F.col(f"n{i}")
+        kept = ordered.extremes(kept, "n0", f"n{i}", tuple(by), chunk).where(F.coalesce(F.col("_before") < here, F.lit(True)) & F.coalesce(F.col("_after") > here, F.lit(True))).drop("_before", "_after")
+    return kept.groupBy(*by, F.floor(F.col("n0") / spacing).alias("_g")).agg(F.min(F.struct(*[f"n{i}" for i in range(len(sides))])).alias("p")).select(*by, "p.*")
+
+
+def _scripts(sides: list[DataFrame], line: str, value: str, script: Callable, group: str | None, most: int, spacing: int, chunk: int) -> DataFrame:
+    """(group, line_no, value): what script gives for places and lists of lines, piece by piece.
+
+    The texts are cut at common anchors. A stretch without any, longer than `most` lines, is cut every `most` lines in each
+    text alike: what is made of the pieces is right together, if longer than it had to be. So no task holds more than `most`
+    lines of a text at once, whatever the texts are.
+    """
+    by, each = (["_by"] if group else []), range(len(sides))
+    texts = [df.select(*([F.col(group).alias("_by")] if group else []), F.col(line).cast("bigint").alias("n"), F.coalesce(value, F.lit("")).alias("v")) for df in sides]
+    anchors = _anchors(texts, by, spacing, chunk)
+    rows = None
+    for i, df in enumerate(texts):
+        hit = df.join(anchors.select(*by, F.col(f"n{i}").alias("n"), F.lit(1).alias("_a")), [*by, "n"], "left")
+        cut = ordered.running(hit, "n", {"segment": F.coalesce("_a", F.lit(0)).cast("bigint")}, tuple(by), chunk=chunk)
+        begun = ordered.last_match(cut, "n", {"_begun": F.col("_a").isNotNull()}, tuple(by), chunk=chunk)
+        placed = begun.select(*by, "segment", F.floor((F.col("n") - F.coalesce("_begun", F.lit(1))) / most).alias("part"), F.lit(i).alias("i"), "n", "v")
+        rows = placed if rows is None else rows.unionAll(placed)
+    key = [*by, "segment", "part"]
+    lists = [F.transform(F.array_sort(F.collect_list(F.when(F.col("i") == i, F.struct("n", "v")))), lambda x: x["v"]).alias(f"c{i}") for i in each]
+    last = [F.max(F.when(F.col("i") == i, F.col("n"))).alias(f"m{i}") for i in each]
+    # A piece's lines stand behind the last line of the pieces before it; one row for each piece.
+    before = (Window.partitionBy(*by) if by else Window).orderBy("segment", "part").rowsBetween(Window.unboundedPreceding, -1)
+    places = rows.groupBy(*key).agg(*last).select(*key, *[F.coalesce(F.max(f"m{i}").over(before), F.lit(0)).alias(f"e{i}") for i in each])
+    same = None
+    for k in key:
+        equal = F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
+        same = equal if same is None else same & equal
+    pieces = rows.groupBy(*key).agg(*lists).alias("l").join(places.alias("r"), same).select("l.*", *[f"r.e{i}" for i in each])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for old, new in zip(b["c0"], b["c1"]):
-                out = list(edit_script(list(old), list(new)))
-                yield pd.DataFrame({"line_no": range(1, len(out) + 1), "value": out}).astype({"line_no": "int64", "value": "object"})
-
-    return _texts([left, right], line, value, most).mapInPandas(script, "line_no bigint, value string")
+            for at in range(b.num_rows):
+                one = b.slice(at, 1)
+                r = one.to_pylist()[0]
+                made = list(script([r[f"e{i}"] for i in each], [r[f"c{i}"] for i in each]))
+                if made:
+                    same_rows = pa.array([0] * len(made))
+                    yield pa.RecordBatch.from_arrays([*[one.column(k).take(same_rows) for k in range(len(key))], pa.array(range(len(made)), pa.int32()), pa.array(made, pa.string())], [*key, "k", "value"])
+
+    kinds = "".join(f"{k} {rows.schema[k].dataType.simpleString()}, " for k in key)
+    made = pieces.mapInArrow(run, kinds + "k int, value string")
+    if not group:
+        return number_lines(made, ["segment", "part", "k"]).select("line_no", "value")
+    place = F.row_number().over(Window.partitionBy("_by").orderBy("segment", "part", "k")).cast("bigint")
+    return made.select(F.col("_by").alias(group), place.alias("line_no"), "value")
+
+
+def diff(left: DataFrame, right: DataFrame, line: str = "line_no", value: str = "value", most: int = MOST, spacing: int = SPACING, chunk: int = ordered.CHUNK) -> DataFrame:
+    """(line_no, value): an edit script from left to right. Line numbers must be dense, from 1; nulls are empty lines.
+
+    Texts of any length: they are compared between lines that both hold once, each stretch on its own.
+    """
+    return _scripts([left, right], line, value, lambda at, c: edit_script(*c, *at), None, most, spacing, chunk)
 
 
 def diff_from(base: DataFrame, others: list[DataFrame], line: str = "line_no", value: str = "value", reverse: bool = False) -> list[DataFrame]:
@@ -140,21 +191,25 @@ def diff_from(base: DataFrame, others: list[DataFrame], line: str = "line_no", v
     return [diff(o, base, line, value) if reverse else diff(base, o, line, value) for o in others]
 
 
-def diff_by_group(left: DataFrame, right: DataFrame, group: str, line: str = "line_no", value: str = "value") -> DataFrame:
-    """(group, line_no, value): an edit script per group, such as a file; groups are compared in parallel."""
-    kind = left.schema[group].dataType.simpleString()
+def patched(left: DataFrame, script: DataFrame, line: str = "line_no", value: str = "value") -> DataFrame:
+    """(line_no, value): left with an edit script from it applied, which gives the right side back."""
+    header = r"^([0-9]+)(?:,([0-9]+))?([acd])([0-9]+)(?:,([0-9]+))?$"
+    part = lambda k: F.nullif(F.regexp_extract(value, header, k), F.lit(""))
+    heads = script.select("line_no", part(1).cast("bigint").alias("a"), part(2).cast("bigint").alias("b"), part(3).alias("op"), part(4).cast("bigint").alias("c")).where("op IS NOT NULL")
+    gone = heads.where("op <> 'a'").select(F.explode(F.sequence("a", F.coalesce("b", "a"))).alias(line))
+    kept = left.join(gone, line, "left_anti").select(F.col(line).cast("bigint").alias("a"), F.lit(0).cast("bigint").alias("k"), value)
+    # Lines that come in stand behind the left line that their header names; a change's behind those it replaces.
+    known = ordered.last_match(script, "line_no", {"_head": F.col(value).rlike(header)})
+    added = known.where(F.col(value).startswith("> ")).join(heads.select(F.col("line_no").alias("_head"), F.coalesce("b", "a").alias("a")), "_head").select("a", F.col("line_no").alias("k"), F.substring(value, 3, 1 << 30).alias(value))
+    return number_lines(kept.unionAll(added), ["a", "k"]).select("line_no", value)
 
-    def script(key: tuple, old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
-        texts = [[] if p.empty else p.sort_values("n")["v"].fillna("").tolist() for p in (old, new)]
-        out = list(edit_script(*texts))
-        return pd.DataFrame({group: [key[0]] * len(out), "line_no": range(1, len(out) + 1), "value": out})
 
-    # Both sides are renamed, as they may be cut from one table.
-    sides = [df.select(F.col(group).alias("g"), F.col(line).alias("n"), F.col(value).alias("v")).groupBy("g") for df in (left, right)]
-    return sides[0].cogroup(sides[1]).applyInPandas(script, f"{group} {kind}, line_no bigint, value string")
+def diff_by_group(left: DataFrame, right: DataFrame, group: str, line: str = "line_no", value: str = "value", most: int = MOST, spacing: int = SPACING, chunk: int = ordered.CHUNK) -> DataFrame:
+    """(group, line_no, value): an edit script per group, such as a file. Line numbers must be dense within it, from 1."""
+    return _scripts([left, right], line, value, lambda at, c: edit_script(*c, *at), group, most, spacing, chunk)
 
 
-def merge_script(mine: list[str], base: list[str], yours: list[str]) -> Iterator[str]:
+def merge_script(mine: list[str], base: list[str], yours: list[str], behind: tuple[int, ...] | list[int] = (0, 0, 0)) -> Iterator[str]:
     """Regions where three texts are not all the same: a header that names the odd one out, then each text's lines."""
     texts = [mine, base, yours]
     same = [{}, {}]
@@ -169,19 +224,12 @@ def merge_script(mine: list[str], base: list[str], yours: list[str]) -> Iterator
             odd = [i for i in range(3) if parts[(i + 1) % 3] == parts[(i + 2) % 3]]
             yield "====" + (str(odd[0] + 1) if odd else "")
             for i, (p, a, b) in enumerate(zip(parts, at, stop)):
-                yield f"{i + 1}:{_ranges(a, b)}{'c' if p else 'a'}"
+                yield f"{i + 1}:{_ranges(behind[i] + a, behind[i] + b)}{'c' if p else 'a'}"
                 if not (odd and i != odd[0] and i == min(x for x in range(3) if x != odd[0])):
                     yield from ("  " + s for s in p)
         at = [x + 1 for x in stop]
 
 
-def diff3(mine: DataFrame, base: DataFrame, yours: DataFrame, line: str = "line_no", value: str = "value", most: int = 1_000_000) -> DataFrame:
-    """(line_no, value): where three channels differ."""
-
-    def script(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for x, y, z in zip(b["c0"], b["c1"], b["c2"]):
-                out = list(merge_script(list(x), list(y), list(z)))
-                yield pd.DataFrame({"line_no": range(1, len(out) + 1), "value": out}).astype({"line_no": "int64", "value": "object"})
-
-    return _texts([mine, base, yours], line, value, most).mapInPandas(script, "line_no bigint, value string")
+def diff3(mine: DataFrame, base: DataFrame, yours: DataFrame, line: str = "line_no", value: str = "value", most: int = MOST, spacing: int = SPACING, chunk: int = ordered.CHUNK) -> DataFrame:
+    """(line_no, value): where three channels differ, found as diff() does. Line numbers must be dense, from 1."""
+    return _scripts([mine, base, yours], line, value, lambda at, c: merge_script(*c, at), None, most, spacing, chunk)

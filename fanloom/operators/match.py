@@ -11,7 +11,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fanloom.session import broadcast_if_bounded
 from fanloom.stream import PlanError
 
 #: Characters of patterns in one automaton, automata that a task keeps, and bytes of lines it holds at once.
@@ -23,12 +22,17 @@ def matches(value: Column, pattern: str, fixed: bool = False, ignore_case: bool
     if fixed and not (ignore_case or whole_word):
         hit = F.contains(value, F.lit(pattern))
     else:
-        body = re.escape(pattern) if fixed else pattern
-        body = rf"(?<![A-Za-z0-9_])(?:{body})(?![A-Za-z0-9_])" if whole_word else body
-        hit = value.rlike(("(?i)" if ignore_case else "") + body)
+        hit = value.rlike(expression(pattern, fixed, ignore_case, whole_word))
     return ~hit if inverted else hit
 
 
+def expression(pattern: str, fixed: bool = False, ignore_case: bool = False, whole_word: bool = False) -> str:
+    """The regular expression that meets what matches() does."""
+    body = re.escape(pattern) if fixed else pattern
+    body = rf"(?<![A-Za-z0-9_])(?:{body})(?![A-Za-z0-9_])" if whole_word else body
+    return ("(?i)" if ignore_case else "") + body
+
+
 def only_matching(df: DataFrame, value: str, pattern: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """One record per match, holding just the matched text."""
     return df.select(*keep, F.explode(F.regexp_extract_all(F.col(value), F.lit(f"({pattern})"), F.lit(1))).alias(value))
@@ -168,7 +172,7 @@ def match_pattern_table(df: DataFrame, value: str, patterns: DataFrame, pattern:
         ids = ids or df.columns
         held = F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(value)), F.lit("[a-z0-9_]+"), F.lit(0)))).alias("_word")
         named = [F.col(c).alias(f"_id{i}") for i, c in enumerate(ids)]
-        hits = df.select(*named, held).join(broadcast_if_bounded(words), "_word", "left_semi").drop("_word")
+        hits = df.select(*named, held).join(words, "_word", "left_semi").drop("_word")
         others = words.where(~F.col("_word").rlike(r"\A[a-z0-9_]+\z"))
         if not others.isEmpty():
             hits = hits.unionAll(_match_in_blocks(df.select(*ids, F.col(value).alias("_line")), F.lower("_line"), others, True).select(*named))
@@ -187,6 +191,6 @@ def match_pattern_table(df: DataFrame, value: str, patterns: DataFrame, pattern:
     return df.where(hit)
 
 
-def repeated(df: DataFrame, key: str) -> DataFrame:
+def repeated_values(df: DataFrame, key: str) -> DataFrame:
     """Values that occur more than once, once each."""
     return df.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key)

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fanloom.stream import number_lines
+
 CHUNK = 1 << 20
 
 
@@ -79,6 +81,19 @@ def last_match(df: DataFrame, order: str, hits: dict[str, Column], by: tuple[str
     return joined.drop("_chunk", *[f"_v_{n}" for n in names], *[f"_s_{n}" for n in names])
 
 
+def extremes(df: DataFrame, order: str, value: str, by: tuple[str, ...] = (), chunk: int = CHUNK) -> DataFrame:
+    """df with `_before`, the largest value of the records before each, and `_after`, the smallest of those behind it; null if none."""
+    by, rows = list(by), _chunked(df, order, chunk)
+    near, far = Window.partitionBy(*by, "_chunk").orderBy(order), (Window.partitionBy(*by) if by else Window).orderBy("_chunk")
+    back = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    ahead = lambda w: w.rowsBetween(1, Window.unboundedFollowing)
+    ends = rows.groupBy(*by, "_chunk").agg(F.max(value).alias("_most"), F.min(value).alias("_least"))
+    outer = ends.select(*by, "_chunk", F.max("_most").over(back(far)).alias("_most"), F.min("_least").over(ahead(far)).alias("_least"))
+    inner = rows.select("*", F.max(value).over(back(near)).alias("_before"), F.min(value).over(ahead(near)).alias("_after"))
+    joined = _with_summary(inner, outer, by, ["_most", "_least"])
+    return joined.withColumn("_before", F.greatest("_before", "_most")).withColumn("_after", F.least("_after", "_least")).drop("_chunk", "_most", "_least")
+
+
 def pattern_range(df: DataFrame, order: str, begins: Column, ends: Column, by: tuple[str, ...] = (), chunk: int = CHUNK) -> DataFrame:
     """Records from one that begins a range to the next one after it that ends it, both included; ranges may follow each other.
 
@@ -97,20 +112,39 @@ def squeeze(df: DataFrame, order: str, value: str, by: tuple[str, ...] = (), chu
 
 
 def run_lengths(df: DataFrame, order: str, value: str, by: tuple[str, ...] = (), chunk: int = CHUNK) -> DataFrame:
-    """(by, run, value, length, first): runs of equal consecutive values, numbered in order; first is the run's first order."""
-    rows = previous(df.select(*by, order, value), order, value, by, "_previous", chunk)
-    start = (~F.col("has__previous") | ~F.col(value).eqNullSafe(F.col("_previous"))).cast("bigint")
-    numbered = running(rows.drop("_none"), order, {"run": start}, by, True, chunk)
-    return numbered.groupBy(*by, "run").agg(F.min_by(value, order).alias(value), F.count("*").alias("length"), F.min(order).alias("first"))
+    """(by, run, value, length, first): runs of equal consecutive values, numbered in order; first is the run's first order.
 
-
-def context(df: DataFrame, line: str, matches: Column, before: int, after: int, by: tuple[str, ...] = ()) -> DataFrame:
+    Rows are windowed once, within chunks, and reduced to the chunk's own runs. A summary with one row per chunk then tells
+    how many runs there are before it, and whether its first run goes on with the last one of the chunk before.
+    """
+    by = list(by)
+    near = Window.partitionBy(*by, "_chunk").orderBy("_order")
+    rows = _chunked(df.select(*by, F.col(order).alias("_order"), F.struct(F.col(value).alias("v")).alias("_value")), "_order", chunk)
+    rows = rows.withColumn("_new", (F.row_number().over(near) > 1) & (F.lag("_value").over(near) != F.col("_value")))
+    rows = rows.withColumn("_local", F.count_if("_new").over(near.rowsBetween(Window.unboundedPreceding, 0)))
+    local = rows.groupBy(*by, "_chunk", "_local").agg(F.first("_value").alias("_value"), F.count("*").alias("_n"), F.min("_order").alias("_first"))
+    ends = local.groupBy(*by, "_chunk").agg(F.min_by("_value", "_local").alias("_head"), F.max_by("_value", "_local").alias("_end"), F.count("*").alias("_runs"))
+    far = (Window.partitionBy(*by) if by else Window).orderBy("_chunk")
+    joined = ends.withColumn("_opens", F.coalesce(F.lag("_end").over(far) != F.col("_head"), F.lit(True)).cast("bigint"))
+    base = F.sum(F.col("_opens") + F.col("_runs") - 1).over(far.rowsBetween(Window.unboundedPreceding, -1))
+    shifts = joined.select(*by, "_chunk", (F.coalesce(base, F.lit(0)) + F.col("_opens")).alias("_base"))
+    numbered = _with_summary(local, shifts, by, ["_base"]).withColumn("run", F.col("_local") + F.col("_base"))
+    runs = numbered.groupBy(*by, "run").agg(F.first("_value").alias("_value"), F.sum("_n").alias("length"), F.min("_first").alias("first"))
+    return runs.select(*by, "run", F.col("_value.v").alias(value), "length", "first")
+
+
+def context(df: DataFrame, line: str, matches: Column, before: int, after: int, by: tuple[str, ...] = (), chunk: int = CHUNK) -> DataFrame:
     """Lines that match, and those up to before/after lines around them, once each; `matched` tells which.
 
-    Only the numbers of matching lines are expanded and shuffled; `line` must be dense within `by`.
+    `line` must be dense within `by`. Lines near the edge of a chunk are also put into the next one, so one shuffle and one
+    window find the matches around each line.
     """
-    hits = df.where(matches).select(*by, F.explode(F.sequence(F.col(line) - before, F.col(line) + after)).alias(line)).distinct()
-    return df.withColumn("matched", F.coalesce(matches, F.lit(False))).join(hits, [*by, line], "left_semi")
+    n = F.col(line).cast("bigint")
+    edges = F.array_distinct(F.array(F.floor(n / chunk), F.floor((n - before) / chunk), F.floor((n + after) / chunk)))
+    rows = df.withColumn("matched", F.coalesce(matches, F.lit(False))).withColumn("_chunk", F.explode(edges))
+    near = Window.partitionBy(*by, "_chunk").orderBy(n).rangeBetween(-after, before)
+    around = rows.withColumn("_near", F.max("matched").over(near))
+    return around.where(F.col("_near") & (F.col("_chunk") == F.floor(n / chunk))).drop("_chunk", "_near")
 
 
 def head(df: DataFrame, order: list, n: int) -> DataFrame:
@@ -132,12 +166,15 @@ def sort_from_field(value: str, field: int, delimiter: str | None = None) -> lis
     return sort_keys(value, field, delimiter)
 
 
-def sort_keys(value: str, field: int | None = None, delimiter: str | None = None, numeric: bool = False, descending: bool = False, ties_descending: bool | None = None) -> list[Column]:
-    """Sort keys of the line, or of its part from a field on, as text or by the number it begins with; ties by the whole line, in the same direction unless told."""
+def sort_keys(value: str, field: int | None = None, delimiter: str | None = None, numeric: bool = False, descending: bool = False, ties_descending: bool | None = None, last: int | None = None) -> list[Column]:
+    """Sort keys of the line, or of its part from a field on (up to field `last`, if given), as text or by the number it begins with; ties by the whole line, in the same direction unless told."""
     key = F.col(value)
     if field:
         skip = rf"^(?:[ \t]*[^ \t]+){{{field - 1}}}" if delimiter is None else rf"^(?:[^{_quote(delimiter)}]*[{_quote(delimiter)}]){{{field - 1}}}"
         key = F.when(F.col(value).rlike(skip), F.regexp_replace(value, skip, "")).otherwise("")
+    if last:
+        n, d = last - (field or 1), _quote(delimiter or " ")
+        key = F.regexp_extract(key, rf"^[ \t]*[^ \t]*(?:[ \t]+[^ \t]+){{0,{n}}}" if delimiter is None else rf"^[^{d}]*(?:[{d}][^{d}]*){{0,{n}}}", 0)
     if numeric:
         key = F.coalesce(F.regexp_extract(key, r"^[ \t]*(-?[0-9]+(?:\.[0-9]*)?|-?\.[0-9]+)", 1).try_cast("double"), F.lit(0.0))
     ties_descending = descending if ties_descending is None else ties_descending
@@ -161,7 +198,7 @@ def top_k_sum(df: DataFrame, key: Column, amount: Column, k: int, name: str = "i
 
 
 def two_sided_places(counts: DataFrame, key: str, count: str) -> DataFrame:
-    """(key, place): ranked by count, the odd ranks fill places from the left, the even ones from the right; for small tables of counts."""
-    ranked = counts.withColumn("_rank", F.row_number().over(Window.orderBy(count, key)))
-    n = F.count("*").over(Window.partitionBy())
+    """counts with `place`: ranked by count, the odd ranks fill places from the left, the even ones from the right."""
+    ranked = number_lines(counts, [count, key], "_rank")
+    n = counts.agg(F.count("*")).scalar()
     return ranked.withColumn("place", F.when(F.col("_rank") % 2 == 1, F.floor((F.col("_rank") - 1) / 2)).otherwise(n - F.floor(F.col("_rank") / 2)).cast("bigint")).drop("_rank")

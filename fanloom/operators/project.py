@@ -25,16 +25,30 @@ def field(fields: Column, n: int) -> Column:
 
 
 def number(text: Column) -> Column:
-    """The integer a field starts with, 0 if none, as in sums over fields that may hold `-`."""
-    return F.coalesce(F.regexp_extract(text, r"^[ \t]*([+-]?[0-9]+)", 1).try_cast("bigint"), F.lit(0).cast("bigint"))
+    """The integer a field starts with, 0 if none, as in sums over fields that may hold `-`; null if it has more than 38 digits."""
+    digits = F.regexp_extract(text, r"^[ \t]*([+-]?[0-9]+)", 1)
+    return F.when(digits == "", F.lit(0)).otherwise(digits.try_cast("decimal(38,0)"))
 
 
-def cut(value: Column, delimiter: str, ranges: list[tuple[int, int]]) -> Column:
-    """The fields in the ranges (from, to; counted from 1), in the order of the input, joined by the delimiter."""
-    wanted = sorted({i for a, b in ranges for i in range(a, b + 1)})
-    fields = char_fields(value, delimiter)
-    kept = F.filter(F.transform(F.array(*map(F.lit, wanted)), lambda i: F.try_element_at(fields, i)), lambda x: x.isNotNull())
-    return F.when(F.contains(value, F.lit(delimiter)), F.array_join(kept, delimiter)).otherwise(value)
+def _within(place: Column, ranges: list[tuple[int, int | None]]) -> Column:
+    hit = F.lit(False)
+    for a, b in ranges:
+        hit = hit | (place.between(a, b) if b is not None else place >= a)
+    return hit
+
+
+def cut(value: Column, delimiter: str, ranges: list[tuple[int, int | None]], only_delimited: bool = False) -> Column:
+    """The fields in the ranges (from, to; counted from 1, None for the last), in the order of the input, joined by the delimiter.
+
+    A line without a delimiter stays as it is, or is null with only_delimited.
+    """
+    kept = F.filter(char_fields(value, delimiter), lambda x, i: _within(i + 1, ranges))
+    return F.when(F.contains(value, F.lit(delimiter)), F.array_join(kept, delimiter)).otherwise(F.lit(None) if only_delimited else value)
+
+
+def cut_characters(value: Column, ranges: list[tuple[int, int | None]]) -> Column:
+    """The characters in the ranges, in the order of the input."""
+    return F.array_join(F.filter(characters(value), lambda x, i: _within(i + 1, ranges)), "")
 
 
 def cut_streams(df: DataFrame, value: str, delimiter: str, ranges: list[tuple[int, int]]) -> list[DataFrame]:

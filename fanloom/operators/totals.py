@@ -44,33 +44,42 @@ def merge_sum(parts: DataFrame, key: str = "key", value: str = "value") -> DataF
 
 
 def parse_partial(value: Column) -> tuple[Column, Column]:
-    """The count and the key of a line `count key`; leading blanks are skipped, blanks in the key stay; null for other lines."""
+    """The count and the key of a line `count key`; leading blanks are skipped, blanks in the key stay; null for other lines. Counts have up to 38 digits."""
     line = r"(?s)^\s*([0-9]+)\s+(.*)\z"
     hit = value.rlike(line)
-    return F.when(hit, F.regexp_extract(value, line, 1).try_cast("bigint")), F.when(hit, F.regexp_extract(value, line, 2))
+    return F.when(hit, F.regexp_extract(value, line, 1).try_cast("decimal(38,0)")), F.when(hit, F.regexp_extract(value, line, 2))
 
 
 def sum_of_field(text: Column) -> Column:
     return F.coalesce(F.sum(number(text)), F.lit(0))
 
 
-def listed(df: DataFrame, key: str, item: str, separator: str = " ", least: int = 1, most: int = 10_000, shown: Callable[[Column], Column] | None = None) -> DataFrame:
-    """(key, part, items, n): items of each key that has at least `least`, in order on one line; n is the key's number of items.
+def members(df: DataFrame, key: str, least: int = 2) -> DataFrame:
+    """df with n, the number of its key's rows, for keys that have at least `least`. Null keys take no part.
 
-    `shown` makes the text of an item once they are in order, so that numbers are ordered as numbers.
+    One row for each, so a key may have any number of them; only the counts are grouped.
+    """
+    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return df.join(counts, key)
+
+
+def listed(df: DataFrame, key: str, item: str, separator: str = " ", least: int = 1, shown: Callable[[Column], Column] | None = None, parts: int = 64) -> DataFrame:
+    """(key, items, n): the items of each key that has at least `least`, in order on one line; n is how many they are.
 
-    A key of many more than `most` items gets several lines, numbered by `part`, so that no list grows with the data;
-    which line an item is on depends on its hash. Null keys take no part.
+    `shown` makes the text of an item once they are in order, so that numbers are ordered as numbers. Null keys and items
+    take no part. Items are gathered in `parts` parts of a key, and the parts' lists put together. A line is one value; for
+    keys with more items than fit into one, members() gives a row for each.
     """
-    counts = df.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    part = F.pmod(F.xxhash64(item), F.ceil(F.col("n") / most)).cast("int").alias("part")
-    items = F.array_sort(F.collect_list(item))
-    return df.join(counts, key).groupBy(key, part, "n").agg(F.array_join(F.transform(items, shown) if shown else items, separator).alias("items")).select(key, "part", "items", "n")
+    rows = df.select(key, F.col(item).alias("_item")).where(F.col(key).isNotNull() & F.col("_item").isNotNull())
+    lists = rows.groupBy(key, F.pmod(F.xxhash64("_item"), F.lit(parts)).alias("_part")).agg(F.collect_list("_item").alias("_items"))
+    whole = lists.groupBy(key).agg(F.sum(F.size("_items")).alias("n"), F.array_sort(F.flatten(F.collect_list("_items"))).alias("_items")).where(F.col("n") >= least)
+    texts = F.transform("_items", shown) if shown else F.col("_items")
+    return whole.select(key, F.array_join(texts, separator).alias("items"), "n")
 
 
-def same_content(files: DataFrame, path: str, content: str, most: int = 10_000, shown: Callable[[Column], Column] | None = None) -> DataFrame:
-    """Paths of equal content together: (digest, part, items, n) for contents that occur more than once."""
-    return listed(files.select(F.md5(F.col(content).cast("binary")).alias("digest"), path), "digest", path, least=2, most=most, shown=shown)
+def same_content(files: DataFrame, path: str, content: str, shown: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Paths of equal content on one line: (digest, items, n) for contents that occur more than once."""
+    return listed(files.select(F.md5(F.col(content).cast("binary")).alias("digest"), path), "digest", path, least=2, shown=shown)
 
 
 def compressed_sizes(files: DataFrame, content: str, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -47,7 +47,8 @@ def channel_numbers(spark: SparkSession, d: str) -> DataFrame:
 
 def scattered_totals(spark: SparkSession, d: str) -> DataFrame:
     """Orders scattered to four channels, counted in each by status, and the partial counts merged."""
-    count = lambda i: _named(lambda s: Stream(s.df.groupBy("o_orderstatus").agg(F.count("*").alias("value")), ("o_orderstatus",)), f"count {i}")
+    counted = lambda s, *channel: Stream(s.df.groupBy(*channel, "o_orderstatus").agg(F.count("*").alias("value")), ("o_orderstatus",))
+    count = Function(counted, 1, 1, "count", each=counted)
     graph = spread(4, ["o_orderkey"]) | parallel(count, 4) | cat() | _named(lambda s: Stream(totals.merge_sum(s.df, "o_orderstatus"), ("o_orderstatus",)), "merge")
     return graph(Stream(table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), ("o_orderkey",)))[0].df
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fanloom.fuse import fuse_totals
 from fanloom.functions import scalar
-from fanloom.functions.scalar import inverse_transform, complex_number
+from fanloom.functions.scalar import transform_stages, transformed
 from fanloom.operators import compare, ordered, project, totals
 from fanloom.operators.monitor import monitor
 from fanloom.session import table
@@ -91,7 +91,7 @@ def cut_several_outputs(spark: SparkSession, d: str) -> DataFrame:
 def fields_and_numbers(spark: SparkSession, d: str) -> DataFrame:
     """Fields of log lines by blanks: the first, the last as a number, and how many."""
     f = project.blank_fields(F.regexp_replace("value", "\r+$", ""))
-    return table(spark, d, "raw_log").distinct().select("line_id", project.field(f, 1).alias("first"), project.number(project.field(f, -1)).alias("last"), F.size(f).alias("n_fields")).where("line_id IS NOT NULL AND n_fields >= 0")
+    return table(spark, d, "raw_log").distinct().select("line_id", project.field(f, 1).alias("first"), project.number(project.field(f, -1)).cast("string").alias("last"), F.size(f).alias("n_fields")).where("line_id IS NOT NULL AND n_fields >= 0")
 
 
 def paste_channels(spark: SparkSession, d: str) -> DataFrame:
@@ -107,29 +107,54 @@ def compare_channels(spark: SparkSession, d: str) -> DataFrame:
     return compare.first_difference(left, right)
 
 
+def _order_lines(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """All orders as numbered lines, and the same with every seventh taken out, every eleventh changed and one put in behind every thirteenth."""
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.concat_ws(" ", "o_orderkey", "o_custkey", "o_orderstatus").alias("value"))
+    left = number_lines(orders, ["k"])
+    changed = orders.where("k % 7 <> 0").withColumn("value", F.when(F.col("k") % 11 == 0, F.concat("value", F.lit(" changed"))).otherwise(F.col("value")))
+    added = orders.where("k % 13 = 0").withColumn("value", F.concat(F.lit("new "), F.col("k").cast("string")))
+    right = number_lines(changed.select("k", F.lit(0).alias("i"), "value").unionAll(added.select("k", F.lit(1).alias("i"), "value")), ["k", "i"])
+    return left.select("line_no", "value"), right.select("line_no", "value")
+
+
 def edit_script(spark: SparkSession, d: str) -> DataFrame:
-    left = table(spark, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("line_no"), F.col("n_name").alias("value"))
-    return compare.diff(left, left.where("line_no % 7 <> 3"))
+    """What an edit script between two versions of all orders takes out and puts in."""
+    script = compare.diff(*_order_lines(spark, d))
+    return script.where(F.col("value").rlike("^[<>] ")).select("value")
+
+
+def patched_orders(spark: SparkSession, d: str) -> DataFrame:
+    """The second version, rebuilt from the first and the edit script."""
+    left, right = _order_lines(spark, d)
+    return compare.patched(left, compare.diff(left, right))
 
 
 def three_way_difference(spark: SparkSession, d: str) -> DataFrame:
-    base = table(spark, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("line_no"), F.col("n_name").alias("value"))
-    return compare.diff3(base.where("line_no <> 4"), base, base.withColumn("value", F.when(F.col("line_no") == 9, "CHANGED").otherwise(F.col("value"))))
+    """The regions where three versions of all orders differ: two that change different lines, and what they come from.
+
+    Every 20th line is taken out of the first, every 20th from the tenth on changed in the third.
+    """
+    base = number_lines(table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.concat_ws(" ", "o_orderkey", "o_orderstatus").alias("value")), ["k"])
+    mine = number_lines(base.where("line_no % 20 <> 5").select("k", "value"), ["k"])
+    yours = base.withColumn("value", F.when(F.col("line_no") % 20 == 10, F.concat("value", F.lit(" changed"))).otherwise(F.col("value")))
+    return compare.diff3(*[x.select("line_no", "value") for x in (mine, base, yours)]).select("value")
 
 
 def edit_scripts_by_file(spark: SparkSession, d: str) -> DataFrame:
-    """Edit scripts of every text file against itself with every tenth line taken out, file by file in parallel."""
-    text = table(spark, d, "text_lines").select("path", "line_no", "value").distinct()
-    return compare.diff_by_group(text, text.where("line_no % 10 <> 0"), "path").groupBy("path").agg(F.count("*").alias("n"), F.count_if(F.col("value").startswith("<")).alias("removed"))
+    """Edit scripts of every text file against itself with every tenth line taken out: each line of the scripts."""
+    text = table(spark, d, "text_lines").select("path", F.col("line_no").alias("k"), "value").distinct()
+    dense = lambda df: df.withColumn("line_no", F.row_number().over(Window.partitionBy("path").orderBy("k")).cast("bigint"))
+    script = compare.diff_by_group(dense(text), dense(text.where("k % 10 <> 0")), "path")
+    return script.groupBy("path").agg(F.count("*").alias("n"), F.count_if(F.col("value").startswith("<")).alias("removed"), F.max("line_no").alias("last"))
 
 
 def consecutive_distinct(spark: SparkSession, d: str) -> DataFrame:
-    return ordered.squeeze(table(spark, d, "events"), "event_id", "event_type", ("user_id",), chunk=1024).select("event_id", "user_id", "event_type")
+    return ordered.squeeze(table(spark, d, "events"), "event_id", "event_type", ("user_id",)).select("event_id", "user_id", "event_type")
 
 
 def run_lengths_all(spark: SparkSession, d: str) -> DataFrame:
-    """Runs over the whole stream of events, in chunks far smaller than it."""
-    return ordered.run_lengths(table(spark, d, "events"), "event_id", "event_type", chunk=512)
+    """Runs over the whole stream of events."""
+    return ordered.run_lengths(table(spark, d, "events"), "event_id", "event_type")
 
 
 def running_counters(spark: SparkSession, d: str) -> DataFrame:
@@ -137,13 +162,13 @@ def running_counters(spark: SparkSession, d: str) -> DataFrame:
 
 
 def previous_events(spark: SparkSession, d: str) -> DataFrame:
-    return ordered.previous(table(spark, d, "events"), "event_id", "event_type", ("user_id",), "before", 1024).select("event_id", "before")
+    return ordered.previous(table(spark, d, "events"), "event_id", "event_type", ("user_id",), "before").select("event_id", "before")
 
 
 def ranges_of_events(spark: SparkSession, d: str) -> DataFrame:
     """Each user's events from a signup to the next error."""
     events = table(spark, d, "events").select("event_id", "user_id", "event_type")
-    return ordered.pattern_range(events, "event_id", F.col("event_type") == "signup", F.col("event_type") == "error", ("user_id",), chunk=2048)
+    return ordered.pattern_range(events, "event_id", F.col("event_type") == "signup", F.col("event_type") == "error", ("user_id",))
 
 
 def last_records(spark: SparkSession, d: str) -> DataFrame:
@@ -225,10 +250,17 @@ def host_parts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def transform_of_vectors(spark: SparkSession, d: str) -> DataFrame:
-    """The eight-channel transform over the first eight numbers of every vector."""
-    x = [complex_number(F.element_at("embedding", i + 1).cast("double"), F.lit(0.0)) for i in range(8)]
-    y = inverse_transform(x)
-    return table(spark, d, "embeddings").select("vec_id", *[c for k, v in enumerate(y) for c in (F.round(v["re"], 4).alias(f"re{k}"), F.round(v["im"], 4).alias(f"im{k}"))])
+    """The transform of every vector, with as many channels as it has numbers: (vec_id, k, re, im)."""
+    made = table(spark, d, "embeddings").select("vec_id", F.posexplode(transformed(F.col("embedding"))).alias("k", "v"))
+    rounded = lambda c: (F.round(c, 4) + 0.0)
+    return made.select("vec_id", "k", rounded(F.col("v.re")).alias("re"), rounded(F.col("v.im")).alias("im"))
+
+
+def transform_of_channels(spark: SparkSession, d: str) -> DataFrame:
+    """Eight channels of numbers through a network of butterflies, one projection for each of its stages: the prices of all parts by their number."""
+    parts = table(spark, d, "part").select(F.col("p_partkey").alias("key"), *[(F.col("p_retailprice") * ((F.col("p_partkey") + i) % 5)).alias(f"x{i}") for i in range(8)])
+    made = transform_stages(parts, ["key"], [f"x{i}" for i in range(8)])
+    return made.select("key", *[(F.round(f"{c}{k}", 3) + 0.0).alias(f"{c}{k}") for k in range(8) for c in ("re", "im")])
 
 
 def tumbling_hours(spark: SparkSession, d: str) -> DataFrame:
@@ -250,26 +282,26 @@ QUERIES = {
     f.__name__: f
     for f in (
         events_by_user, value_by_user, events_by_hour, events_by_week_day, join_orders_customers, join_repeated_keys, rows_of_repeated_keys, only_left, only_right, in_both, unused_parts, union_of_keys,
-        reorder_columns, cut_ranges, cut_several_outputs, fields_and_numbers, paste_channels, compare_channels, edit_script, three_way_difference, edit_scripts_by_file, consecutive_distinct, run_lengths_all,
+        reorder_columns, cut_ranges, cut_several_outputs, fields_and_numbers, paste_channels, compare_channels, edit_script, patched_orders, three_way_difference, edit_scripts_by_file, consecutive_distinct, run_lengths_all,
         running_counters, previous_events, ranges_of_events, last_records, last_days, first_records, stored_ratios, percent_of_total, fused_totals, placed_from_both_sides, presence_by_day, numeric_order, order_from_field,
-        scalar_functions, host_parts, transform_of_vectors, tumbling_hours, sliding_hours, event_sessions,
+        scalar_functions, host_parts, transform_of_vectors, transform_of_channels, tumbling_hours, sliding_hours, event_sessions,
     )
 }
 
 _PART = "concat_ws(',', p_partkey, p_name, p_brand, p_type, p_size)"
 _NATIONS = "SELECT c_nationkey AS nation FROM customer"
 _SUPPLIERS = "SELECT s_nationkey AS nation FROM supplier"
+_VERSIONS = """WITH base AS (SELECT o_orderkey AS k, concat_ws(' ', o_orderkey, o_custkey, o_orderstatus) AS value FROM orders),
+ second AS (SELECT k, 0 AS i, CASE WHEN k % 11 = 0 THEN value || ' changed' ELSE value END AS value FROM base WHERE k % 7 <> 0 UNION ALL SELECT k, 1, 'new ' || k FROM base WHERE k % 13 = 0)"""
 
 
 def _transform_sql() -> str:
-    import math
-
     columns = []
     for k in range(8):
-        re = " + ".join(f"embedding[{i + 1}]::DOUBLE * ({math.cos(2 * math.pi * i * k / 8)!r})" for i in range(8))
-        im = " + ".join(f"embedding[{i + 1}]::DOUBLE * ({math.sin(2 * math.pi * i * k / 8)!r})" for i in range(8))
-        columns += [f"round({re}, 4) + 0.0 AS re{k}", f"round({im}, 4) + 0.0 AS im{k}"]
-    return f"SELECT vec_id, {', '.join(columns)} FROM embeddings"
+        for name, f in (("re", "cos"), ("im", "sin")):
+            terms = " + ".join(f"p_retailprice * ((p_partkey + {i}) % 5) * {f}(2 * pi() * {i * k % 8} / 8)" for i in range(8))
+            columns.append(f"round({terms}, 3) + 0.0 AS {name}{k}")
+    return f"SELECT p_partkey AS key, {', '.join(columns)} FROM part"
 
 
 ORACLE = {
@@ -289,11 +321,17 @@ ORACLE = {
     "cut_ranges": "SELECT concat_ws(',', p_partkey, p_name, p_size) AS value FROM part",
     "cut_several_outputs": "SELECT 1 AS channel, concat_ws(',', p_partkey, p_name) AS value FROM part UNION ALL SELECT 2, concat_ws(',', p_type, p_size) FROM part",
     "fields_and_numbers": """WITH f AS (SELECT DISTINCT line_id, file_name, value, list_filter(string_split_regex(regexp_replace(value, '\\r+$', ''), '[ \\t]+'), lambda x: x <> '') AS f FROM raw_log)
-SELECT line_id, coalesce(f[1], '') AS first, coalesce(TRY_CAST(regexp_extract(f[-1], '^[+-]?[0-9]+') AS BIGINT), 0) AS last, len(f)::INTEGER AS n_fields FROM f WHERE line_id IS NOT NULL AND f IS NOT NULL""",
+SELECT line_id, coalesce(f[1], '') AS first, coalesce(TRY_CAST(regexp_extract(f[-1], '^[+-]?[0-9]+') AS HUGEINT), 0)::VARCHAR AS last, len(f)::INTEGER AS n_fields FROM f WHERE line_id IS NOT NULL AND f IS NOT NULL""",
     "paste_channels": "SELECT (n_nationkey + 1)::BIGINT AS line_no, concat_ws(chr(9), coalesce(r_name, ''), n_name, coalesce(r_name, '')) AS value FROM nation LEFT JOIN region ON n_nationkey = r_regionkey",
     "compare_channels": "SELECT count(*) FILTER (WHERE o_orderkey % 1000 = 999) = 0 AS identical, min(o_orderkey) FILTER (WHERE o_orderkey % 1000 = 999) AS line_no FROM orders",
+    "edit_script": f"{_VERSIONS} SELECT '< ' || value AS value FROM base WHERE k % 7 = 0 OR k % 11 = 0 UNION ALL SELECT '> ' || value FROM second WHERE k % 11 = 0 AND i = 0 OR i = 1",
+    "patched_orders": f"{_VERSIONS} SELECT row_number() OVER (ORDER BY k, i) AS line_no, value FROM second",
+    "three_way_difference": """WITH base AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS n, concat_ws(' ', o_orderkey, o_orderstatus) AS v FROM orders),
+ out AS (SELECT n, n - 1 - (n - 1 + 14) // 20 AS m, v FROM base WHERE n % 20 = 5), chg AS (SELECT n, n - (n + 14) // 20 AS m, v FROM base WHERE n % 20 = 10)
+SELECT unnest(['====1', '1:' || m || 'a', '2:' || n || 'c', '3:' || n || 'c', '  ' || v]) AS value FROM out
+UNION ALL SELECT unnest(['====3', '1:' || m || 'c', '2:' || n || 'c', '  ' || v, '3:' || n || 'c', '  ' || v || ' changed']) FROM chg""",
     "edit_scripts_by_file": """WITH t AS (SELECT DISTINCT path, line_no, value FROM text_lines), r AS (SELECT path, count(*) FILTER (WHERE line_no % 10 = 0) AS removed FROM t GROUP BY path)
-SELECT path, 2 * removed AS n, removed FROM r WHERE removed > 0""",
+SELECT path, 2 * removed AS n, removed, 2 * removed AS last FROM r WHERE removed > 0""",
     "consecutive_distinct": "SELECT event_id, user_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events) WHERE p IS DISTINCT FROM event_type",
     "run_lengths_all": """WITH m AS (SELECT event_id, event_type, CASE WHEN lag(event_type) OVER (ORDER BY event_id) = event_type THEN 0 ELSE 1 END AS new FROM events),
  n AS (SELECT *, sum(new) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS run FROM m)
@@ -322,7 +360,10 @@ SELECT day, user_id FROM c LEFT JOIN p USING (day)""",
     "scalar_functions": """SELECT p_partkey, p_name AS base, 'data/' || p_brand AS folder, regexp_replace(p_name, '[aeiou]', '#') AS first_replaced, lower(p_brand) AS lowered, repeat('-', length(p_name)) AS line,
  lpad(p_size::VARCHAR, 8, ' ') AS padded, trunc(p_retailprice / -7)::BIGINT AS whole FROM part""",
     "host_parts": "SELECT DISTINCT host, list_extract(string_split(host, '.'), -1) AS top, CASE WHEN contains(host, '.') THEN regexp_replace(host, '^[^.]*', '') ELSE '' END AS parent FROM web_log_report WHERE host IS NOT NULL",
-    "transform_of_vectors": _transform_sql(),
+    "transform_of_vectors": """WITH x AS (SELECT vec_id, len(embedding) AS n, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings)
+SELECT vec_id, k::INTEGER AS k, round(sum(x * cos(2 * pi() * ((i * k) % n) / n)), 4) + 0.0 AS re, round(sum(x * sin(2 * pi() * ((i * k) % n) / n)), 4) + 0.0 AS im
+FROM x, generate_series(0, (SELECT max(len(embedding)) FROM embeddings) - 1) AS g(k) WHERE k < n GROUP BY vec_id, k""",
+    "transform_of_channels": _transform_sql(),
     "tumbling_hours": "SELECT strftime(time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01'), '%Y-%m-%d %H:%M') AS started, event_type, count(*) AS n, sum(round(value * 100)::BIGINT)::BIGINT AS cents FROM events GROUP BY 1, 2",
     "sliding_hours": """SELECT strftime(time_bucket(INTERVAL 2 HOUR, ts, TIMESTAMP '1970-01-01') - d * INTERVAL 2 HOUR, '%Y-%m-%d %H:%M') AS started, count(*) AS n FROM events, (VALUES (0), (1), (2)) AS o(d) GROUP BY 1""",
     "event_sessions": """WITH m AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new FROM events),

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from fanloom.functions.scalar import ascii_lower
 from fanloom.fuse import fuse_columns
+from fanloom.graph import Function, cat, parallel, spread
 from fanloom.operators import match, ordered, project, totals
 from fanloom.operators.compare import compare_counts, compare_sets
 from fanloom.session import table
-from fanloom.stream import Stream, gather, scatter
+from fanloom.stream import Stream, gather
 
 
 def lines(spark: SparkSession, d: str) -> DataFrame:
@@ -56,10 +57,13 @@ def document_words(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scattered_word_count(spark: SparkSession, d: str) -> DataFrame:
-    """The words counted in eight channels and merged; Spark's own partial aggregation makes the channels one plan."""
-    channels = scatter(Stream(lines(spark, d), ("path", "line_no")), 8, ["path", "line_no"])
-    counted = [Stream(totals.frequencies(project.exploded(s.df, project.blank_words(F.col("value")), "key"), F.col("key"), "key").withColumnRenamed("count", "value"), ("key",)) for s in channels.streams]
-    return totals.merge_sum(gather(type(channels)(tuple(counted))).df).select(F.col("key").alias("word"), F.col("value").alias("count"))
+    """The words counted in eight channels and merged; the channels are one plan, which reads the lines once."""
+
+    def counted(s: Stream, *channel: str) -> Stream:
+        return Stream(project.exploded(s.df, project.blank_words(F.col("value")), "key", channel).groupBy(*channel, "key").agg(F.count("*").alias("value")), ("key",))
+
+    graph = spread(8, ["path", "line_no"]) | parallel(Function(counted, name="count", each=counted), 8) | cat()
+    return totals.merge_sum(graph(Stream(lines(spark, d), ("path", "line_no")))[0].df).select(F.col("key").alias("word"), F.col("value").alias("count"))
 
 
 def word_properties(spark: SparkSession, d: str) -> DataFrame:
@@ -75,6 +79,11 @@ def duplicate_documents(spark: SparkSession, d: str) -> DataFrame:
     return totals.same_content(docs, "id", "text", shown=lambda i: F.format_string("%012d", i))
 
 
+def duplicate_members(spark: SparkSession, d: str) -> DataFrame:
+    """The same as one row for each document, with its text's digest and how many documents have it."""
+    return totals.members(table(spark, d, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest")), "digest")
+
+
 def spelling_words(spark: SparkSession, d: str) -> DataFrame:
     """Words of the lines, in lower case, that no document holds: a set difference."""
     known = _words(table(spark, d, "documents"), "text").select(ascii_lower(F.col("word")).alias("word"))
@@ -166,12 +175,12 @@ def partial_count_lines(spark: SparkSession, d: str) -> DataFrame:
     """The same from lines `count key`, blanks in front skipped and blanks in keys kept; other lines take no part."""
     parts = table(spark, d, "merge_sum").select("channel", "seq", F.concat_ws(" ", F.lit(" "), F.col("value").cast("string"), F.btrim("key")).alias("line")).distinct()
     count, key = totals.parse_partial(F.col("line"))
-    return totals.merge_sum(parts.select(count.alias("value"), key.alias("key")).where("value IS NOT NULL"))
+    return totals.merge_sum(parts.select(count.alias("value"), key.alias("key")).where("value IS NOT NULL")).withColumn("value", F.col("value").cast("bigint"))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (word_frequency, digrams, trigrams, character_frequency, document_words, scattered_word_count, word_properties, duplicate_documents, spelling_words, spelling_context, matching_context, match_outputs, match_forms, only_matches, match_phrases, file_metrics, compressed_documents, content_kinds, source_vocabularies, merged_counts, partial_count_lines)
+    for f in (word_frequency, digrams, trigrams, character_frequency, document_words, scattered_word_count, word_properties, duplicate_documents, duplicate_members, spelling_words, spelling_context, matching_context, match_outputs, match_forms, only_matches, match_phrases, file_metrics, compressed_documents, content_kinds, source_vocabularies, merged_counts, partial_count_lines)
 }
 
 _LINES = "WITH lines AS (SELECT DISTINCT path, line_no, value FROM text_lines)"
@@ -197,7 +206,8 @@ SELECT CASE WHEN c IN (' ', chr(9), chr(10), chr(13)) THEN '' ELSE c END AS char
  round(count(*) / (SELECT sum(strlen(coalesce(value, '')) + 1) FROM lines) * 100, 6) AS percent FROM chars GROUP BY 1""",
     "document_words": "SELECT word, count(*) AS count FROM (SELECT unnest(string_split_regex(text, '[ \\t\\n\\r\\f]+')) AS word FROM documents) WHERE word <> '' GROUP BY word",
     "scattered_word_count": f"{_LINES} SELECT word, count(*) AS count FROM (SELECT unnest(string_split_regex(value, '[ \\t\\n\\r\\f]+')) AS word FROM lines) WHERE word <> '' GROUP BY word",
-    "duplicate_documents": "SELECT md5(text) AS digest, 0 AS part, string_agg(printf('%012d', doc_id), ' ' ORDER BY doc_id) AS items, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
+    "duplicate_documents": "SELECT md5(text) AS digest, string_agg(printf('%012d', doc_id), ' ' ORDER BY doc_id) AS items, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
+    "duplicate_members": "SELECT doc_id, digest, n FROM (SELECT doc_id, md5(text) AS digest, count(*) OVER (PARTITION BY text) AS n FROM documents WHERE text IS NOT NULL) WHERE n > 1",
     "spelling_words": f"{_WORDS} SELECT DISTINCT lower(word) AS word FROM words EXCEPT SELECT DISTINCT lower(word) FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS word FROM documents)",
     "matching_context": f"{_LINES}, " + _context_sql("SELECT path, line_no FROM lines WHERE regexp_matches(value, '[0-9]')"),
     "spelling_context": f"{_WORDS}, rare AS (SELECT lower(word) AS word FROM words GROUP BY 1 HAVING count(*) = 1), tokens AS (SELECT path, line_no, unnest(regexp_extract_all(lower(value), '[a-z0-9_]+')) AS word FROM lines), " + _context_sql("SELECT DISTINCT path, line_no FROM tokens WHERE word IN (SELECT word FROM rare)"),

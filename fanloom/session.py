@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def local_session(cores: str | int = "*", partitions: int = 8, app: str = "fanloom") -> SparkSession:
@@ -28,41 +25,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage of df through the shared folder that the cluster names.
-
-    Only where spark.checkpoint.dir is unset, as in tests, a folder of this machine is used.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="fanloom-"))
-    return df.checkpoint(eager=True)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def spread_scan(df: DataFrame) -> DataFrame:
-    """A plain scan over at least as many tasks as the cluster has cores, ahead of costly work on each row.
-
-    Only a table in fewer splits than cores, a small one, is shuffled for that. Not for plans with shuffles of their own,
-    which would have to run to be counted.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
-def broadcast_if_bounded(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
-    """df with a broadcast hint if it has at most max_rows rows, else unchanged, so that the join shuffles.
-
-    The size check reads no more than max_rows + 1 rows; AQE still handles skew of the shuffled form.
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 def free_name(base: str, taken) -> str:
     """base, or base with the first number that clashes with none of the names taken (case is ignored, as in Spark)."""
     used, name, k = {t.lower() for t in taken}, base, 0

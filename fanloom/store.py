@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fanloom.stream import PlanError, Stream
 
-_UNITS = {"s": 1, "m": 60, "h": 3600, "d": 86400}
+UNITS = {"s": 1, "m": 60, "h": 3600, "d": 86400}
 
 
 def last_record(stream: Stream, value: str = "value") -> DataFrame:
@@ -33,10 +33,10 @@ def record_window(df: DataFrame, order: str, begin: int = 1, end: int = 0) -> Da
 
 def time_window(df: DataFrame, time: str, begin: float, end: float = 0, unit: str = "s") -> DataFrame:
     """The records of the last begin units before the latest time, without those of the last end units."""
-    if unit not in _UNITS or not 0 <= end < begin:
+    if unit not in UNITS or not 0 <= end < begin:
         raise PlanError(f"store: no window from {begin} to {end} {unit}")
     now = df.agg(F.max(time)).scalar()
-    back = lambda n: F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(float(n * _UNITS[unit])))
+    back = lambda n: F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(float(n * UNITS[unit])))
     return df.where((F.col(time) > now - back(begin)) & (F.col(time) <= now - back(end)))
 
 

@@ -10,12 +10,14 @@ import re
 import shlex
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fanloom.arity import ANY
-from fanloom.graph import Function, Stage, cat, perm, tee
+from fanloom.functions import scalar
+from fanloom.graph import Function, Stage, block, cat, parallel, perm, scattered, tee
 from fanloom.operators import compare, match, ordered, project, totals
+from fanloom.session import free_name
 from fanloom.sources.files import read_lines, write_to_all
 from fanloom.store import Stores, last_record, record_window
 from fanloom.stream import Bundle, PlanError, Stream, enumerate_channels, gather, literal, number_lines
@@ -27,7 +29,13 @@ def _v():
 
 def numbered(stream: Stream) -> Stream:
     """The stream with dense line numbers; one that has them is left as it is."""
-    return stream if stream.order == ("line_no",) else Stream(number_lines(stream.df, list(stream.order)).select("line_no", "value"))
+    return stream if stream.dense else Stream(number_lines(stream.df, list(stream.order)).select(F.col("line_no"), "value"), dense=True) if "line_no" not in stream.df.columns else _renumbered(stream)
+
+
+def _renumbered(stream: Stream) -> Stream:
+    order = [f"_order_{i}" for i in range(len(stream.order))]
+    named = stream.df.select(*[F.col(c).alias(n) for c, n in zip(stream.order, order)], "value")
+    return Stream(number_lines(named, order).select("line_no", "value"), dense=True)
 
 
 def _together(streams: tuple[Stream, ...]) -> DataFrame:
@@ -37,24 +45,25 @@ def _together(streams: tuple[Stream, ...]) -> DataFrame:
     return df
 
 
-def sort(reverse: bool = False, numeric: bool = False, unique: bool = False, field: int | None = None, delimiter: str | None = None, reverse_ties: bool | None = None) -> Stage:
+def sort(reverse: bool = False, numeric: bool = False, unique: bool = False, field: int | None = None, delimiter: str | None = None, reverse_ties: bool | None = None, last: int | None = None) -> Stage:
     """All inputs in one order. Plain byte order is only noted, and costs nothing until a stage asks for it.
 
-    The key is the line or its part from a field on, as text or as a number; ties go by the whole line, reversed as the key is unless told.
+    The key is the line or its part from a field on, or from one field to another, as text or as a number; ties go by the
+    whole line, reversed as the key is unless told. Lines alike are counted first, and sorted as one.
     """
 
     def run(*inputs: Stream) -> Stream:
         df = _together(inputs).distinct() if unique else _together(inputs)
         if not (reverse or numeric or field):
             return Stream(df, ("value",))
-        keys = ordered.sort_keys("value", field, delimiter, numeric, reverse, reverse_ties) if numeric or field else [_v().desc()]
-        return Stream(number_lines(df, keys).select("line_no", "value"))
+        keys = ordered.sort_keys("value", field, delimiter, numeric, reverse, reverse_ties, last) if numeric or field else [_v().desc()]
+        return Stream(number_lines(df.groupBy("value").agg(F.count("*").alias("_n")), keys, copies="_n").select("line_no", "value"), dense=True)
 
     return Function(run, ANY, 1, "sort")
 
 
-def uniq(count: bool = False, repeated: bool = False) -> Stage:
-    """Runs of equal records: one of each, with its length, or only those longer than one. In a sorted stream runs are groups."""
+def uniq(count: bool = False, repeated: bool = False, single: bool = False) -> Stage:
+    """Runs of equal records: one of each, with its length, or only those longer than one, or only those of one. In a sorted stream runs are groups."""
 
     def run(s: Stream) -> Stream:
         if s.order == ("value",):
@@ -62,57 +71,140 @@ def uniq(count: bool = False, repeated: bool = False) -> Stage:
         else:
             runs = ordered.run_lengths(numbered(s).df, "line_no", "value")
         runs = runs.where("length > 1") if repeated else runs
+        runs = runs.where("length = 1") if single else runs
         # Within a sorted stream the record itself is the order; `key` keeps it beside a count.
         place = _v().alias("key") if s.order == ("value",) else F.col("run").alias("line_no")
         shown = F.concat_ws(" ", F.format_string("%7d", F.col("length")), _v()) if count else _v()
-        return Stream(runs.select(place, shown.alias("value")), (("key",) if s.order == ("value",) else ("line_no",)) if count else ("value",) if s.order == ("value",) else ("line_no",))
+        order = ("line_no",) if s.order != ("value",) else ("key",) if count else ("value",)
+        return Stream(runs.select(place, shown.alias("value")), order, s.order != ("value",) and not (repeated or single))
 
     return Function(run, 1, 1, "uniq")
 
 
-def count(lines: bool = True, size: bool = False) -> Stage:
-    parts = ([F.count("*").cast("string")] if lines else []) + ([totals.byte_size(_v()).cast("string")] if size else [])
+def count(lines: bool = True, size: bool = False, words: bool = False, characters: bool = False) -> Stage:
+    """Numbers of lines, words between blanks, characters and bytes, in this order, line ends included."""
+    n_words = F.coalesce(F.sum(F.size(project.blank_words(F.coalesce(_v(), F.lit(""))))), F.lit(0))
+    n_characters = F.coalesce(F.sum(F.length(F.coalesce(_v(), F.lit(""))) + 1), F.lit(0))
+    parts = [c.cast("string") for c, asked in ((F.count("*"), lines), (n_words, words), (n_characters, characters), (totals.byte_size(_v()), size)) if asked]
     return Function(lambda s: Stream(s.df.agg(F.concat_ws(" ", *parts).alias("value")), ("value",)), 1, 1, "wc")
 
 
 def head(n: int = 10) -> Stage:
-    return Function(lambda s: Stream(ordered.head(s.df, list(s.order), n), s.order), 1, 1, "head")
+    return Function(lambda s: Stream(ordered.head(s.df, list(s.order), n), s.order, s.dense), 1, 1, "head")
 
 
 def tail(n: int = 10) -> Stage:
     return Function(lambda s: Stream(ordered.tail(s.df, list(s.order), n), s.order), 1, 1, "tail")
 
 
-def grep(pattern: str, outputs: tuple[str, ...] = ("matching_lines",), **options) -> Stage:
-    """One stream per output asked for; the stream is one file, called (standard input)."""
+def tail_from(n: int) -> Stage:
+    """All records from the n-th on."""
+    return Function(lambda s: Stream(numbered(s).df.where(F.col("line_no") >= n)), 1, 1, "tail")
+
+
+def grep(pattern: str, outputs: tuple[str, ...] = ("matching_lines",), only: bool = False, numbers: bool = False, before: int = 0, after: int = 0, **options) -> Stage:
+    """One stream per output asked for; the stream is one file, called (standard input).
+
+    Matching lines may be shown as their matches alone, with line numbers, and with the lines around them, stretches of
+    which that do not touch are parted by `--`.
+    """
+    inverted = options.get("inverted", False)
+
+    def shown(s: Stream, hit: Column) -> Stream:
+        if not (only or numbers or before or after):
+            return Stream(s.df.where(hit), s.order)
+        rows = numbered(s).df if numbers or before or after else s.df
+        order = ["line_no"] if numbers or before or after else list(s.order)
+        named = [F.col(c).alias(f"_order_{i}") for i, c in enumerate(order)]
+        label = lambda mark: F.concat(F.col("line_no").cast("string"), mark) if numbers else F.lit("")
+        if only:
+            body = match.expression(pattern, **{k: v for k, v in options.items() if k != "inverted"})
+            found = F.filter(F.regexp_extract_all("value", F.lit(f"({body})"), F.lit(1)), lambda x: x != "")
+            found = F.when(F.lit(not inverted), found).otherwise(F.array().cast("array<string>"))
+            each = rows.select(*named, label(F.lit(":")).alias("_label"), F.posexplode(found).alias("_place", "_text"))
+            return Stream(each.select(*[f"_order_{i}" for i in range(len(order))], "_place", F.concat("_label", "_text").alias("value")), (*[f"_order_{i}" for i in range(len(order))], "_place"))
+        if not (before or after):
+            return Stream(rows.where(hit).select("line_no", F.concat(label(F.lit(":")), "value").alias("value")))
+        near = ordered.previous(ordered.context(rows, "line_no", hit, before, after), "line_no", "line_no", name="_last")
+        parted = F.col("has__last") & (F.col("_last") < F.col("line_no") - 1)
+        lines = F.array(F.when(parted, F.struct(F.lit(0).alias("k"), F.lit("--").alias("v"))), F.struct(F.lit(1).alias("k"), F.concat(label(F.when(F.col("matched"), ":").otherwise("-")), "value").alias("v")))
+        each = near.select("line_no", F.explode(lines).alias("l")).where("l IS NOT NULL")
+        return Stream(each.select("line_no", F.col("l.k").alias("part"), F.col("l.v").alias("value")), ("line_no", "part"))
 
     def run(s: Stream) -> list[Stream]:
-        made = match.multi_match(s.df.withColumn("file", F.lit("(standard input)")), "file", match.matches(_v(), pattern, **options), list(outputs))
+        hit = match.matches(_v(), pattern, **options)
+        made = match.multi_match(s.df.withColumn("file", F.lit("(standard input)")), "file", hit, list(outputs))
         shaped = []
         for o, df in zip(outputs, made):
             if o == "matching_lines":
-                shaped.append(Stream(df.drop("file"), s.order))
+                shaped.append(shown(s, hit))
             else:
                 shaped.append(Stream(df.select(F.col("matched_lines" if o == "count" else "file").cast("string").alias("value")), ("value",)))
         return shaped
 
-    return Function(run, 1, len(outputs), "grep")
+    def each(s: Stream, channel: str) -> Stream:
+        return Stream(s.df.where(match.matches(_v(), pattern, **options)), s.order)
+
+    plain = outputs == ("matching_lines",) and not (only or numbers or before or after)
+    return Function(run, 1, len(outputs), "grep", each=each if plain else None)
+
 
+def grep_listed(whole_word: bool = True, before: int = 0, after: int = 0) -> Stage:
+    """Takes a stream of fixed strings and a text; gives the text's lines that hold one of them, and lines around those."""
 
-def grep_listed(whole_word: bool = True) -> Stage:
-    """Takes a stream of fixed strings and a text; gives the text's lines that hold one of them."""
-    return Function(lambda patterns, s: Stream(match.match_pattern_table(s.df, "value", patterns.df, "value", whole_word), s.order), 2, 1, "grep -f")
+    def run(patterns: Stream, s: Stream) -> Stream:
+        if not (before or after):
+            return Stream(match.match_pattern_table(s.df, "value", patterns.df, "value", whole_word), s.order)
+        rows = numbered(s).df
+        hits = match.match_pattern_table(rows, "value", patterns.df, "value", whole_word, ["line_no"]).select("line_no", F.lit(True).alias("_hit"))
+        marked = rows.join(hits, "line_no", "left")
+        return Stream(ordered.context(marked, "line_no", F.coalesce("_hit", F.lit(False)), before, after).select("line_no", "value"))
 
+    return Function(run, 2, 1, "grep -f")
+
+
+def cut(delimiter: str, ranges: list[tuple[int, int | None]], several: bool = False, characters: bool = False, only_delimited: bool = False) -> Stage:
+    """The ranges of fields, or of characters, as one stream, or each range as a stream of its own."""
+
+    def one(ranges: list[tuple[int, int | None]]):
+        made = project.cut_characters(_v(), ranges) if characters else project.cut(_v(), delimiter, ranges, only_delimited)
+        keep = lambda df: df.where(F.contains(_v(), F.lit(delimiter))) if only_delimited and not characters else df
+        return lambda s: Stream(keep(s.df).withColumn("value", made), s.order, s.dense and not only_delimited)
 
-def cut(delimiter: str, ranges: list[tuple[int, int]], several: bool = False) -> Stage:
-    """The ranges as one stream, or each range as a stream of its own."""
     if several:
-        return Function(lambda s: [Stream(df, s.order) for df in project.cut_streams(s.df, "value", delimiter, ranges)], 1, len(ranges), "cut")
-    return Function(lambda s: s.map(lambda df: df.withColumn("value", project.cut(_v(), delimiter, ranges))), 1, 1, "cut")
+        return Function(lambda s: [one([r])(s) for r in ranges], 1, len(ranges), "cut")
+    return Function(one(ranges), 1, 1, "cut", each=lambda s, channel: one(ranges)(s))
+
+
+def translate(first: str, second: str = "", delete: bool = False, squeeze: bool = False) -> Stage:
+    """Characters of each line replaced, taken out, or runs of them squeezed; ranges such as a-z are written out."""
+    a, b = _characters(first), _characters(second)
+    if delete:
+        made = scalar.delete_characters(_v(), a)
+    elif squeeze and not b:
+        made = scalar.squeeze_characters(_v(), a)
+    else:
+        made = F.translate(_v(), a, b + b[-1:] * (len(a) - len(b)))
+        made = scalar.squeeze_characters(made, b) if squeeze else made
+    row = lambda s: Stream(s.df.withColumn("value", made), s.order, s.dense)
+    return Function(row, 1, 1, "tr", each=lambda s, channel: row(s))
+
+
+def _characters(text: str) -> str:
+    return re.sub("(.)-(.)", lambda m: "".join(map(chr, range(ord(m[1]), ord(m[2]) + 1))), text, flags=re.S)
 
 
 def words() -> Stage:
-    return Function(lambda s: Stream(project.exploded(s.df, project.letter_words(_v()), "value"), ("value",)), 1, 1, "words")
+    """Runs of ASCII letters, in the order of the records and of their places in them."""
+
+    def run(s: Stream, *channel: str) -> Stream:
+        place = free_name("word_no", s.df.columns)
+        kept = [c for c in dict.fromkeys([*s.order, *channel]) if c != "value"]
+        order = [F.col(c) for c in kept] if "value" not in s.order else [*[F.col(c) for c in kept], _v().alias(free_name("line", [*s.df.columns, place]))]
+        rows = s.df.select(*order, F.posexplode(project.letter_words(_v())).alias(place, "value"))
+        return Stream(rows, tuple(c for c in rows.columns if c not in ("value", *channel)))
+
+    return Function(run, 1, 1, "words", each=run)
 
 
 def comm(without: str = "") -> Stage:
@@ -144,15 +236,25 @@ def join(field_1: int = 1, field_2: int = 1, delimiter: str | None = None) -> St
 
 
 def paste(delimiter: str = "\t") -> Stage:
-    return Function(lambda *s: Stream(compare.paste([numbered(x).df for x in s], delimiter=delimiter)), ANY, 1, "paste")
+    return Function(lambda *s: Stream(compare.paste([numbered(x).df for x in s], delimiter=delimiter), dense=True), ANY, 1, "paste")
 
 
 def diff() -> Stage:
-    return Function(lambda a, b: Stream(compare.diff(numbered(a).df, numbered(b).df)), 2, 1, "diff")
+    return Function(lambda a, b: Stream(compare.diff(numbered(a).df, numbered(b).df), dense=True), 2, 1, "diff")
+
+
+def diff_many(to_first: bool = False) -> Stage:
+    """The edit scripts from the first input to each of the others, or from each of them to it, one after the other."""
+
+    def run(first: Stream, *others: Stream) -> Stream:
+        made = compare.diff_from(numbered(first).df, [numbered(x).df for x in others], reverse=to_first)
+        return gather(Bundle(tuple(Stream(df) for df in made)))
+
+    return Function(run, ANY, 1, "diff")
 
 
 def diff3() -> Stage:
-    return Function(lambda a, b, c: Stream(compare.diff3(numbered(a).df, numbered(b).df, numbered(c).df)), 3, 1, "diff3")
+    return Function(lambda a, b, c: Stream(compare.diff3(numbered(a).df, numbered(b).df, numbered(c).df), dense=True), 3, 1, "diff3")
 
 
 def cmp() -> Stage:
@@ -220,80 +322,222 @@ def store_read(spark: SparkSession, stores: Stores, name: str, column: str = "va
     return Function(lambda: Stream(stores.read(name).select(F.col(column).cast("string").alias("value")), ("value",)), 0, 1, f"read {name}", reads=frozenset([name]))
 
 
-def _number_list(text: str) -> list[tuple[int, int]]:
-    return [(int(a), int(b or a)) for a, _, b in (x.partition("-") for x in text.split(","))]
+def _number_list(text: str) -> list[tuple[int, int | None]]:
+    """Ranges such as 1,3-4,6-; -2 is 1-2."""
+    found = []
+    for x in text.split(","):
+        m = re.fullmatch("([1-9][0-9]*)?(?:(-)([1-9][0-9]*)?)?", x)
+        if not m or not (m[1] or m[3]):
+            raise PlanError(f"cut: cannot use the range {x!r}")
+        found.append((int(m[1] or 1), int(m[3]) if m[3] else None if m[2] else int(m[1])))
+    return found
+
+
+class Options:
+    """The words that follow a command: options it knows, in the order given, and the others. Any other option is an error."""
+
+    def __init__(self, command: str, args: list[str], flags: str = "", valued: str = "", long: tuple[str, ...] = (), once: str = "", numbers: bool = False):
+        self.command, self.args, self.found, self.rest = command, args, [], []
+        todo = list(args)
+        while todo:
+            w = todo.pop(0)
+            if w == "--":
+                self.rest += todo
+                break
+            if w.startswith("--"):
+                name, _, value = w.partition("=")
+                self.need(name in long, w)
+                self.found.append((name, value))
+            elif len(w) < 2 or w[0] != "-":
+                self.rest.append(w)
+            elif numbers and w[1:].isdigit():
+                self.found.append(("n", w[1:]))
+            else:
+                for k, c in enumerate(w[1:], 1):
+                    self.need(c in flags + valued, f"-{c}")
+                    self.need(not (c in once and c in self), f"-{c} given twice")
+                    if c in valued:
+                        self.need(bool(w[k + 1 :] or todo), f"-{c} without a value")
+                        self.found.append((c, w[k + 1 :] or todo.pop(0)))
+                        break
+                    self.found.append((c, ""))
+
+    def need(self, held: bool, what: str) -> None:
+        if not held:
+            raise PlanError(f"{self.command}: cannot use {what} in {' '.join([self.command, *self.args])!r}")
+
+    def __contains__(self, name: str) -> bool:
+        return any(n == name for n, _ in self.found)
+
+    def get(self, name: str, default: str | None = None) -> str | None:
+        return next((v for n, v in reversed(self.found) if n == name), default)
+
+    def number(self, name: str, default: int) -> int:
+        value = self.get(name, str(default))
+        self.need(value.isdigit(), value)
+        return int(value)
 
+    def words(self, least: int, most: int | None = None) -> list[str]:
+        self.need(least <= len(self.rest) <= (least if most is None else most), f"{len(self.rest)} words")
+        return self.rest
 
-def registry(spark: SparkSession) -> dict[str, Callable[[list[str]], Stage]]:
-    """Stages by name, each made from the words that follow the name in a text graph."""
 
-    def options(args: list[str], valued: str = "", once: str = "") -> tuple[dict[str, str], list[str]]:
-        """Single-letter options, those in `valued` with a value, and the other words; those in `once` may not come again."""
-        found, rest, words_ = {}, [], list(args)
-        while words_:
-            w = words_.pop(0)
-            if len(w) < 2 or w[0] != "-":
-                rest.append(w)
-                continue
-            for k, c in enumerate(w[1:], 1):
-                if c in once and c in found:
-                    raise PlanError(f"-{c} given twice in {' '.join(args)}")
-                if c in valued:
-                    found[c] = w[k + 1 :] or (words_.pop(0) if words_ else "")
-                    break
-                found[c] = ""
-        return found, rest
+def registry(spark: SparkSession, stores: Stores | None = None) -> dict[str, Callable[[list[str]], Stage]]:
+    """Stages by name, each made from the words that follow the name in a text graph.
+
+    A stage takes the options listed in its maker below, and raises PlanError for any other.
+    """
+    stores = stores or Stores()
 
     def made_sort(args: list[str]) -> Stage:
-        # -m, -S and -T say how to sort, and change nothing here.
-        o, rest = options(args, "ktST", once="kt")
-        key = re.fullmatch("([1-9][0-9]*)([nr]*)", o.get("k", "1"))
-        if rest or set(o) - set("kntrumST") or not key or len(o.get("t", " ")) != 1 or ("u" in o and ("n" in o or "k" in o)):
-            raise PlanError(f"sort: cannot use {' '.join(args)}")
+        # -m, -S and -T say how to sort, and change nothing here: inputs that are sorted give the same without being told.
+        o = Options("sort", args, "nrum", "ktST", once="kt")
+        key = re.fullmatch("([1-9][0-9]*)(?:,([1-9][0-9]*))?([nr]*)", o.get("k", "1"))
+        o.need(bool(key) and not o.rest and len(o.get("t", " ")) == 1 and not ("u" in o and ("n" in o or "k" in o)), "these")
+        o.need(not key[2] or int(key[2]) >= int(key[1]), o.get("k", "1"))
         # As in sort(1), a key with letters of its own takes none of those for all keys, which then only hold for ties.
-        letters = key[2] or o
-        return sort("r" in letters, "n" in letters, "u" in o, int(key[1]) if "k" in o else None, o.get("t"), "r" in o)
+        letters = key[3] or o
+        return sort("r" in letters, "n" in letters, "u" in o, int(key[1]) if "k" in o else None, o.get("t"), "r" in o, int(key[2]) if key[2] else None)
 
     def made_uniq(args: list[str]) -> Stage:
-        o, _ = options(args)
-        return uniq("c" in o, "d" in o)
+        o = Options("uniq", args, "cdu")
+        o.words(0)
+        return uniq("c" in o, "d" in o, "u" in o)
 
     def made_count(args: list[str]) -> Stage:
-        o, _ = options(args)
-        return count("l" in o or not o, "c" in o)
+        o = Options("wc", args, "lwcm")
+        o.words(0)
+        return count("l" in o or not o.found, "c" in o, "w" in o, "m" in o)
 
     def made_grep(args: list[str]) -> Stage:
-        long = [a for a in args if a.startswith("--")]
-        o, rest = options([a for a in args if not a.startswith("--")])
+        # -h, which leaves out names of files, changes nothing: a stream has none. -E is what patterns are anyhow.
+        o = Options("grep", args, "FivwclLonhE", "fABCe", ("--matching-lines", "--context", "--before-context", "--after-context"))
+        around = o.number("--context", o.number("C", 0))
+        before, after = o.number("--before-context", o.number("B", around)), o.number("--after-context", o.number("A", around))
         names = {"--matching-lines": "matching_lines", "c": "count", "l": "files", "L": "other_files"}
-        asked = [names[a] for x in args for a in ([x] if x.startswith("--") else list(x[1:]) if x.startswith("-") else []) if a in names]
-        if not rest or [a for a in long if a not in names]:
-            raise PlanError(f"grep: cannot use {' '.join(args)}")
-        return grep(rest[0], tuple(asked) or ("matching_lines",), fixed="F" in o, ignore_case="i" in o, whole_word="w" in o, inverted="v" in o)
+        asked = tuple(names[n] for n, _ in o.found if n in names)
+        if "f" in o:
+            o.need(o.get("f") == "-" and not asked and not ({n for n, _ in o.found} & set("ivonecE")) and not o.rest, "these with -f")
+            return grep_listed("w" in o, before, after)
+        pattern = o.get("e") if "e" in o else o.words(1)[0]
+        o.need("e" not in o or not o.rest, "words beside -e")
+        return grep(pattern, asked or ("matching_lines",), "o" in o, "n" in o, before, after, fixed="F" in o, ignore_case="i" in o, whole_word="w" in o, inverted="v" in o)
 
     def made_join(args: list[str]) -> Stage:
-        o, _ = options(args, "12jt")
-        return join(int(o.get("j", o.get("1", "1"))), int(o.get("j", o.get("2", "1"))), o.get("t"))
+        o = Options("join", args, "", "12jt")
+        o.words(0)
+        return join(o.number("1", o.number("j", 1)), o.number("2", o.number("j", 1)), o.get("t"))
 
     def made_cut(args: list[str]) -> Stage:
-        o, _ = options([a for a in args if not a.startswith("--")], "df")
-        return cut(o.get("d", "\t"), _number_list(o["f"]), "--multistream" in args)
-
-    lines = lambda args: int(options(args, "n")[0].get("n", "10"))
-    return {
-        "sort": made_sort, "uniq": made_uniq, "wc": made_count, "grep": made_grep, "join": made_join, "cut": made_cut,
-        "head": lambda a: head(lines(a)), "tail": lambda a: tail(lines(a)), "comm": lambda a: comm("".join(x[1:] for x in a if x.startswith("-"))), "paste": lambda a: paste(options(a, "d")[0].get("d", "\t")),
-        "diff": lambda a: diff(), "diff3": lambda a: diff3(), "cmp": lambda a: cmp(), "cat": lambda a: cat(), "tee": lambda a: tee(), "words": lambda a: words(), "merge-sum": lambda a: merge_sum(),
-        "perm": lambda a: perm(*map(int, a[0].split(","))), "echo": lambda a: echo(spark, *a), "pecho": lambda a: pecho(spark, *a), "read": lambda a: read(spark, *a), "enumerate": lambda a: enumerate_stage(spark, int(a[0])),
+        o = Options("cut", args, "s", "dfc", ("--multistream",))
+        o.words(0)
+        o.need(("f" in o) != ("c" in o) and len(o.get("d", "\t")) == 1, "these")
+        return cut(o.get("d", "\t"), _number_list(o.get("f") or o.get("c")), "--multistream" in o, "c" in o, "s" in o)
+
+    def made_tr(args: list[str]) -> Stage:
+        o = Options("tr", args, "ds")
+        sets = o.words(1, 1 if "d" in o else 2)
+        o.need("d" in o or "s" in o or len(sets) == 2, "one set")
+        o.need(not ("d" in o and "s" in o), "-d with -s")
+        return translate(sets[0], sets[1] if len(sets) > 1 else "", "d" in o, "s" in o)
+
+    def made_head(args: list[str]) -> Stage:
+        o = Options("head", args, "", "n", numbers=True)
+        o.words(0)
+        return head(o.number("n", 10))
+
+    def made_tail(args: list[str]) -> Stage:
+        o = Options("tail", args, "", "n", numbers=True)
+        o.words(0)
+        if o.get("n", "").startswith("+"):
+            o.need(o.get("n")[1:].isdigit(), o.get("n"))
+            return tail_from(int(o.get("n")[1:]))
+        return tail(o.number("n", 10))
+
+    def made_comm(args: list[str]) -> Stage:
+        o = Options("comm", args, "123")
+        o.words(0)
+        return comm("".join(n for n, _ in o.found))
+
+    def made_paste(args: list[str]) -> Stage:
+        o = Options("paste", args, "", "d")
+        o.words(0)
+        return paste(o.get("d", "\t"))
+
+    def made_diff(args: list[str]) -> Stage:
+        o = Options("diff", args, "", "", ("--from-file", "--to-file"))
+        o.words(0)
+        o.need(len(o.found) < 2 and all(v in ("", "-") for _, v in o.found), "these")
+        return diff_many("--to-file" in o) if o.found else diff()
+
+    def made_tee(args: list[str]) -> Stage:
+        o = Options("tee", args, "sa")
+        o.words(0)  # -a says how files are written, and a tee here writes none
+        return scattered() if "s" in o else tee()
+
+    def made_parallel(args: list[str]) -> Stage:
+        cut_at = next((i for i, w in enumerate(args) if not w.startswith("-") and (i == 0 or args[i - 1] not in ("-n", "-l", "-f"))), len(args))
+        o, command = Options("parallel", args[:cut_at], "", "nlf"), args[cut_at:]
+        o.need(len(o.found) == 1 and bool(command) and command[0] in known, "these")
+        if "n" in o:
+            items = [str(i) for i in range(1, o.number("n", 1) + 1)]
+        elif "l" in o:
+            items = o.get("l").split(",")
+        else:
+            items = [r.value for r in spark.read.text(o.get("f")).toLocalIterator()]  # one stage of the plan for each
+        o.need(bool(items), "no items")
+        if any("{}" in w for w in command):
+            return block(*[known[command[0]]([w.replace("{}", x) for w in command[1:]]) for x in items])
+        return parallel(known[command[0]](command[1:]), [None] * len(items))
+
+    def made_store(args: list[str]) -> Stage:
+        o = Options("writeval", args, "", "sbe")
+        o.words(0)
+        o.need("s" in o, "no -s")
+        return store_write(stores, o.get("s"), o.number("b", 1), o.number("e", 0))
+
+    def made_read(args: list[str]) -> Stage:
+        # -l, -c and -e differ only while a stream still runs.
+        o = Options("readval", args, "lce", "s")
+        o.words(0)
+        o.need("s" in o, "no -s")
+        return store_read(spark, stores, o.get("s"))
+
+    def made_write(args: list[str]) -> Stage:
+        o = Options("write", args, "a")
+        return write(*o.words(1, 99), append="a" in o)
+
+    def made_sql(args: list[str]) -> Stage:
+        o = Options("sql", args, "", "n")
+        return sql(spark, " ".join(o.words(1, 999)), o.number("n", 1))
+
+    def made_perm(args: list[str]) -> Stage:
+        o = Options("perm", args)
+        o.need(re.fullmatch("[0-9]+(,[0-9]+)*", o.words(1)[0]) is not None, o.rest[0])
+        return perm(*map(int, o.rest[0].split(",")))
+
+    def bare(command: str, made: Callable[[], Stage]) -> Callable[[list[str]], Stage]:
+        return lambda args: made() if Options(command, args).words(0) == [] else None
+
+    known = {
+        "sort": made_sort, "uniq": made_uniq, "wc": made_count, "grep": made_grep, "join": made_join, "cut": made_cut, "tr": made_tr, "head": made_head, "tail": made_tail, "comm": made_comm, "paste": made_paste,
+        "diff": made_diff, "diff3": bare("diff3", diff3), "cmp": bare("cmp", cmp), "cat": bare("cat", cat), "tee": made_tee, "parallel": made_parallel, "words": bare("words", words), "merge-sum": bare("merge-sum", merge_sum),
+        "perm": made_perm, "echo": lambda a: echo(spark, *a), "pecho": lambda a: pecho(spark, *a), "read": lambda a: read(spark, *a), "enumerate": lambda a: enumerate_stage(spark, int(Options("enumerate", a).words(1)[0])),
+        "writeval": made_store, "readval": made_read, "write": made_write, "sql": made_sql,
     }
+    return known
 
 
-def pipeline(spark: SparkSession, text: str) -> Stage:
-    """Stages joined by `|`, such as `words | sort | uniq -c`, in which quotes keep blanks together."""
-    made, known = None, registry(spark)
+def pipeline(spark: SparkSession, text: str, stores: Stores | None = None) -> Stage:
+    """Stages joined by `|`, such as `words | sort | uniq -c`, in which quotes keep blanks, and bars, together."""
+    made, known = None, registry(spark, stores)
+    hidden = re.sub(r"""'[^']*'|"[^"]*"|\\\|""", lambda m: m[0].replace("|", "\0"), text)
+    lexer = shlex.shlex(hidden, posix=True, punctuation_chars="|")
+    lexer.whitespace_split = True
+    lexer.commenters = ""
     parts: list[list[str]] = [[]]
-    for w in shlex.split(text.replace("|", " | ")):
-        parts.append([]) if w == "|" else parts[-1].append(w)
+    for w in lexer:
+        parts.append([]) if w == "|" else parts[-1].append(w.replace("\0", "|"))
     for p in parts:
         if not p or p[0] not in known:
             raise PlanError(f"pipeline: unknown stage {' '.join(p)!r}")

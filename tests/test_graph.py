@@ -118,7 +118,26 @@ def test_record_windows(spark):
         record_window(df, "id", 2, 2)
 
 
+def test_scattered_channels_are_one_plan(spark):
+    lines = Stream(spark.range(1000).select(F.col("id").alias("line_no"), (F.col("id") % 7).cast("string").alias("value")))
+    counted = lambda s, *channel: Stream(s.df.groupBy(*channel, "value").agg(F.count("*").alias("n")), ("value",))
+    fused = (spread(4, ["line_no"]) | parallel(Function(counted, name="count", each=counted), 4) | cat())(lines)[0].df
+    apart = (spread(4, ["line_no"]) | parallel(lambda i: Function(counted, name=f"count {i}"), 4) | cat())(lines)[0].df
+    rows = lambda df: sorted((r.channel, r.value, r.n) for r in df.collect())
+    assert rows(fused) == rows(apart) and sum(r[2] for r in rows(fused)) == 1000
+    scans = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Range (")
+    assert (scans(fused), scans(apart)) == (1, 4)
+    clash = Stream(spark.range(20).select(F.col("id").alias("line_no"), F.lit("x").alias("value"), F.lit(1).alias("channel"), F.lit(2).alias("channel_no")))
+    assert sorted(set((r.channel, r.channel_no) for r in gather(scatter(clash, 3, ["line_no"])).df.collect())) == [(1, 2), (2, 2), (3, 2)]
+
+
 def test_numbered_lines(spark):
+    many = spark.createDataFrame([("b", 3), ("a", 40_000), ("c", 1), ("z", 0)], "v string, n int")
+    out = number_lines(many, [F.desc("v")], copies="n")
+    assert out.columns == ["v", "line_no"] and [tuple(r) for r in out.groupBy("v").agg(F.min("line_no"), F.max("line_no"), F.count_distinct("line_no")).orderBy("v").collect()] == [("a", 5, 40_004, 40_000), ("b", 2, 4, 3), ("c", 1, 1, 1)]
+    assert number_lines(many.limit(0), ["v"]).count() == 0 and number_lines(many.withColumn("_at", F.lit(1)), ["v"]).columns == ["v", "n", "_at", "line_no"]
+    one = number_lines(spark.range(500).select(F.lit(1).alias("v")), ["v"])
+    assert sorted(r.line_no for r in one.collect()) == list(range(1, 501))
     df = spark.range(1000).select(((F.col("id") * 7919) % 1009).alias("v"), F.lit("x").alias("line"))
     out = number_lines(df, ["v"]).orderBy("line_no").collect()
     assert [r.line_no for r in out] == list(range(1, 1001)) and [r.v for r in out] == sorted(r.v for r in out)

@@ -5,10 +5,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from fanloom.functions import scalar
-from fanloom.fuse import shared
+from fanloom.fuse import keeping, shared
+from fanloom.graph import Function, block, tee
 from fanloom.operators import compare, match, ordered, project, totals
 from fanloom.operators.monitor import as_json, monitor
-from fanloom.stream import PlanError
+from fanloom.stream import PlanError, Stream
 
 
 def text(spark, *lines):
@@ -56,13 +57,45 @@ def test_edit_scripts(spark):
     got = [r.value for r in compare.diff(text(spark, *old), text(spark, *new)).orderBy("line_no").collect()]
     assert got == ["1d0", "< ", "3a3", "> 3", "4a5", "> y"]
     assert compare.diff(text(spark, "a"), text(spark, "a")).count() == 0
-    with pytest.raises(PlanError):
-        compare.diff(text(spark, "a", "b"), text(spark, "a"), most=2)
     assert len(compare.diff_from(text(spark, "a"), [text(spark, "a"), text(spark, "b")])) == 2
     assert list(compare.merge_script(["a", "c"], ["b"], ["c"]))[:4] == ["====", "1:1,2c", "  a", "  c"]
     assert list(compare.merge_script(["a", "x"], ["a", "b"], ["a", "b"])) == ["====1", "1:2c", "  x", "2:2c", "3:2c", "  b"]
 
 
+def test_edit_scripts_of_pieces_rebuild(spark):
+    """Cut at anchors, at every few lines where there are none, and within groups: the script always gives the right side back."""
+    rng = random.Random(9)
+    alike = ["x"] * 40
+    pairs = [([f"l{i}" for i in range(60)], [f"l{i}" for i in range(60) if i % 7] + ["new"]), (alike, alike[:25] + ["y"]), ([], ["a", "b"]), (["a", "b"], []), ([f"l{i}" for i in range(30)], [f"l{i}" for i in range(29, -1, -1)])]
+    pairs += [([rng.choice("abcdefgh") + str(rng.randrange(9)) for _ in range(50)], [rng.choice("abcdefgh") + str(rng.randrange(9)) for _ in range(45)])]
+    rows = lambda k: spark.createDataFrame([(g, n, v) for g, p in enumerate(pairs) for n, v in enumerate(p[k], 1)], "g int, line_no long, value string")
+    scripts = compare.diff_by_group(rows(0), rows(1), "g", most=8, spacing=4, chunk=16)
+    found = {}
+    for r in scripts.orderBy("g", "line_no").collect():
+        found.setdefault(r.g, []).append((r.line_no, r.value))
+    for g, (a, b) in enumerate(pairs):
+        got = found.get(g, [])
+        assert [n for n, _ in got] == list(range(1, len(got) + 1))
+        out, at = [], 0
+        for v in [v for _, v in got]:
+            if v[0] in "<>-":
+                if v[0] == ">":
+                    out.append(v[2:])
+                continue
+            left, op, _ = v.partition(next(c for c in v if c in "acd"))
+            lo, _, hi = left.partition(",")
+            stop = int(lo) if op == "a" else int(lo) - 1
+            out += a[at:stop]
+            at = stop if op == "a" else int(hi or lo)
+        assert out + a[at:] == b, g
+    for g in (0, 3):
+        side = lambda k: rows(k).where(F.col("g") == g).drop("g")
+        script = compare.diff(side(0), side(1), most=8, spacing=4, chunk=16)
+        assert [r.value for r in compare.patched(side(0), script).orderBy("line_no").collect()] == pairs[g][1]
+    merged = compare.diff3(*[rows(0).where("g = 0").drop("g") if i == 1 else rows(1).where("g = 0").drop("g") for i in range(3)], most=8, spacing=4, chunk=16)
+    assert {r.value[:5] for r in merged.where("value LIKE '===%'").collect()} == {"====2"}
+
+
 def test_edit_script_rebuilds(spark):
     rng = random.Random(2)
     for _ in range(50):
@@ -118,8 +151,9 @@ def test_pattern_range(spark):
 
 def test_context(spark):
     df = text(spark, *["x" if i in (1, 10, 11) else "-" for i in range(1, 16)])
-    out = ordered.context(df, "line_no", F.col("value") == "x", 1, 2)
-    assert sorted((r.line_no, r.matched) for r in out.collect()) == [(1, True), (2, False), (3, False), (9, False), (10, True), (11, True), (12, False), (13, False)]
+    for chunk in (2, 5, 1 << 20):
+        out = ordered.context(df, "line_no", F.col("value") == "x", 1, 2, chunk=chunk)
+        assert sorted((r.line_no, r.matched) for r in out.collect()) == [(1, True), (2, False), (3, False), (9, False), (10, True), (11, True), (12, False), (13, False)]
 
 
 def test_sorts_and_tops(spark):
@@ -206,8 +240,13 @@ def test_totals(spark):
     assert sizes[0].bytes == 1000 and sizes[0].gzip < 100 and sizes[1].bytes == 0
     days = spark.sql("SELECT DATE '2021-03-01' AS d, 1 AS u UNION ALL SELECT DATE '2021-03-03', 2")
     assert [(str(r.d), r.u) for r in totals.presence(days.unionAll(days), "d", "u").orderBy("d").collect()] == [("2021-03-01", 1), ("2021-03-02", None), ("2021-03-03", 2)]
-    many = totals.listed(spark.range(500).select(F.lit("k").alias("k"), F.col("id").cast("string").alias("v")), "k", "v", most=50).collect()
-    assert len(many) == 10 and {r.n for r in many} == {500} and sorted(int(x) for r in many for x in r["items"].split()) == list(range(500))
+    rows = spark.range(50_000).select(F.when(F.col("id") % 5 > 0, "k").alias("k"), F.col("id").alias("v"))
+    many = totals.listed(rows, "k", "v").collect()
+    assert [(r.k, r.n, [int(x) for x in r["items"].split()]) for r in many] == [("k", 40_000, [i for i in range(50_000) if i % 5])]
+    assert totals.listed(rows, "k", "v", least=40_001).count() == 0 and totals.members(rows, "k").count() == 40_000 and totals.members(rows.limit(0), "k").count() == 0
+    big = totals.parse_partial(F.lit("99999999999999999999 k"))
+    assert [str(r.value) for r in totals.merge_sum(spark.range(2).select(big[0].alias("value"), big[1].alias("key"))).collect()] == ["199999999999999999998"]
+    assert [str(x) for x in spark.range(1).select(*[project.number(F.lit(v)) for v in ("9223372036854775808x", "-", "+7", "")]).first()] == ["9223372036854775808", "0", "7", "0"]
     assert totals.presence(days.limit(0), "d", "u").count() == 0
 
 
@@ -236,7 +275,10 @@ def test_bibliography(spark):
 
 
 def test_shared(spark):
-    with shared(spark.range(3), 2) as kept:
-        assert kept.is_cached and kept.count() == 3
-    with shared(spark.range(3), 1) as same:
-        assert not same.is_cached
+    df, same = spark.range(3), Function(lambda s: s, name="same")
+    assert not shared(df, 2).is_cached
+    with keeping():
+        assert shared(df, 2).is_cached and not shared(spark.range(4), 1).is_cached
+        a, b = (tee() | block(same, same))(Stream(spark.range(5).withColumnRenamed("id", "line_no"))).streams
+        assert a.df.is_cached and a.df is b.df and a.df.count() == 5
+    assert not df.is_cached and not a.df.is_cached
