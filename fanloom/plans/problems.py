@@ -74,14 +74,14 @@ WITH requests AS (SELECT line_no, any_value({_HOST}) AS host, any_value({_URL})
  keys AS (SELECT 'host' AS field, host AS item, bytes FROM requests WHERE host NOT IN ('', '-')
   UNION ALL SELECT 'url', url, bytes FROM requests WHERE url LIKE '/%'),
  totals AS (SELECT field, item, count(*) AS requests, sum(bytes)::BIGINT AS bytes FROM keys GROUP BY field, item)"""
-_LINES = r"""
+LINES_SQL = r"""
 WITH lines AS (SELECT line_id, any_value(rtrim(value, chr(13))) AS s FROM raw_log GROUP BY line_id),
  q AS (SELECT *, regexp_replace(regexp_replace(coalesce(s, ''), '\\\\', 'xx', 'g'), '\\"', 'xx', 'g') AS u FROM lines),
  n AS (SELECT *, length(u) - length(replace(u, '"', '')) AS quotes FROM q),
  f AS (SELECT *, regexp_extract_all(u, '\[[^\]]*\]|"[^"]*"|[^ \t]+') AS fields,
   regexp_extract_all(regexp_replace(coalesce(s, ''), '\\\\', chr(1) || chr(1), 'g'), '\[[^\]]*\]|"(?:[^"\\]|\\.)*"|[^ \t]+') AS parts FROM n),
  p AS (SELECT *, parts[1] AS host, list_filter(string_split(regexp_replace(regexp_replace(parts[5], '^"', ''), '"$', ''), ' '), lambda x: x <> '') AS request, parts[7] AS size FROM f),
- judged AS (SELECT line_id, host, request, size, parts[6] AS status, CASE
+ judged AS (SELECT line_id, parts, host, request, size, parts[6] AS status, CASE
   WHEN quotes <> 0 AND NOT (quotes = 2 AND regexp_matches(u, '^[^"]*[ \t]"[^"]*"([ \t]|$)')) THEN 'quoting'
   WHEN len(fields) <> 7 OR regexp_matches(u, '^[ \t]') THEN 'columns'
   WHEN NOT coalesce(CASE WHEN regexp_full_match(host, '[0-9.]+')
@@ -101,7 +101,7 @@ WITH {_MINUTES}, settings AS (SELECT unnest([5, 30, 120])::BIGINT AS minutes),
 SELECT minutes, count(*) AS n_sessions, sum(c)::BIGINT AS n_requests, max(duration) AS longest FROM found GROUP BY minutes""",
     "p3_found": f"{_TOTALS}, sums AS (SELECT field, sum(requests) AS n FROM totals GROUP BY field) SELECT field, item FROM totals JOIN sums USING (field) WHERE requests >= 0.02 * n",
     "p3_totals": f"{_TOTALS} SELECT * FROM totals",
-    "p6_found": f"{_LINES} SELECT line_id, reason FROM judged WHERE reason IS NOT NULL",
-    "p6_texts": f"{_LINES} SELECT line_id, reason FROM judged WHERE reason IS NOT NULL",
-    "p6_loaded": rf"{_LINES} SELECT line_id, host, request[1] AS method, replace(request[2], chr(1) || chr(1), '\\') AS url, TRY_CAST(status AS BIGINT) AS status, TRY_CAST(size AS BIGINT) AS bytes FROM judged WHERE reason IS NULL",
+    "p6_found": f"{LINES_SQL} SELECT line_id, reason FROM judged WHERE reason IS NOT NULL",
+    "p6_texts": f"{LINES_SQL} SELECT line_id, reason FROM judged WHERE reason IS NOT NULL",
+    "p6_loaded": rf"{LINES_SQL} SELECT line_id, host, request[1] AS method, replace(request[2], chr(1) || chr(1), '\\') AS url, TRY_CAST(status AS BIGINT) AS status, TRY_CAST(size AS BIGINT) AS bytes FROM judged WHERE reason IS NULL",
 }

@@ -127,19 +127,74 @@ def listing_totals(spark: SparkSession, d: str) -> DataFrame:
     return lines.unionAll(summary)
 
 
-def code_metrics(spark: SparkSession, d: str) -> DataFrame:
-    """Metrics of code, all branches fused into one pass over the documents; code is taken as it stands, without a preprocessor."""
-    docs = table(spark, d, "documents").where("text IS NOT NULL")
-    lines = docs.select(F.explode(F.split("text", "\n")).alias("v"))
+def code_metrics(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """(place, name, value): the figures of a report on C files (.c) and headers (.h), as text, in the report's order.
+
+    All lines are counted in one pass over the files, whatever the number of figures: as they stand, and without strings,
+    characters and comments, as a preprocessor would leave them. Names of files and identifiers go through one aggregation
+    each. Other files take no part, and a null content is an empty one.
+    """
+    is_c = F.col("path").endswith(".c")
+    code = files.select(F.col(path).alias("path"), F.coalesce(content, F.lit("")).alias("text")).where(is_c | F.col("path").endswith(".h"))
+    bare = scalar.strip_comments(F.translate("text", "#", "@"))
+    each = code.select("path", F.explode(F.array(F.struct(F.lit(False).alias("bare"), F.col("text").alias("t")), F.struct(F.lit(True).alias("bare"), bare.alias("t")))).alias("x"))
+    lines = each.select("path", "x.bare", F.explode(F.split("x.t", "\n")).alias("v")).where(F.col("bare") | (F.col("v") != ""))
+    v, m, raw = F.col("v"), match.matches, ~F.col("bare")
+    n = lambda c: F.count_if(c).cast("string")
+    size = lambda c: F.coalesce(F.sum(F.when(c, F.octet_length(v) + 1)), F.lit(0)).cast("string")
+    of_bare = lambda pattern, where=F.lit(True), **o: n(F.col("bare") & where & m(v, pattern, **o))
+    constants = F.sum(F.when(F.col("bare") & is_c, F.size(F.regexp_extract_all(v, F.lit(match.expression("[0-9][x0-9][0-9a-f]*", whole_word=True)), F.lit(0)))))
+    # The names of the report's figures, with the patterns that they count.
+    of_lines = [
+        (2, "NSTRUCT", of_bare(r"struct[ \t]*\{|struct[ \t]*[a-zA-Z_][a-zA-Z0-9_]*[ \t]*\{")),
+        (3, "NTYPEDEF", of_bare("typedef", whole_word=True)),
+        (4, "NVOID", of_bare("void", whole_word=True)),
+        (5, "NGETS", of_bare("gets", whole_word=True)),
+        (7, "CHLINESCHAR", F.concat(n(raw), F.lit(":"), size(raw))),
+        (9, "NCOMMENT", n(raw & m(v, r"/\*|//"))),
+        (10, "NCOPYRIGHT", n(raw & m(v, "copyright", ignore_case=True))),
+        (13, "CLINESCHAR", F.concat(n(raw & is_c), F.lit(":"), size(raw & is_c))),
+        (14, "NFUNCTION", of_bare(r"^\{", is_c)),
+        (15, "NGOTO", of_bare("goto", is_c, whole_word=True)),
+        (16, "NREGISTER", of_bare("register", is_c, whole_word=True)),
+        (17, "NMACRO", of_bare(r"@[ \t]*define[ \t][ \t]*[a-zA-Z_][a-zA-Z0-9_]*\(", is_c)),
+        (18, "NINCLUDE", of_bare(r"@[ \t]*include", is_c)),
+        (19, "NCONST", F.coalesce(constants, F.lit(0)).cast("string")),
+    ]
+    folder = scalar.base_name(scalar.dir_name(F.col("path")))
+    uncommented = F.coalesce(F.sum(F.octet_length(F.regexp_replace("text", r"(?s)/\*.*?\*/", ""))), F.lit(0))
+    average = lambda c: F.round(totals.guarded_average(c), 6).cast("string")
+    of_files = [
+        (1, "FNAMELEN", average(F.length(scalar.base_name(F.col("path"))))),
+        (8, "NCCHAR", F.round(uncommented / 1000).cast("bigint").cast("string")),
+        (11, "NCFILE", n(is_c)),
+        (12, "NCDIR", F.count_distinct(F.when(is_c, folder)).cast("string")),
+        (20, "NHFILE", n(~is_c)),
+    ]
+    ids = code.select(F.explode(F.array_distinct(F.regexp_extract_all(bare, F.lit("[A-Za-z0-9_]+"), F.lit(0)))).alias("w")).where("w RLIKE '^[A-Za-z]'").distinct()
+
+    def rows(df: DataFrame, figures: list) -> DataFrame:
+        one = df.agg(*[c.alias(f"f{k}") for k, _, c in figures])
+        return one.select(F.inline(F.array(*[F.struct(F.lit(k).alias("place"), F.lit(name).alias("name"), F.col(f"f{k}").alias("value")) for k, name, _ in figures])))
+
+    return rows(lines, of_lines).unionAll(rows(code, of_files)).unionAll(rows(ids, [(6, "IDLEN", average(F.length("w")))]))
+
+
+def code_report(spark: SparkSession, d: str) -> DataFrame:
+    """The report on code, over documents: questions stand in for C files, answers for headers, sources for folders."""
+    suffix = F.when(F.col("post_type") == "question", ".c").otherwise(".h")
+    path = F.concat(F.lit("code/"), F.coalesce("source", F.lit("none")), F.lit("/"), F.col("doc_id").cast("string"), suffix)
+    return code_metrics(table(spark, d, "documents").where("post_type IS NOT NULL").select(path.alias("path"), F.col("text").alias("content")))
+
+
+def code_line_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Metrics of all lines of documents as they stand, fused into one pass."""
+    lines = table(spark, d, "documents").where("text IS NOT NULL").select(F.explode(F.split("text", "\n")).alias("v"))
     v, m = F.col("v"), match.matches
     return lines.agg(
         F.count_if(m(v, "return", whole_word=True)).alias("n_return"),
-        F.count_if(m(v, "void", whole_word=True)).alias("n_void"),
-        F.count_if(m(v, "/\\*|//")).alias("n_comment"),
-        F.count_if(m(v, "copyright", ignore_case=True)).alias("n_copyright"),
+        F.count_if(m(v, r"/\*|//")).alias("n_comment"),
         F.count_if(v.startswith("{")).alias("n_function"),
-        F.count_if(m(v, "[@#][ \t]*include")).alias("n_include"),
-        F.sum(F.size(F.regexp_extract_all(v, F.lit("\\b[0-9][x0-9][0-9a-f]*\\b"), F.lit(0))).cast("bigint")).alias("n_constants"),
         F.count("*").alias("n_lines"),
         totals.byte_size(v).alias("n_bytes"),
     )
@@ -153,7 +208,7 @@ def identifier_length(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (labelled_tables, copied_and_placed, numbered_matrix, channel_numbers, scattered_totals, contribution_report, contribution_plot, venue_comparison, moved_files, unused_exports, listing_totals, code_metrics, identifier_length)
+    for f in (labelled_tables, copied_and_placed, numbered_matrix, channel_numbers, scattered_totals, contribution_report, contribution_plot, venue_comparison, moved_files, unused_exports, listing_totals, code_report, code_line_metrics, identifier_length)
 }
 
 _LINES = "WITH lines AS (SELECT DISTINCT path, line_no, value FROM text_lines)"
@@ -175,9 +230,35 @@ SELECT DISTINCT name, a.folder AS from_folder, 'new/' || b.folder AS to_folder F
     "unused_exports": "SELECT c_custkey::VARCHAR AS symbol FROM customer EXCEPT ALL SELECT o_custkey::VARCHAR FROM orders",
     "listing_totals": f"""{_LINES}, f AS (SELECT path, sum(strlen(coalesce(value, '')) + 1)::BIGINT AS length FROM lines GROUP BY path)
 SELECT printf('%8d', length) || ' ' || list_extract(string_split(path, '/'), -1) AS value FROM f UNION ALL SELECT count(*) || ' File(s) ' || sum(length)::BIGINT || ' bytes' FROM f""",
-    "code_metrics": """WITH l AS (SELECT unnest(string_split(text, chr(10))) AS v FROM documents WHERE text IS NOT NULL)
-SELECT count(*) FILTER (WHERE regexp_matches(v, '\\breturn\\b')) AS n_return, count(*) FILTER (WHERE regexp_matches(v, '\\bvoid\\b')) AS n_void, count(*) FILTER (WHERE regexp_matches(v, '/\\*|//')) AS n_comment,
- count(*) FILTER (WHERE regexp_matches(v, '(?i)copyright')) AS n_copyright, count(*) FILTER (WHERE starts_with(v, '{')) AS n_function, count(*) FILTER (WHERE regexp_matches(v, '[@#][ \\t]*include')) AS n_include,
- sum(len(regexp_extract_all(v, '\\b[0-9][x0-9][0-9a-f]*\\b')))::BIGINT AS n_constants, count(*) AS n_lines, sum(strlen(v) + 1)::BIGINT AS n_bytes FROM l""",
+    "code_report": r"""WITH files AS (SELECT coalesce(text, '') AS t, post_type = 'question' AS c, coalesce(source, 'none') AS folder, doc_id FROM documents WHERE post_type IS NOT NULL),
+ escaped AS (SELECT *, regexp_replace(translate(t, '#', '@'), '\\[\\"'']', '@', 'g') AS e FROM files),
+ emptied AS (SELECT *, regexp_replace(regexp_replace(e, '"[^"\n]*"', '""', 'g'), '''[^''\n]*''', '''''', 'g') AS s FROM escaped),
+ bare AS (SELECT *, regexp_replace(s, '(?s)/\*.*?\*/|//[^\n]*', ' ', 'g') AS b FROM emptied),
+ raw AS (SELECT c, v FROM (SELECT c, unnest(string_split(t, chr(10))) AS v FROM files) WHERE v <> ''), l AS (SELECT c, unnest(string_split(b, chr(10))) AS v FROM bare),
+ ids AS (SELECT DISTINCT w FROM (SELECT unnest(regexp_extract_all(b, '[A-Za-z0-9_]+')) AS w FROM bare) WHERE regexp_matches(w, '^[A-Za-z]')),
+ words AS (SELECT c, v, list_distinct(regexp_extract_all(v, '[A-Za-z0-9_]+')) AS w FROM l)
+SELECT 1 AS place, 'FNAMELEN' AS name, round(avg(length(doc_id::VARCHAR) + 2), 6)::DOUBLE::VARCHAR AS value FROM files
+UNION ALL SELECT 2, 'NSTRUCT', count(*)::VARCHAR FROM l WHERE regexp_matches(v, 'struct[ \t]*\{|struct[ \t]*[a-zA-Z_][a-zA-Z0-9_]*[ \t]*\{')
+UNION ALL SELECT 3, 'NTYPEDEF', count(*)::VARCHAR FROM words WHERE list_contains(w, 'typedef')
+UNION ALL SELECT 4, 'NVOID', count(*)::VARCHAR FROM words WHERE list_contains(w, 'void')
+UNION ALL SELECT 5, 'NGETS', count(*)::VARCHAR FROM words WHERE list_contains(w, 'gets')
+UNION ALL SELECT 6, 'IDLEN', round(coalesce(avg(length(w)), 0), 6)::DOUBLE::VARCHAR FROM ids
+UNION ALL SELECT 7, 'CHLINESCHAR', count(*) || ':' || coalesce(sum(strlen(v) + 1), 0)::BIGINT FROM raw
+UNION ALL SELECT 8, 'NCCHAR', round(coalesce(sum(strlen(regexp_replace(t, '(?s)/\*.*?\*/', '', 'g'))), 0) / 1000)::BIGINT::VARCHAR FROM files
+UNION ALL SELECT 9, 'NCOMMENT', count(*)::VARCHAR FROM raw WHERE regexp_matches(v, '/\*|//')
+UNION ALL SELECT 10, 'NCOPYRIGHT', count(*)::VARCHAR FROM raw WHERE contains(lower(v), 'copyright')
+UNION ALL SELECT 11, 'NCFILE', count(*)::VARCHAR FROM files WHERE c
+UNION ALL SELECT 12, 'NCDIR', count(DISTINCT folder)::VARCHAR FROM files WHERE c
+UNION ALL SELECT 13, 'CLINESCHAR', count(*) || ':' || coalesce(sum(strlen(v) + 1), 0)::BIGINT FROM raw WHERE c
+UNION ALL SELECT 14, 'NFUNCTION', count(*)::VARCHAR FROM l WHERE c AND starts_with(v, '{')
+UNION ALL SELECT 15, 'NGOTO', count(*)::VARCHAR FROM words WHERE c AND list_contains(w, 'goto')
+UNION ALL SELECT 16, 'NREGISTER', count(*)::VARCHAR FROM words WHERE c AND list_contains(w, 'register')
+UNION ALL SELECT 17, 'NMACRO', count(*)::VARCHAR FROM l WHERE c AND regexp_matches(v, '@[ \t]*define[ \t][ \t]*[a-zA-Z_][a-zA-Z0-9_]*\(')
+UNION ALL SELECT 18, 'NINCLUDE', count(*)::VARCHAR FROM l WHERE c AND regexp_matches(v, '@[ \t]*include')
+UNION ALL SELECT 19, 'NCONST', coalesce(sum(len(regexp_extract_all(v, '\b[0-9][x0-9][0-9a-f]*\b'))), 0)::BIGINT::VARCHAR FROM l WHERE c
+UNION ALL SELECT 20, 'NHFILE', count(*)::VARCHAR FROM files WHERE NOT c""",
+    "code_line_metrics": r"""WITH l AS (SELECT unnest(string_split(text, chr(10))) AS v FROM documents WHERE text IS NOT NULL)
+SELECT count(*) FILTER (WHERE regexp_matches(v, '\breturn\b')) AS n_return, count(*) FILTER (WHERE regexp_matches(v, '/\*|//')) AS n_comment, count(*) FILTER (WHERE starts_with(v, '{')) AS n_function,
+ count(*) AS n_lines, sum(strlen(v) + 1)::BIGINT AS n_bytes FROM l""",
     "identifier_length": "SELECT round(avg(length(w)), 6) AS average_length FROM (SELECT DISTINCT w FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS w FROM documents) WHERE regexp_matches(w, '^[A-Za-z]'))",
 }

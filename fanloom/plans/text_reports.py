@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fanloom.functions import scalar
 from fanloom.functions.scalar import ascii_lower
 from fanloom.fuse import fuse_columns
 from fanloom.graph import Function, cat, parallel, spread
 from fanloom.operators import match, ordered, project, totals
 from fanloom.operators.compare import compare_counts, compare_sets
+from fanloom.operators.monitor import as_json
 from fanloom.session import table
 from fanloom.stream import Stream, gather
 
@@ -151,13 +153,36 @@ def file_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def compressed_documents(spark: SparkSession, d: str) -> DataFrame:
-    return totals.compressed_sizes(table(spark, d, "documents"), "text", ("doc_id",))
+    """Sizes of every document, and whether the compressed ones are within what each method can give: its frame at least, and little more than the text."""
+    sizes = totals.compressed_sizes(table(spark, d, "documents"), "text", ("doc_id",))
+    most = F.col("bytes") * 1.01 + 700
+    held = (F.col("gzip") >= 20) & (F.col("bzip2") >= 14) & (F.col("xz") >= 32) & (F.greatest("gzip", "bzip2", "xz") <= most)
+    return sizes.select("doc_id", "bytes", held.alias("held"))
 
 
 def content_kinds(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("text IS NOT NULL").groupBy(totals.text_kind(F.col("text").cast("binary")).alias("kind")).agg(F.count("*").alias("n"))
 
 
+def stripped_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Digests of every document without strings and comments, and of it with only letters, digits and single blanks; and its length without vowels."""
+    bare = scalar.strip_comments(F.col("text"))
+    kept = scalar.squeeze_characters(scalar.keep_characters(F.col("text"), "A-Za-z0-9", " "), " ")
+    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.md5(bare.cast("binary")).alias("stripped"), F.md5(kept.cast("binary")).alias("kept"), F.length(scalar.delete_characters(F.col("text"), "aeiou")).alias("n_without_vowels"))
+
+
+def decoded_urls(spark: SparkSession, d: str) -> DataFrame:
+    """Urls with their %xx decoded, null where they cannot be."""
+    urls = table(spark, d, "web_log_report").where("url IS NOT NULL").select("url").distinct()
+    return urls.select("url", scalar.percent_decode(F.col("url")).alias("decoded"))
+
+
+def lines_as_json(spark: SparkSession, d: str) -> DataFrame:
+    """Records as JSON, and what is read from it again."""
+    made = as_json(lines(spark, d).where("path IS NOT NULL AND line_no IS NOT NULL AND value IS NOT NULL"), "path", "line_no", "value")
+    return made.select(*[F.get_json_object("value", f"$.{c}").alias(c) for c in ("path", "line_no", "value")])
+
+
 def source_vocabularies(spark: SparkSession, d: str) -> DataFrame:
     """Words only in questions, only in answers, and in both, as multisets: counts from one aggregation."""
     docs = table(spark, d, "documents")
@@ -180,7 +205,7 @@ def partial_count_lines(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (word_frequency, digrams, trigrams, character_frequency, document_words, scattered_word_count, word_properties, duplicate_documents, duplicate_members, spelling_words, spelling_context, matching_context, match_outputs, match_forms, only_matches, match_phrases, file_metrics, compressed_documents, content_kinds, source_vocabularies, merged_counts, partial_count_lines)
+    for f in (word_frequency, digrams, trigrams, character_frequency, document_words, scattered_word_count, word_properties, duplicate_documents, duplicate_members, spelling_words, spelling_context, matching_context, match_outputs, match_forms, only_matches, match_phrases, file_metrics, compressed_documents, content_kinds, stripped_documents, decoded_urls, lines_as_json, source_vocabularies, merged_counts, partial_count_lines)
 }
 
 _LINES = "WITH lines AS (SELECT DISTINCT path, line_no, value FROM text_lines)"
@@ -222,6 +247,21 @@ UNION ALL SELECT path, NULL, 3 FROM counted WHERE n > 0 UNION ALL SELECT path, N
     "file_metrics": f"""{_LINES} SELECT path, count(*) AS n_lines, sum(strlen(coalesce(value, '')) + 1)::BIGINT AS n_bytes,
  sum(len(list_filter(string_split_regex(coalesce(value, ''), '[ \\t\\n\\r\\f]+'), lambda x: x <> '')))::BIGINT AS n_words, count(*) FILTER (WHERE coalesce(value, '') = '') AS n_empty,
  count(*) FILTER (WHERE regexp_matches(value, '[.!?][ \\t]*\\z')) AS n_ends, round(avg(length(coalesce(value, ''))), 6) AS average_length FROM lines GROUP BY path""",
+    "word_properties": f"""{_WORDS}, d AS (SELECT DISTINCT word FROM words),
+ spots AS (SELECT word, unnest(generate_series(1, length(word) - 3)) AS i FROM d WHERE length(word) > 3),
+ p AS (SELECT word, max(i) AS i FROM spots WHERE substr(word, i::BIGINT, 1) = substr(word, i::BIGINT + 3, 1) AND substr(word, i::BIGINT + 1, 1) = substr(word, i::BIGINT + 2, 1) GROUP BY word),
+ c AS (SELECT word, max(i) AS i FROM spots WHERE regexp_matches(substr(word, i::BIGINT, 4), '^[^aeiouyAEIOUY]*$') GROUP BY word),
+ n AS (SELECT word, CASE WHEN p.i IS NULL THEN '' ELSE 'p: ' || substr(word, p.i::BIGINT, 2) || '-' || substr(word, p.i::BIGINT + 2, 2) END AS palindrome, CASE WHEN c.i IS NULL THEN '' ELSE 'c: ' || substr(word, c.i::BIGINT, 4) END AS consonants,
+  CASE WHEN length(word) > 12 THEN 'l: ' || length(word) ELSE '' END AS long FROM d LEFT JOIN p USING (word) LEFT JOIN c USING (word))
+SELECT * FROM n WHERE palindrome <> '' OR consonants <> '' OR long <> ''""",
+    "compressed_documents": "SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS bytes, true AS held FROM documents",
+    "content_kinds": """WITH k AS (SELECT CASE WHEN text = '' THEN 'empty' WHEN starts_with(text, 'BZh') THEN 'bzip2' WHEN starts_with(text, '%PDF') THEN 'pdf' WHEN starts_with(text, 'PK' || chr(3) || chr(4)) THEN 'zip' ELSE 'text' END AS kind FROM documents WHERE text IS NOT NULL)
+SELECT kind, count(*) AS n FROM k GROUP BY kind""",
+    "stripped_documents": r"""WITH e AS (SELECT doc_id, text, regexp_replace(text, '\\[\\"'']', '@', 'g') AS e FROM documents WHERE text IS NOT NULL),
+ s AS (SELECT doc_id, text, regexp_replace(regexp_replace(e, '"[^"\n]*"', '""', 'g'), '''[^''\n]*''', '''''', 'g') AS s FROM e)
+SELECT doc_id, md5(regexp_replace(s, '(?s)/\*.*?\*/|//[^\n]*', ' ', 'g')) AS stripped, md5(regexp_replace(text, '[^A-Za-z0-9]+', ' ', 'g')) AS kept, length(regexp_replace(text, '[aeiou]', '', 'g'))::INTEGER AS n_without_vowels FROM s""",
+    "decoded_urls": "SELECT DISTINCT url, CASE WHEN NOT regexp_matches(url, '%([^0-9A-Fa-f]|.[^0-9A-Fa-f]|.?$)') THEN url_decode(url) END AS decoded FROM web_log_report WHERE url IS NOT NULL",
+    "lines_as_json": "SELECT path, line_no::VARCHAR AS line_no, value FROM (SELECT DISTINCT path, line_no, value FROM text_lines) WHERE path IS NOT NULL AND line_no IS NOT NULL AND value IS NOT NULL",
     "source_vocabularies": """WITH w AS (SELECT post_type, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS word FROM documents),
  n AS (SELECT word, count(*) FILTER (WHERE post_type = 'question') AS q, count(*) FILTER (WHERE post_type = 'answer') AS a FROM w GROUP BY word)
 SELECT coalesce(sum(greatest(q - a, 0)), 0)::BIGINT AS only_left, coalesce(sum(greatest(a - q, 0)), 0)::BIGINT AS only_right, coalesce(sum(least(a, q)), 0)::BIGINT AS both FROM n""",

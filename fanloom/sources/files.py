@@ -44,15 +44,15 @@ def list_files(spark: SparkSession, folder: str, glob: str = "*", recursive: boo
     return read_files(spark, folder, glob, recursive).select("path", "length", F.col("modificationTime").alias("modified"))
 
 
-def read_log(spark: SparkSession, *paths: str) -> DataFrame:
+def read_log(spark: SparkSession, *paths: str, terminator: str | None = None) -> DataFrame:
     """Typed requests of log files with `reason` and `error_at` for lines that do not load, one line per record."""
-    lines = read_lines(spark, *paths).df
+    lines = read_lines(spark, *paths, terminator=terminator).df
     return lines.withColumn("record", parse_line(F.col("value"))).select("file_no", "path", "line_no", "value", *[f"record.{f.name}" for f in RECORD])
 
 
-def read_log_files(spark: SparkSession, *paths: str) -> DataFrame:
+def read_log_files(spark: SparkSession, *paths: str, terminator: str | None = None) -> DataFrame:
     """(path, line_no, lines, columns of RECORD): typed requests of log files in which quotes may run over line ends."""
-    return text_records(read_lines(spark, *paths).df)
+    return text_records(read_lines(spark, *paths, terminator=terminator).df)
 
 
 def read_delimited(spark: SparkSession, *paths: str, delimiter: str = ",", null: str = "\\N", header: bool = False, schema: str | None = None) -> DataFrame:
@@ -73,12 +73,18 @@ def read_numbers(spark: SparkSession, path: str) -> DataFrame:
     return lines.select((F.col("line_no") - 1).alias("i"), F.btrim("value").try_cast("double").alias("x"))
 
 
-def write_lines(df: DataFrame, path: str, value: str = "value", append: bool = False, compression: str | None = None) -> None:
+def write_lines(df: DataFrame, path: str, value: str = "value", append: bool = False, compression: str | None = None, terminator: str = "\n") -> None:
     """Text files; append adds to what is there."""
-    writer = df.select(F.col(value).cast("string")).write.mode("append" if append else "overwrite")
+    writer = df.select(F.col(value).cast("string")).write.mode("append" if append else "overwrite").option("lineSep", terminator)
     (writer.option("compression", compression) if compression else writer).text(path)
 
 
+def write_by_file(df: DataFrame, folder: str, path: str, order: list[str], value: str = "value") -> None:
+    """One folder of lines for each path, `path=...` with the path encoded, lines in order."""
+    rows = df.select(F.col(path).alias("path"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(order)], F.col(value).cast("string").alias("value"))
+    rows.repartition("path").sortWithinPartitions("path", *[f"_{i}" for i in range(len(order))]).select("path", "value").write.mode("overwrite").partitionBy("path").option("lineSep", "\n").text(folder)
+
+
 def write_to_all(df: DataFrame, paths: list[str], value: str = "value", append: bool = False) -> None:
     """The same records to several places; computed once and kept meanwhile."""
     kept = df.persist()

@@ -20,22 +20,32 @@ class LiveStore:
 
     With a folder, each batch's result is written there and the newest complete one read, so a store may hold any number of
     rows; the one before stays for its readers. Without, it is held by the driver, which is for stores of a few rows.
-    output `complete` and `update` say what a batch writes: all of the result, or what has changed.
+    output says what a batch brings: `complete` all of the result; `update` the rows that have changed, which replace those
+    of equal keys; `append` further rows.
     """
 
-    def __init__(self, name: str, stream: DataFrame, checkpoint: str | None = None, output: str = "complete", folder: str | None = None):
-        self.name, self._spark, self._schema, self.folder = name, stream.sparkSession, stream.schema, folder
+    def __init__(self, name: str, stream: DataFrame, checkpoint: str | None = None, output: str = "complete", folder: str | None = None, keys: tuple[str, ...] = (), once: bool = False):
+        self.name, self._spark, self._schema, self.folder, self.keys = name, stream.sparkSession, stream.schema, folder, list(keys)
         self._newest: int | None = None
+        self._parts: list[int] = []  # batches that make up the value, where they add up
+        if output == "update" and folder and not keys:
+            raise PlanError(f"store {name}: rows that change need keys")
         if folder is None:
             writer = stream.writeStream.format("memory").queryName(name).outputMode(output)
         else:
             writer = stream.writeStream.queryName(name).outputMode(output).foreachBatch(self._write)
+        self._adds = output == "append"
+        writer = writer.trigger(availableNow=True) if once else writer
         self.query: StreamingQuery = (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
 
     def _write(self, batch: DataFrame, number: int) -> None:
+        if self.keys and self._newest is not None:
+            batch = batch.unionByName(self.current().join(batch.select(*self.keys).distinct(), self.keys, "left_anti"))
         batch.write.mode("overwrite").parquet(f"{self.folder}/{number}")
         before, self._newest = self._newest, number
-        if before is not None and before > 0:
+        if self._adds:
+            self._parts.append(number)
+        elif before is not None and before > 0:
             path = self._spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{before - 1}")
             path.getFileSystem(self._spark._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -45,7 +55,7 @@ class LiveStore:
             return self._spark.table(self.name)
         if self._newest is None:
             return self._spark.createDataFrame([], self._schema)
-        return self._spark.read.schema(self._schema).parquet(f"{self.folder}/{self._newest}")
+        return self._spark.read.schema(self._schema).parquet(*[f"{self.folder}/{i}" for i in self._parts or [self._newest]])
 
     def current_or_empty(self, column: str = "value") -> DataFrame:
         """One row at least: the current value, or ''."""
@@ -63,6 +73,8 @@ class LiveStore:
     def last(self) -> DataFrame:
         """The value once everything that is there has been taken in."""
         self.query.processAllAvailable()
+        if self.query.exception():
+            raise self.query.exception()
         return self.current()
 
     def stop(self) -> None:

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fanloom.sources import files
+from fanloom.stream import PlanError
 from fanloom.streaming import live
 from tests import oracle
 from tests.test_records import GOOD
@@ -95,6 +96,49 @@ def test_live_last_records(spark, feed):
     assert tuple(want) in got
 
 
+def test_live_last_span(spark, feed):
+    events, stream = feed
+    store = live.LiveStore("span", live.last_span(stream, "event_type", "ts", "event_id", 48, 12, "h"), output="update")
+    try:
+        got = {r.event_type: tuple(r["values"]) for r in store.last().collect()}  # the last state of each type comes last
+    finally:
+        store.stop()
+    for kind, found in got.items():
+        rows = [(r.ts, str(r.event_id)) for r in events.where(F.col("event_type") == kind).collect()]
+        last = max(t for t, _ in rows)
+        hours = lambda t: (last - t).total_seconds() / 3600
+        assert found == tuple(v for t, v in sorted(rows) if 12 <= hours(t) < 48), kind
+    with pytest.raises(PlanError):
+        live.last_span(stream, "event_type", "ts", "event_id", 1, 2)
+
+
+def test_live_store_in_a_folder(spark, feed, tmp_path):
+    events, stream = feed
+    folder = str(tmp_path / "values")
+    store = live.LiveStore("kept", live.last_records(stream, "event_type", "event_id", "user_id", 1), output="update", folder=folder, keys=("event_type",))
+    try:
+        assert store.current_or_empty("event_type").count() == 1
+        assert store.first(column="event_type").count() > 0
+        got = {r.event_type: r["values"] for r in store.last().collect()}
+    finally:
+        store.stop()
+    assert got == {r.event_type: [str(r.u)] for r in events.groupBy("event_type").agg(F.max_by("user_id", "event_id").alias("u")).collect()}
+    with pytest.raises(PlanError):
+        live.LiveStore("none", live.latest(stream, "event_id", "event_type"), output="update", folder=folder)
+
+
+def test_first_value_is_waited_for(spark, tmp_path):
+    (tmp_path / "empty").mkdir()
+    stream = spark.readStream.schema("event_id long, value string").parquet(str(tmp_path / "empty"))
+    store = live.LiveStore("never", live.latest(stream, "event_id", "value"))
+    try:
+        with pytest.raises(TimeoutError):
+            store.first(0.3)
+        assert store.current_or_empty().collect()[0].value == ""
+    finally:
+        store.stop()
+
+
 def test_once_per_id(spark, feed):
     events, stream = feed
     q = live.once_per_id(stream.unionAll(stream), ["event_id"], "ts", "60 days").writeStream.format("memory").queryName("once").outputMode("append").start()

@@ -59,6 +59,41 @@ def test_pipelines(spark):
         pipeline(spark, "grep --color x")
 
 
+def test_order_after_words(spark):
+    text = lines(spark, ["pear apple", "zoo ant pear", "ant ant b10"])
+    run = lambda p, *more: values(pipeline(spark, p)(text, *more))[0]
+    assert run("words | head -n 3") == ["pear", "apple", "zoo"] and run("words | tail -n 2") == ["ant", "b"]
+    assert run("words | uniq -c") == ["      1 pear", "      1 apple", "      1 zoo", "      1 ant", "      1 pear", "      2 ant", "      1 b"]
+    assert run("words | uniq -u") == ["pear", "apple", "zoo", "ant", "pear", "b"] and run("words | uniq -d") == ["ant"]
+    assert values((block(pipeline(spark, "grep ant"), pipeline(spark, "words")) | paste())(text, lines(spark, ["x y"]))) == [["zoo ant pear\tx", "ant ant b10\ty"]]
+    assert values((block(pipeline(spark, "words"), pipeline(spark, "words")) | pipeline(spark, "cmp"))(lines(spark, ["pear apple"]), lines(spark, ["apple pear"]))) == [["line 1"]]
+    assert run("words | words | wc -l") == ["8"] and run("sort | words | head -n 1") == ["ant"]
+
+
+def test_options_of_grep_and_others(spark):
+    text = lines(spark, ["pear apple", "zoo ant pear", "ant ant b10", "x|y", "last"])
+    run = lambda p: values(pipeline(spark, p)(text))[0]
+    assert run("grep -o a") == ["a"] * 2 + ["a"] * 2 + ["a"] * 2 + ["a"] and run("grep -on 'an*t'") == ["2:ant", "3:ant", "3:ant"]
+    assert run("grep -n pear") == ["1:pear apple", "2:zoo ant pear"] and run("grep -ov a") == [] and run("grep -ohw -i ANT") == ["ant"] * 3
+    assert run("grep -n -A 1 zoo") == ["2:zoo ant pear", "3-ant ant b10"] and run("grep -C1 'x[|]y'") == ["ant ant b10", "x|y", "last"]
+    assert run("grep --context=0 -e b10") == ["ant ant b10"] and run("grep -n -B1 -A0 'apple|last'") == ["1:pear apple", "--", "4-x|y", "5:last"]
+    assert run("cut -d '|' -f 2") == ["pear apple", "zoo ant pear", "ant ant b10", "y", "last"] and run("cut -s -d '|' -f -1") == ["x"]
+    assert run("cut -c 2-3,5-") == ["ea apple", "ooant pear", "ntant b10", "|y", "as"] and run("cut -d ' ' -f 2-") == ["apple", "ant pear", "ant b10", "x|y", "last"]
+    assert run("tr a-c A-C | head -1") == ["peAr Apple"] and run("tr -d aeiou | tail -1") == ["lst"] and run("tr -s p | head -1") == ["pear aple"] and run("tr xy z | tail -n +4") == ["z|z", "last"]
+    assert run("sort -k 2,2") == ["last", "x|y", "ant ant b10", "zoo ant pear", "pear apple"] and run("wc -lwm") == ["5 10 45"] and run("wc -c") == ["45"]
+    assert run("tee -s | parallel -n 3 grep -v zoo | cat | sort | head -n 2") == ["ant ant b10", "last"]
+    assert run("tee | parallel -l a,z grep -c {} | paste") == ["4\t1"]
+    for bad in ("grep --color x", "grep -q x", "grep", "grep a b", "sort -z", "uniq -i", "wc -L", "cut -f 1 -c 1", "cut -f 0", "cut -f 2-1x", "tr a", "tr -ds a", "head x", "tail -f", "comm -4", "paste -s", "diff -u", "join -a 1", "tee x", "parallel words", "parallel -n 0 words", "parallel -n 2 nothing", "words -x", "cat -n", "perm 1,x", "cmp -s", "grep -f x", "grep -f - -c", "merge-sum -x"):
+        with pytest.raises(PlanError):
+            pipeline(spark, bad)
+
+
+def test_several_scripts(spark):
+    a, b, c = lines(spark, ["1", "2"]), lines(spark, ["1"]), lines(spark, ["1", "2", "3"])
+    assert values(pipeline(spark, "diff --from-file=-")(a, b, c)) == [["2d1", "< 2", "2a3", "> 3"]]
+    assert values(pipeline(spark, "diff --to-file=-")(a, b)) == [["1a2", "> 2"]]
+
+
 def test_several_outputs(spark):
     hi = lines(spark, ["hi"])
     out = pipeline(spark, "grep -L -c -l --matching-lines hi")(hi)
@@ -87,6 +122,23 @@ def test_store_server(spark):
         server.quit()
 
 
+def test_server_sends_whole_answers_and_files(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "page.html").write_text("<p>x</p>")
+    (tmp_path / "secret").write_text("s")
+    server = StoreServer(spark, {"many": lambda: spark.range(5000)}, folder=str(tmp_path / "in"))
+    get = lambda p: urllib.request.urlopen(f"http://127.0.0.1:{server.port}/{p}", timeout=60)
+    try:
+        assert len(get("many").read().splitlines()) == 5000
+        page = get("page.html")
+        assert page.read() == b"<p>x</p>" and page.headers["Content-Type"] == "text/html"
+        for outside in ("../secret", "%2e%2e/secret", ""):
+            with pytest.raises(urllib.error.HTTPError):
+                get(outside)
+    finally:
+        server.quit()
+
+
 def test_stored_values_in_a_graph(spark):
     stores = Stores()
     g = tee() | block(echo(spark, "lines:"), store_read(spark, stores, "n"), count() | store_write(stores, "n"), tee()) | cat()
