@@ -242,10 +242,18 @@ def order(nodes, edges: list[tuple[str, str]]) -> list[str]:
     return done
 
 
-def run_graph(nodes: dict[str, Stage], edges: list[tuple[str, str]]) -> dict[str, Bundle]:
-    """Solves and runs a graph of stages; returns the outputs of the nodes without outgoing edges."""
+def run_graph(nodes: dict[str, Stage], edges: list[tuple[str, str]], draw: str | None = None) -> dict[str, Bundle]:
+    """Solves and runs a graph of stages; returns the outputs of the nodes without outgoing edges.
+
+    draw names a file to which the solved graph is written in DOT; nothing is run then.
+    """
     leave = {a for a, _ in edges}
-    sizes = dict(enumerate(solve({k: Node(s.name, s.takes, s.gives if k in leave else ANY) for k, s in nodes.items()}, edges)))
+    sided = {k: Node(s.name, s.takes, s.gives if k in leave else ANY) for k, s in nodes.items()}
+    if draw:
+        with open(draw, "w", encoding="utf-8") as f:
+            f.write(to_dot(sided, edges, with_unused=True) + "\n")
+        return {}
+    sizes = dict(enumerate(solve(sided, edges)))
     ready: dict[int, Bundle] = {}
     results = {}
     for n in order(nodes, edges):

@@ -1,8 +1,9 @@
 """Per-key totals that stay balanced when a few keys hold most rows.
 
 Every map task folds its rows into a hash table of mergeable key states (count and sums); Spark's partial
-HashAggregate is that table, bounded by the task's memory, and spills when full. Only the states shuffle, so a
-key that holds a third of all rows sends one row per map task to its reducer, not its records.
+HashAggregate is that table, bounded by the task's memory, and spills when full. Of totals_by_key() only the states
+shuffle, so a key that holds a third of all rows sends one row per map task to its reducer, not its records. Where
+records can be delivered again, distinct_records() comes first, and shuffles them by their id, which no key makes uneven.
 """
 
 from __future__ import annotations

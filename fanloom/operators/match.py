@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import deque
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,76 +67,48 @@ def multi_match(df: DataFrame, file: str, hit: Column, outputs: list[str], value
     return [made[o]() for o in outputs]
 
 
-def _automaton(strings: Sequence) -> tuple[list[dict], list[int], list[int], list[int]]:
-    """Aho-Corasick over strings or bytes: moves, and for each state where to fall back, the length of the string it ends and the next state that ends a shorter one."""
-    moves, fall, ends, link = [{}], [0], [0], [0]
-    for x in strings:
-        s = 0
-        for c in x:
-            if c not in moves[s]:
-                moves[s][c] = len(moves)
-                moves.append({})
-                fall.append(0), ends.append(0), link.append(0)
-            s = moves[s][c]
-        ends[s] = len(x)
-    todo = deque(moves[0].values())
-    while todo:
-        s = todo.popleft()
-        link[s] = fall[s] if ends[fall[s]] else link[fall[s]]
-        for c, t in moves[s].items():
-            f = fall[s]
-            while f and c not in moves[f]:
-                f = fall[f]
-            fall[t] = moves[f].get(c, 0)
-            todo.append(t)
-    return moves, fall, ends, link
-
-
 def _in_word(c: str) -> bool:
     return c == "_" or c.isalnum() or unicodedata.category(c)[0] == "M"
 
 
-def _holds(automaton: tuple, text: Sequence, word: bool) -> bool:
+def _automaton(strings: list[str]) -> ahocorasick.Automaton:
+    made = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    for x in strings:
+        made.add_word(x, len(x))
+    made.make_automaton()
+    return made
+
+
+def _holds(automaton: ahocorasick.Automaton, text: str, word: bool) -> bool:
     """Whether a text holds one of the automaton's strings; as a word, with no letter, digit or _ of any script beside it."""
-    moves, fall, ends, link = automaton
-    s = 0
-    for i, c in enumerate(text, 1):
-        while s and c not in moves[s]:
-            s = fall[s]
-        s = moves[s].get(c, 0)
-        e = s if ends[s] else link[s]
-        if e and not word:
+    for last, length in automaton.iter(text):
+        begun = last + 1 - length
+        if not word or not (begun and _in_word(text[begun - 1]) or last + 1 < len(text) and _in_word(text[last + 1])):
             return True
-        if e and (i == len(text) or not _in_word(text[i])):
-            while e:
-                if i == ends[e] or not _in_word(text[i - ends[e] - 1]):
-                    return True
-                e = link[e]
     return False
 
 
 def _match_in_blocks(df: DataFrame, text: Column, patterns: DataFrame, word: bool) -> DataFrame:
     """Rows whose text holds one of the strings in the one column of patterns, however many there are.
 
-    Each block of strings has an automaton; a task goes through all blocks for the lines it holds.
+    The strings are a stated set that all lines are held against, in blocks of bounded size: each has an automaton, and a
+    task goes through all blocks for the lines it holds. Blocks are sent out one by one.
     """
     context, blocks, block, n = df.sparkSession.sparkContext, [], [], 0
-    for r in patterns.select(F.col(patterns.columns[0]).cast("binary")).toLocalIterator():
-        block.append(bytes(r[0]))
+    for r in patterns.select(F.col(patterns.columns[0])).toLocalIterator():
+        block.append(r[0])
         n += len(r[0])
         if n >= _BLOCK:
             blocks.append(context.broadcast(block))
             block, n = [], 0
     if block:
         blocks.append(context.broadcast(block))
-    # Bytes are compared as they are; words need characters.
-    read = (lambda x: x.decode("utf-8", "surrogateescape")) if word else (lambda x: x)
 
-    def found(batches: list[pa.RecordBatch], kept: dict[int, tuple]) -> Iterator[pa.RecordBatch]:
-        texts = [read(x) if x is not None else None for b in batches for x in b.column(b.num_columns - 1).to_pylist()]
+    def found(batches: list[pa.RecordBatch], kept: dict[int, ahocorasick.Automaton]) -> Iterator[pa.RecordBatch]:
+        texts = [x for b in batches for x in b.column(b.num_columns - 1).to_pylist()]
         hit = [False] * len(texts)
         for k, block in enumerate(blocks):
-            automaton = kept.get(k) or _automaton([read(x) for x in block.value])
+            automaton = kept.get(k) or _automaton(block.value)
             if len(kept) < _KEPT:
                 kept[k] = automaton
             for i, x in enumerate(texts):
@@ -157,15 +129,16 @@ def _match_in_blocks(df: DataFrame, text: Column, patterns: DataFrame, word: boo
         if held:
             yield from found(held, kept)
 
-    return df.withColumn("_text", text.cast("binary")).mapInArrow(run, df.schema)
+    # Bytes that are no text are replaced on both sides, as Python has no strings for them.
+    return df.withColumn("_text", F.make_valid_utf8(text)).mapInArrow(run, df.schema)
 
 
 def match_pattern_table(df: DataFrame, value: str, patterns: DataFrame, pattern: str, word: bool = False, ids: list[str] | None = None) -> DataFrame:
     """Lines that hold at least one of the fixed strings in a table of patterns; lines alike stay apart.
 
     Whole words meet the patterns in an equi-join, however many there are; ids, all columns by default, tell lines apart,
-    and only they come back from it. Other strings, and words that are no single ASCII token, have to be looked for in each
-    line; a short list of strings is put into one expression, others are gone through in blocks.
+    and only they come back from it. Other strings, and words that are no single ASCII token, are looked for in each line,
+    block by block.
     """
     words = patterns.select(F.lower(F.col(pattern)).alias("_word")).where(F.col("_word") != "").distinct()
     if word:
@@ -181,14 +154,8 @@ def match_pattern_table(df: DataFrame, value: str, patterns: DataFrame, pattern:
         for i, c in enumerate(ids):
             same = same & F.col(c).eqNullSafe(F.col(f"_id{i}"))
         return df.join(hits, same, "left_semi")
-    strings = patterns.select(pattern).where(F.col(pattern) != "").distinct()
-    listed = [r[0] for r in strings.limit(1001).collect()]
-    if len(listed) > 1000:
-        return _match_in_blocks(df, F.col(value), strings, False)
-    hit = F.lit(False)
-    for s in listed:
-        hit = hit | F.contains(F.col(value), F.lit(s))
-    return df.where(hit)
+    strings = patterns.select(F.make_valid_utf8(F.col(pattern)).alias("_string")).where(F.col("_string") != "").distinct()
+    return _match_in_blocks(df, F.col(value), strings, False)
 
 
 def repeated_values(df: DataFrame, key: str) -> DataFrame:

@@ -128,6 +128,11 @@ def pipe_differences(spark: SparkSession, d: str) -> DataFrame:
     return out.where(F.col("value").rlike("^[<>] ")).select("channel", "value")
 
 
+def pipe_commands(spark: SparkSession, d: str) -> DataFrame:
+    """Lines through two programs that treat each line by itself."""
+    return _run(spark, "run sed 's/[0-9]/#/g' | run tr a-z A-Z", _text(spark, d))
+
+
 def pipe_stored_share(spark: SparkSession, d: str) -> DataFrame:
     """Lines with a digit beside the number of all lines, which is stored by one branch and read by another."""
     stores = Stores()
@@ -142,7 +147,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         pipe_word_counts, pipe_words_in_order, pipe_word_runs, pipe_sorted_lines, pipe_sorted_once, pipe_sorted_by_fields, pipe_sorted_by_number, pipe_merged, pipe_matches, pipe_context, pipe_listed_context,
-        pipe_scattered_counts, pipe_lettered_matches, pipe_pasted, pipe_joined, pipe_compared, pipe_differences, pipe_stored_share,
+        pipe_scattered_counts, pipe_lettered_matches, pipe_pasted, pipe_joined, pipe_compared, pipe_differences, pipe_commands, pipe_stored_share,
     )
 }
 
@@ -180,6 +185,7 @@ SELECT row_number() OVER (ORDER BY value) AS line_no, value FROM j""",
     "pipe_compared": """WITH o AS (SELECT o_custkey::VARCHAR AS v FROM orders), c AS (SELECT c_custkey::VARCHAR AS v FROM customer)
 SELECT 1 AS channel, v AS value FROM (SELECT * FROM o EXCEPT ALL SELECT * FROM c) UNION ALL SELECT 2, chr(9) || v FROM (SELECT * FROM c EXCEPT ALL SELECT * FROM o) UNION ALL SELECT 3, chr(9) || chr(9) || v FROM (SELECT * FROM o INTERSECT ALL SELECT * FROM c)""",
     "pipe_differences": """WITH c AS (SELECT concat_ws(',', c_custkey, c_mktsegment) AS v FROM customer) SELECT 1 AS channel, '< ' || v AS value FROM c WHERE contains(v, 'AUTO') UNION ALL SELECT 2, '< ' || v FROM c WHERE contains(v, 'BUILD')""",
+    "pipe_commands": f"{_LINES} SELECT n AS line_no, translate(regexp_replace(value, '[0-9]', '#', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS value FROM text",
     "pipe_stored_share": f"""{_LINES} SELECT count(*) FILTER (WHERE regexp_matches(value, '[0-9]'))::VARCHAR AS with_digit, concat_ws(' ', count(*), sum(len(list_filter(string_split_regex(value, '[ \\t\\n\\r\\f]+'), lambda x: x <> '')))::BIGINT,
  sum(length(value) + 1)::BIGINT, sum(strlen(value) + 1)::BIGINT) AS total FROM text""",
 }

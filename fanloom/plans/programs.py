@@ -90,12 +90,14 @@ def bibliography_comparison(lines: DataFrame, first: str, second: str, order: st
     Authors are compared as multisets, one for each time a record names them.
     """
     v = F.col(value)
+    # How a bibliography's records begin, and the line at which their authors end.
+    record, title = "^<.* mdate=.* key=", "<title>"
     authors, counts = [], []
     for kind in (first, second):
         begins = v.startswith("<") & F.contains(v, F.lit(f'key="{kind}'))
-        kept = ordered.pattern_range(lines.select(order, value), order, begins, F.contains(v, F.lit("<title>")))
+        kept = ordered.pattern_range(lines.select(order, value), order, begins, F.contains(v, F.lit(title)))
         authors.append(kept.select(scalar.tag_text(v, "author").alias("author")).where("author IS NOT NULL"))
-        counts.append(kept.agg(F.count_if(match.matches(v, "^<.* mdate=.* key=")).alias("n")).scalar())
+        counts.append(kept.agg(F.count_if(match.matches(v, record)).alias("n")).scalar())
     both = compare.compare_counts(*authors)
     return both.select(counts[0].alias("first_records"), counts[1].alias("second_records"), F.col("only_left").alias("only_first"), F.col("only_right").alias("only_second"), "both")
 

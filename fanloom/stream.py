@@ -108,11 +108,15 @@ def gather(bundle: Bundle) -> Stream:
         raise PlanError("gather: no channels")
     if isinstance(bundle, Scattered):
         return bundle.gathered()
-    parts = [s.df.withColumn("channel", F.lit(i)) for i, s in enumerate(bundle.streams, 1)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
-    return Stream(out, ("channel", *bundle[0].order))
+    order, parts = bundle[0].order, [s.df for s in bundle.streams]
+    if any(s.order != order for s in bundle.streams):
+        # Channels that are ordered by different columns get one in common.
+        place = free_name("place_no", [c for df in parts for c in df.columns])
+        parts, order = [number_lines(s.df, list(s.order), place) for s in bundle.streams], (place,)
+    out = parts[0].withColumn("channel", F.lit(1))
+    for i, p in enumerate(parts[1:], 2):
+        out = out.unionByName(p.withColumn("channel", F.lit(i)), allowMissingColumns=True)
+    return Stream(out, ("channel", *order))
 
 
 def group_copy(bundle: Bundle, n_out: int) -> Bundle:

@@ -8,8 +8,12 @@ from __future__ import annotations
 
 import re
 import shlex
-from collections.abc import Callable
+import subprocess
+import threading
+from collections import deque
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -306,6 +310,52 @@ def sql(spark: SparkSession, text: str, n_in: int = 1, order: tuple[str, ...] =
     return Function(lambda *s: Stream(spark.sql(text, **{f"in{i}": x.df for i, x in enumerate(s, 1)}), order), n_in, 1, "sql")
 
 
+def command(*argv: str, allowed: tuple[int, ...] = (0, 1)) -> Stage:
+    """Records through a program of the executors' machines, as its input and output lines.
+
+    Each partition of the ordered stream has a process of its own, so the program has to treat every line by itself, as
+    `sed` and `awk` do with most scripts. It is started with these words, without a shell. Another exit code than those
+    allowed is an error.
+    """
+
+    def through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        process = subprocess.Popen(argv, stdin=subprocess.PIPE, stdout=subprocess.PIPE)
+        ready: deque[bytes] = deque()
+        reader = threading.Thread(target=lambda: ready.extend(process.stdout), daemon=True)
+        reader.start()
+        part, at = 0, 0
+
+        def drained(whole: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal at
+            while len(ready) >= 10_000 or whole and ready:
+                found = [ready.popleft().decode("utf-8", "replace").removesuffix("\n") for _ in range(min(len(ready), 10_000))]
+                yield pa.RecordBatch.from_arrays([pa.array([part] * len(found), pa.int32()), pa.array(range(at, at + len(found)), pa.int64()), pa.array(found, pa.string())], ["part_no", "place_no", "value"])
+                at += len(found)
+
+        for b in batches:
+            if b.num_rows:
+                part = b.column(0)[0].as_py()
+            try:
+                process.stdin.write("".join((v or "") + "\n" for v in b.column(1).to_pylist()).encode("utf-8", "replace"))
+            except BrokenPipeError:  # the program has read enough
+                pass
+            yield from drained(False)
+        try:
+            process.stdin.close()
+        except BrokenPipeError:
+            pass
+        reader.join()
+        if process.wait() not in allowed:
+            raise RuntimeError(f"{' '.join(argv)} ended with {process.returncode}")
+        yield from drained(True)
+
+    def run(s: Stream) -> Stream:
+        ranged = s.df.repartitionByRange(*s.order).sortWithinPartitions(*s.order).select(F.spark_partition_id().alias("part_no"), "value")
+        return Stream(ranged.mapInArrow(through, "part_no int, place_no bigint, value string"), ("part_no", "place_no"))
+
+    return Function(run, 1, 1, argv[0])
+
+
 def write(*paths: str, append: bool = False) -> Stage:
     """Takes a stream to files, and gives none."""
     return Function(lambda s: write_to_all(s.df, list(paths), append=append), 1, 0, "write")
@@ -523,7 +573,7 @@ def registry(spark: SparkSession, stores: Stores | None = None) -> dict[str, Cal
         "sort": made_sort, "uniq": made_uniq, "wc": made_count, "grep": made_grep, "join": made_join, "cut": made_cut, "tr": made_tr, "head": made_head, "tail": made_tail, "comm": made_comm, "paste": made_paste,
         "diff": made_diff, "diff3": bare("diff3", diff3), "cmp": bare("cmp", cmp), "cat": bare("cat", cat), "tee": made_tee, "parallel": made_parallel, "words": bare("words", words), "merge-sum": bare("merge-sum", merge_sum),
         "perm": made_perm, "echo": lambda a: echo(spark, *a), "pecho": lambda a: pecho(spark, *a), "read": lambda a: read(spark, *a), "enumerate": lambda a: enumerate_stage(spark, int(Options("enumerate", a).words(1)[0])),
-        "writeval": made_store, "readval": made_read, "write": made_write, "sql": made_sql,
+        "run": lambda a: command(*Options("run", ["--", *a]).words(1, 999)), "writeval": made_store, "readval": made_read, "write": made_write, "sql": made_sql,
     }
     return known
 

@@ -73,7 +73,7 @@ def test_graph_of_stages(spark):
         (tee() | block(upper, upper)).run(Bundle(()), 2)
 
 
-def test_text_graph(spark):
+def test_text_graph(spark, tmp_path):
     def compare(args):
         def fn(a, b):
             return [Stream(x, ("value",)) for x in compare_sets(a.df.select("value"), b.df.select("value"))]
@@ -84,6 +84,7 @@ def test_text_graph(spark):
     nodes, edges = from_text("1 lines a b b c\n2 lines b c d\n3 comm\n4 cat\n%\npipe 1 3\npipe 2 3\npipe 3 4\n", stages)
     out = run_graph(nodes, edges)["4"][0].df
     assert sorted((r.channel, r.value) for r in out.collect()) == [(1, "a"), (1, "b"), (2, "d"), (3, "b"), (3, "c")]
+    assert run_graph(nodes, edges, draw=str(tmp_path / "g.dot")) == {} and '"3" -> "4" [label="3"]' in (tmp_path / "g.dot").read_text()
     dot = to_dot({k: Node(s.name, s.takes, ANY) for k, s in nodes.items()} | {"3": Node("comm", 2, 3)}, edges)
     assert '"3" -> "4" [label="3"]' in dot
     with pytest.raises(PlanError, match="cycle"):

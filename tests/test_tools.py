@@ -70,6 +70,13 @@ def test_order_after_words(spark):
     assert run("words | words | wc -l") == ["8"] and run("sort | words | head -n 1") == ["ant"]
 
 
+def test_channels_of_different_order_are_gathered(spark):
+    made = block(pipeline(spark, "words"), sort(), pipeline(spark, "sort -r"), pipeline(spark, "grep -on '[a-z]'")) | cat()
+    out = made(lines(spark, ["b a", "c"]), lines(spark, ["z", "y"]), lines(spark, ["p", "q"]), lines(spark, ["-", "m-k"]))
+    assert values(out) == [["b", "a", "c", "y", "z", "q", "p", "2:m", "2:k"]]
+    assert values((block(pipeline(spark, "words"), sort()) | cat() | pipeline(spark, "paste"))(lines(spark, ["b a"]), lines(spark, ["z"]))) == [["b", "a", "z"]]
+
+
 def test_options_of_grep_and_others(spark):
     text = lines(spark, ["pear apple", "zoo ant pear", "ant ant b10", "x|y", "last"])
     run = lambda p: values(pipeline(spark, p)(text))[0]
@@ -88,6 +95,18 @@ def test_options_of_grep_and_others(spark):
             pipeline(spark, bad)
 
 
+def test_commands(spark):
+    many = literal(spark, *[f"line {i}" for i in range(3000)])
+    run = lambda p, s: values(pipeline(spark, p)(s))[0]
+    assert run("run sed s/line/no/", many) == [f"no {i}" for i in range(3000)]
+    assert run("run awk '$2 % 1000 == 7 { print; print $2 }' | paste", many) == ["line 7", "7", "line 1007", "1007", "line 2007", "2007"]
+    assert run("run grep nothing | wc -l", many) == ["0"] and run("run cat", lines(spark, ["a", None, "é"])) == ["a", "", "é"] and run("run cat", literal(spark, "x").map(lambda df: df.limit(0))) == []
+    with pytest.raises(Exception, match="ended with 2"):
+        run("run ls --no-such-option", many)
+    with pytest.raises(PlanError):
+        pipeline(spark, "run")
+
+
 def test_several_scripts(spark):
     a, b, c = lines(spark, ["1", "2"]), lines(spark, ["1"]), lines(spark, ["1", "2", "3"])
     assert values(pipeline(spark, "diff --from-file=-")(a, b, c)) == [["2d1", "< 2", "2a3", "> 3"]]
