@@ -3,7 +3,8 @@
 The tokens of the pattern's pieces give prefix sums of token offsets; boundaries of each kind become sorted arrays of such
 offsets. From a piece's start, binary search finds the last boundary within the limit, trying the kinds from paragraphs to
 words; the next piece starts the overlap before that cut. Where no boundary is left (one run without spaces that is longer
-than the limit), the cut is a hard one between tokens, at a whole character.
+than the limit), the cut is a hard one between tokens, at a whole character. A piece that comes to more tokens on its own
+is cut earlier.
 """
 
 from __future__ import annotations
@@ -114,6 +115,8 @@ class _Offsets:
 def split(text: str | None, limit: int, overlap: int, bpe: BytePairEncoder) -> list[Piece]:
     """Pieces of at most limit tokens that cover the text; each but the first repeats the last overlap tokens of the one before.
 
+    A piece is within the limit both as a part of the whole text's tokens and encoded on its own.
+
     Where the repeated part would begin within a character, it begins with that whole character, up to three tokens before.
     A boundary of a strong kind is taken if the piece then holds at least half the limit; words, and parts of words, too if not.
     Null and empty texts have no pieces.
@@ -128,20 +131,32 @@ def split(text: str | None, limit: int, overlap: int, bpe: BytePairEncoder) -> l
     if at.total <= limit:
         return [Piece(0, at.total, 0, len(text), "end")]
     kinds, pieces, start, char_start = at.boundaries(), [], 0, 0
-    while at.total - start > limit:
-        most, least = start + limit, start + limit // 2
-        fallback = start + overlap + 4
-        for kind, offsets in kinds:
-            k = bisect_right(offsets, most) - 1
-            if k >= 0 and offsets[k] >= (least if kind not in ("word", "part") else fallback):
-                end, char_end = offsets[k], at.char(offsets[k])
+    while True:
+        most = min(start + limit, at.total)
+        while True:
+            if most == at.total:
+                kind, end, char_end = "end", at.total, len(text)
+            else:
+                kind, end, char_end = _cut(at, kinds, start, most, limit, overlap)
+            # On its own, a piece's text can come to other tokens than within the whole, as its ends are cut anew.
+            over = bpe.count(text[char_start:char_end]) - limit
+            if over <= 0 or end <= start + overlap + 4:
                 break
-        else:
-            kind, (end, char_end) = "token", at.whole(most)
+            most = max(end - over, start + overlap + 4)
         pieces.append(Piece(start, end, char_start, char_end, kind))
+        if kind == "end":
+            return pieces
         start, char_start = at.whole(end - overlap)
-    pieces.append(Piece(start, at.total, char_start, len(text), "end"))
-    return pieces
+
+
+def _cut(at: _Offsets, kinds: list[tuple[str, list[int]]], start: int, most: int, limit: int, overlap: int) -> tuple[str, int, int]:
+    """The kind, token and character of the last boundary up to `most`, or of a hard cut there."""
+    least, fallback = start + limit // 2, start + overlap + 4
+    for kind, offsets in kinds:
+        k = bisect_right(offsets, most) - 1
+        if k >= 0 and offsets[k] >= (least if kind not in ("word", "part") else fallback):
+            return kind, offsets[k], at.char(offsets[k])
+    return "token", *at.whole(most)
 
 
 def split_documents(docs: DataFrame, limit: int = 1024, overlap: int = 64, doc_id: str = "doc_id", text: str = "text", path: str = BYTE_BPE_50K, with_text: bool = True) -> DataFrame:

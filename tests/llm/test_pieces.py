@@ -45,6 +45,23 @@ def test_random_texts():
         check(text, 64, 9)
 
 
+def test_pieces_are_within_the_limit_on_their_own():
+    """A vocabulary in which what a cut leaves comes to more tokens than it had in the whole text."""
+    bpe = encoder()
+
+    class Strict:
+        def __getattr__(self, name):
+            return getattr(bpe, name)
+
+        def count(self, text):
+            return bpe.count(text) + (2 if text[:1].isspace() else 0) + (3 if text.endswith("e") else 0)
+
+    text = "one two three. four\n" * 300
+    found = split(text, 64, 5, Strict())
+    assert all(Strict().count(text[p.char_start : p.char_end]) <= 64 and p.end - p.start <= 64 for p in found)
+    assert text[: found[0].char_end] + "".join(text[p.char_end : q.char_end] for p, q in zip(found, found[1:])) == text
+
+
 def test_boundaries_come_before_hard_cuts():
     kinds = lambda text, limit, overlap=0: [p.cut for p in check(text, limit, overlap)]
     assert set(kinds("One two three four five.\n\n" * 40, 64)) == {"paragraph", "end"}
