@@ -145,7 +145,7 @@ class _Level:
 
 
 def activity(df: DataFrame, entity: Column, tick: Column, ids: list[Column] | None = None, chunk: int = CHUNK) -> DataFrame:
-    """(entity, chunk, tick, events): events per entity and tick, each record once; partitioned by entity and chunk of `chunk` ticks.
+    """(entity, chunk, tick, events): events per entity and tick, each record once; partitioned by entity and chunk, the first of `chunk` ticks.
 
     ids identify a record that may be delivered again for the same entity and tick; without ids each row is an event.
     Rows with a null entity or tick take no part; a null id is an id like any other.
@@ -155,14 +155,20 @@ def activity(df: DataFrame, entity: Column, tick: Column, ids: list[Column] | No
     """
     names = [f"id{i}" for i in range(len(ids or []))]
     rows = df.select(entity.cast("string").alias("entity"), tick.cast("bigint").alias("tick"), *[c.alias(n) for c, n in zip(ids or [], names)]).dropna(subset=["entity", "tick"])
-    rows = rows.withColumn("chunk", F.floor(F.col("tick") / chunk))
-    key = ["entity", "chunk", "tick"]
+    key, at = ["entity", "chunk", "tick"], _start("tick", chunk)
     if names:
-        parts = shuffle_partitions(df.sparkSession)
-        once = rows.withColumn("part", F.pmod(F.xxhash64(*names), F.lit(parts)).cast("int")).repartition("entity", "chunk", "part").distinct()
-        counted = once.groupBy(*key, "part").agg(F.count("*").alias("events")).drop("part")
-        return counted.repartition("entity", "chunk").groupBy(*key).agg(F.sum("events").alias("events"))
-    return rows.groupBy(*key).agg(F.count("*").alias("events")).repartition("entity", "chunk")
+        # What is derived is computed again behind the shuffle, where Spark knows it by its expression, so it is not sent.
+        part = F.pmod(F.xxhash64(*names), F.lit(shuffle_partitions(df.sparkSession))).cast("int")
+        once = rows.repartition("entity", at, part).withColumn("chunk", at).withColumn("part", part).distinct()
+        counted = once.groupBy(*key, "part").agg(F.count("*").alias("events")).select("entity", "tick", "events")
+    else:
+        counted = rows.groupBy("entity", "tick").agg(F.count("*").alias("events"))
+    return counted.repartition("entity", at).withColumn("chunk", at).groupBy(*key).agg(F.sum("events").alias("events"))
+
+
+def _start(tick: str, width: int) -> Column:
+    """The first tick of the stretch of that width in which a tick lies."""
+    return F.col(tick) - F.pmod(F.col(tick), F.lit(width).cast("bigint"))
 
 
 def gap_tree(ticks: DataFrame, cut: int | None = None, chunk: int = CHUNK, span: int = SPAN) -> DataFrame:
@@ -189,7 +195,7 @@ def gap_tree(ticks: DataFrame, cut: int | None = None, chunk: int = CHUNK, span:
 
     # Finished nodes and open items go through one shuffle, so each level runs once.
     made = items.sortWithinPartitions("entity", "start").mapInArrow(level(["entity", "chunk"], False), _NODES)
-    spans = made.withColumn("span", F.floor(F.col("start") / (chunk * span))).repartition("entity", "span").sortWithinPartitions("entity", "start")
+    spans = made.withColumn("span", _start("start", chunk * span)).repartition("entity", "span").sortWithinPartitions("entity", "start")
     made = spans.mapInArrow(level(["entity", "span"], False), _NODES)
     return made.repartition("entity").sortWithinPartitions("entity", "start").mapInArrow(level(["entity"], True), _NODES).drop("open")
 
