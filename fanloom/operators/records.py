@@ -27,6 +27,8 @@ from fanloom.session import free_name
 
 _BLANKS = re.compile(r"[ \t]*")
 _RETURNS = re.compile(r"\r*")
+# A field that needs no closer look, with the blanks after it or at a line end: a plain, bracketed or quoted run.
+_TOKEN = re.compile(r'''([^ \t\r\n"\\[][^ \t\r\n"\\]*|\[[^]"\\\r\n]*\]|"[^"\\\n]*")(?:([ \t]+)|(?=\n))''')
 # Runs without anything a rule has to look at; an escaped quote or backslash is passed over as a pair.
 _PLAIN = re.compile(r'(?:[^ \t\r\n"\\]+|\\["\\]?)+')
 _QUOTED = re.compile(r'(?:[^"\\\n]+|\\[^\n]?)*')
@@ -100,10 +102,21 @@ class Parser:
 
     def record(self) -> tuple:
         self.crossed, self.seen, begun = -1, 0, self.at
-        fields = []
-        while not self.closed():
+        fields, text, end = [], self.text, self.end
+        while self.at < end:
+            at = self.at
+            # Most fields are one token, blanks included; all others are read rule by rule.
+            m = _TOKEN.match(text, at)
+            if m and (m[2] or self.line_ends(m.end())) and (text[at] != '"' or self.seen == 0 and at > begun):
+                if text[at] == '"':
+                    self.seen, self.opened = 2, at
+                fields.append((m[1], at))
+                self.at = m.end()
+                continue
+            if self.closed():
+                break
             fields.append(self.field(begun))
-            self.at = _BLANKS.match(self.text, self.at).end()
+            self.at = _BLANKS.match(text, self.at).end()
         stop = self.at
         if self.seen not in (0, 2):
             raise Bad("quoting", self.opened)
