@@ -49,3 +49,11 @@ def shared(df: DataFrame, consumers: int) -> DataFrame:
         df.persist(StorageLevel.MEMORY_AND_DISK)
         kept.append(df)
     return df
+
+
+def made_once(df: DataFrame, *keys: str) -> DataFrame:
+    """df for several readers within one query, made once: it passes a shuffle by its keys, which the readers share.
+
+    Rows are handed on behind it as they are, so that no reader's choice of columns changes what is planned below.
+    """
+    return df.repartition(*keys).mapInArrow(lambda batches: batches, df.schema)

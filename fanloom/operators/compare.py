@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fanloom.fuse import made_once
 from fanloom.operators import ordered
 from fanloom.stream import PlanError, number_lines, repeated
 
@@ -140,20 +141,21 @@ def _scripts(sides: list[DataFrame], line: str, value: str, script: Callable, gr
     """
     by, each = (["_by"] if group else []), range(len(sides))
     texts = [df.select(*([F.col(group).alias("_by")] if group else []), F.col(line).cast("bigint").alias("n"), F.coalesce(value, F.lit("")).alias("v")) for df in sides]
-    anchors = _anchors(texts, by, spacing, chunk)
+    anchors = made_once(_anchors(texts, by, spacing, chunk), *by, "n0")
     rows = None
     for i, df in enumerate(texts):
         hit = df.join(anchors.select(*by, F.col(f"n{i}").alias("n"), F.lit(1).alias("_a")), [*by, "n"], "left")
-        cut = ordered.running(hit, "n", {"segment": F.coalesce("_a", F.lit(0)).cast("bigint")}, tuple(by), chunk=chunk)
-        begun = ordered.last_match(cut, "n", {"_begun": F.col("_a").isNotNull()}, tuple(by), chunk=chunk)
-        placed = begun.select(*by, "segment", F.floor((F.col("n") - F.coalesce("_begun", F.lit(1))) / most).alias("part"), F.lit(i).alias("i"), "n", "v")
+        cut = ordered.scan(hit, "n", {"segment": F.coalesce("_a", F.lit(0)).cast("bigint")}, {"_begun": F.col("_a").isNotNull()}, tuple(by), chunk=chunk)
+        placed = cut.select(*by, "segment", F.floor((F.col("n") - F.coalesce("_begun", F.lit(1))) / most).alias("part"), F.lit(i).alias("i"), "n", "v")
         rows = placed if rows is None else rows.unionAll(placed)
     key = [*by, "segment", "part"]
     lists = [F.transform(F.array_sort(F.collect_list(F.when(F.col("i") == i, F.struct("n", "v")))), lambda x: x["v"]).alias(f"c{i}") for i in each]
     last = [F.max(F.when(F.col("i") == i, F.col("n"))).alias(f"m{i}") for i in each]
     # A piece's lines stand behind the last line of the pieces before it; one row for each piece.
     before = (Window.partitionBy(*by) if by else Window).orderBy("segment", "part").rowsBetween(Window.unboundedPreceding, -1)
-    places = rows.groupBy(*key).agg(*last).select(*key, *[F.coalesce(F.max(f"m{i}").over(before), F.lit(0)).alias(f"e{i}") for i in each])
+    # Both readers of the rows use all their columns, so that they share the shuffle.
+    rows = rows.repartition(*key)
+    places = rows.groupBy(*key).agg(*last, F.max(F.octet_length("v")).alias("_width")).where("_width >= 0").select(*key, *[F.coalesce(F.max(f"m{i}").over(before), F.lit(0)).alias(f"e{i}") for i in each])
     same = None
     for k in key:
         equal = F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))

@@ -45,51 +45,46 @@ def previous(df: DataFrame, order: str, value: str, by: tuple[str, ...] = (), na
     )
 
 
-def running(df: DataFrame, order: str, sums: dict[str, Column], by: tuple[str, ...] = (), inclusive: bool = True, chunk: int = CHUNK) -> DataFrame:
-    """df with running sums in order, with the record itself or up to the one before."""
-    by, names = list(by), list(sums)
-    rows = _chunked(df, order, chunk)
-    for n, c in sums.items():
-        rows = rows.withColumn(f"_v_{n}", c)
+def scan(df: DataFrame, order: str, sums: dict[str, Column], lasts: dict[str, Column], by: tuple[str, ...] = (), inclusive: bool = True, chunk: int = CHUNK) -> DataFrame:
+    """df with running sums, and for each condition the order of the last record that meets it, in one pass.
+
+    With the record itself, or up to the one before. A sum over nothing is 0, and the last of none is null.
+    """
+    by = list(by)
+    values = [(n, F.sum, c) for n, c in sums.items()] + [(n, F.max, F.when(c, F.col(order))) for n, c in lasts.items()]
+    rows = _chunked(df, order, chunk).select("*", *[c.alias(f"_v_{n}") for n, _, c in values])
     near = Window.partitionBy(*by, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     far = (Window.partitionBy(*by) if by else Window).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    totals = rows.groupBy(*by, "_chunk").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in names])
-    shifts = totals.select(*by, "_chunk", *[F.coalesce(F.sum(f"_t_{n}").over(far), F.lit(0)).alias(f"_s_{n}") for n in names])
-    for n in names:
-        rows = rows.withColumn(n, F.coalesce(F.sum(f"_v_{n}").over(near), F.lit(0)))
-    joined = _with_summary(rows, shifts, by, [f"_s_{n}" for n in names])
-    for n in names:
-        joined = joined.withColumn(n, F.col(n) + F.col(f"_s_{n}"))
-    return joined.drop("_chunk", *[f"_v_{n}" for n in names], *[f"_s_{n}" for n in names])
+    ends = rows.groupBy(*by, "_chunk").agg(*[f(f"_v_{n}").alias(f"_t_{n}") for n, f, _ in values])
+    before = ends.select(*by, "_chunk", *[f(f"_t_{n}").over(far).alias(f"_s_{n}") for n, f, _ in values])
+    within = rows.select("*", *[f(f"_v_{n}").over(near).alias(f"_w_{n}") for n, f, _ in values])
+    joined = _with_summary(within, before, by, [f"_s_{n}" for n, *_ in values])
+    nought = F.lit(0)
+    for n, f, _ in values:
+        here, there = F.col(f"_w_{n}"), F.col(f"_s_{n}")
+        joined = joined.withColumn(n, F.coalesce(here, nought) + F.coalesce(there, nought) if f is F.sum else F.coalesce(here, there))
+    return joined.drop("_chunk", *[f"_{x}_{n}" for n, *_ in values for x in "vws"])
+
+
+def running(df: DataFrame, order: str, sums: dict[str, Column], by: tuple[str, ...] = (), inclusive: bool = True, chunk: int = CHUNK) -> DataFrame:
+    """df with running sums in order, with the record itself or up to the one before."""
+    return scan(df, order, sums, {}, by, inclusive, chunk)
 
 
 def last_match(df: DataFrame, order: str, hits: dict[str, Column], by: tuple[str, ...] = (), inclusive: bool = True, chunk: int = CHUNK) -> DataFrame:
     """df with, for each condition, the order of the last record so far that meets it, with the record itself or before it; null if none."""
-    by, names = list(by), list(hits)
-    rows = _chunked(df, order, chunk)
-    for n, c in hits.items():
-        rows = rows.withColumn(f"_v_{n}", F.when(c, F.col(order)))
-    near = Window.partitionBy(*by, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    far = (Window.partitionBy(*by) if by else Window).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    ends = rows.groupBy(*by, "_chunk").agg(*[F.max(f"_v_{n}").alias(f"_t_{n}") for n in names])
-    before = ends.select(*by, "_chunk", *[F.max(f"_t_{n}").over(far).alias(f"_s_{n}") for n in names])
-    for n in names:
-        rows = rows.withColumn(n, F.max(f"_v_{n}").over(near))
-    joined = _with_summary(rows, before, by, [f"_s_{n}" for n in names])
-    for n in names:
-        joined = joined.withColumn(n, F.coalesce(F.col(n), F.col(f"_s_{n}")))
-    return joined.drop("_chunk", *[f"_v_{n}" for n in names], *[f"_s_{n}" for n in names])
+    return scan(df, order, {}, hits, by, inclusive, chunk)
 
 
 def extremes(df: DataFrame, order: str, value: str, by: tuple[str, ...] = (), chunk: int = CHUNK) -> DataFrame:
     """df with `_before`, the largest value of the records before each, and `_after`, the smallest of those behind it; null if none."""
     by, rows = list(by), _chunked(df, order, chunk)
-    near, far = Window.partitionBy(*by, "_chunk").orderBy(order), (Window.partitionBy(*by) if by else Window).orderBy("_chunk")
-    back = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    ahead = lambda w: w.rowsBetween(1, Window.unboundedFollowing)
+    # What lies behind a record is what lies before it in descending order; frames that begin at a record would be gone through again for each.
+    back = lambda keys, c: Window.partitionBy(*keys).orderBy(c).rowsBetween(Window.unboundedPreceding, -1)
+    near, far = [*by, "_chunk"], by
     ends = rows.groupBy(*by, "_chunk").agg(F.max(value).alias("_most"), F.min(value).alias("_least"))
-    outer = ends.select(*by, "_chunk", F.max("_most").over(back(far)).alias("_most"), F.min("_least").over(ahead(far)).alias("_least"))
-    inner = rows.select("*", F.max(value).over(back(near)).alias("_before"), F.min(value).over(ahead(near)).alias("_after"))
+    outer = ends.select(*by, "_chunk", F.max("_most").over(back(far, F.asc("_chunk"))).alias("_most"), F.min("_least").over(back(far, F.desc("_chunk"))).alias("_least"))
+    inner = rows.select("*", F.max(value).over(back(near, F.asc(order))).alias("_before"), F.min(value).over(back(near, F.desc(order))).alias("_after"))
     joined = _with_summary(inner, outer, by, ["_most", "_least"])
     return joined.withColumn("_before", F.greatest("_before", "_most")).withColumn("_after", F.least("_after", "_least")).drop("_chunk", "_most", "_least")
 
