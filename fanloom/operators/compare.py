@@ -140,7 +140,8 @@ def _scripts(sides: list[DataFrame], line: str, value: str, script: Callable, gr
     lines of a text at once, whatever the texts are.
     """
     by, each = (["_by"] if group else []), range(len(sides))
-    texts = [df.select(*([F.col(group).alias("_by")] if group else []), F.col(line).cast("bigint").alias("n"), F.coalesce(value, F.lit("")).alias("v")) for df in sides]
+    # Texts may be the ends of long pipelines, and are read for anchors and for pieces.
+    texts = [made_once(df.select(*([F.col(group).alias("_by")] if group else []), F.col(line).cast("bigint").alias("n"), F.coalesce(value, F.lit("")).alias("v")), *by, "n") for df in sides]
     anchors = made_once(_anchors(texts, by, spacing, chunk), *by, "n0")
     rows = None
     for i, df in enumerate(texts):
