@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fanloom.llm.bpe import BYTE_BPE_50K, token_count
+from fanloom.fuse import made_once
 from fanloom.session import free_name
 
 #: Parts into which a source's documents are spread when they meet their rate.
@@ -23,11 +24,8 @@ def measured(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", te
 
 
 def kept(sizes: DataFrame) -> DataFrame:
-    """What measured() gives, for several readers of one query: it is made once, as the readers share the shuffle that spreads it.
-
-    The sizes pass a shuffle by document and source, and are handed on as they are, so that each reader plans the same below.
-    """
-    return sizes.repartition("doc_id", "source").mapInArrow(lambda batches: batches, sizes.schema)
+    """What measured() gives, for several readers of one query, who share it: texts are tokenised once."""
+    return made_once(sizes, "doc_id", "source")
 
 
 def rates(sizes: DataFrame, targets: DataFrame) -> DataFrame:
