@@ -2,10 +2,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from fanloom.arity import ANY, Node, solve
+from fanloom.fuse import made_once
 from fanloom.graph import Function, block, cat, from_text, order, parallel, perm, run_graph, spread, stage, tee, to_dot
 from fanloom.operators.compare import compare_sets
 from fanloom.store import Stores, last_record, record_window
-from fanloom.stream import Bundle, PlanError, Stream, enumerate_channels, gather, group_copy, group_gather, literal, number_lines, permute, scatter
+from fanloom.stream import Bundle, PlanError, Stream, enumerate_channels, gather, group_copy, group_gather, literal, number_lines, permute, repeated, scatter
 
 
 def values(bundle):
@@ -137,8 +138,24 @@ def test_numbered_lines(spark):
     out = number_lines(many, [F.desc("v")], copies="n")
     assert out.columns == ["v", "line_no"] and [tuple(r) for r in out.groupBy("v").agg(F.min("line_no"), F.max("line_no"), F.count_distinct("line_no")).orderBy("v").collect()] == [("a", 5, 40_004, 40_000), ("b", 2, 4, 3), ("c", 1, 1, 1)]
     assert number_lines(many.limit(0), ["v"]).count() == 0 and number_lines(many.withColumn("_at", F.lit(1)), ["v"]).columns == ["v", "n", "_at", "line_no"]
+    nulls = number_lines(spark.createDataFrame([(None, "x"), ("b", None), (None, "y"), ("a", "z")], "v string, w string"), ["v", F.desc("w")])
+    assert [tuple(r) for r in nulls.orderBy("line_no").collect()] == [(None, "y", 1), (None, "x", 2), ("a", "z", 3), ("b", None, 4)]
     one = number_lines(spark.range(500).select(F.lit(1).alias("v")), ["v"])
     assert sorted(r.line_no for r in one.collect()) == list(range(1, 501))
     df = spark.range(1000).select(((F.col("id") * 7919) % 1009).alias("v"), F.lit("x").alias("line"))
     out = number_lines(df, ["v"]).orderBy("line_no").collect()
     assert [r.line_no for r in out] == list(range(1, 1001)) and [r.v for r in out] == sorted(r.v for r in out)
+
+
+def test_readers_share_what_is_made_once(spark):
+    df = made_once(spark.range(100).select("id", (F.col("id") % 7).alias("k"), F.rand().alias("r")), "id")
+    both = df.join(df.groupBy("k").agg(F.sum("r").alias("s")), "k").groupBy("k").agg(F.sum("r").alias("r"), F.first("s").alias("s"))
+    assert all(abs(x.r - x.s) < 1e-9 for x in both.collect())
+    plan = both._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Range (") == 1
+
+
+def test_rows_are_repeated_in_blocks(spark):
+    df = spark.createDataFrame([("a", 5), ("b", 0), ("c", None), (None, 3)], "v string, n int")
+    assert sorted(((r.v or "") for r in repeated(df, "n", block=2).collect())) == ["", "", ""] + ["a"] * 5
+    assert [r.at for r in repeated(df.where("v = 'a'").withColumn("at", F.lit(10)), "n", "at", 2).orderBy("at").collect()] == [10, 11, 12, 13, 14]
