@@ -9,7 +9,7 @@ from fanloom.functions.weblog import host_key, request_minute
 from fanloom.operators.hot_keys import hot_keys, weblog_totals
 from fanloom.operators.records import loaded, rejected, text_records
 from fanloom.operators.sessions import activity, gap_tree, sessions_at, weblog_sessions
-from fanloom.session import table
+from fanloom.session import spread, table
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -38,7 +38,7 @@ def p3_totals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _raw_log(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "raw_log").select("line_id", "value")
+    return spread(table(spark, d, "raw_log").select("line_id", "value"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

@@ -10,6 +10,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: The setting by which a session asks for rows to be spread ahead of costly work.
+SPREAD = "spark.fanloom.spread"
+
+
 def local_session(cores: str | int = "*", partitions: int = 8, app: str = "fanloom") -> SparkSession:
     """A single-machine session for tests and the benchmark; a cluster brings its own."""
     return (
@@ -21,6 +25,7 @@ def local_session(cores: str | int = "*", partitions: int = 8, app: str = "fanlo
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
+        .config(SPREAD, "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
@@ -30,6 +35,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores ahead of costly work on each row, if the session asks for that by the setting SPREAD.
+
+    For a single machine, whose tables are files of one row group, which no scan can split. Not set, as on a cluster, tables
+    are read where they lie. Either way, the plan does not depend on how large they are.
+    """
+    if df.sparkSession.conf.get(SPREAD, "false") != "true":
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def work_folder(spark: SparkSession, name: str) -> str:
     """A new folder for files that a program writes and reads again: below the shared one that the cluster names in spark.checkpoint.dir.
 

@@ -5,6 +5,7 @@ from fanloom.arity import ANY, Node, solve
 from fanloom.fuse import made_once
 from fanloom.graph import Function, block, cat, from_text, order, parallel, perm, run_graph, spread, stage, tee, to_dot
 from fanloom.operators.compare import compare_sets
+from fanloom.session import SPREAD, spread
 from fanloom.store import Stores, last_record, record_window
 from fanloom.stream import Bundle, PlanError, Stream, enumerate_channels, gather, group_copy, group_gather, literal, number_lines, permute, repeated, scatter
 
@@ -147,6 +148,16 @@ def test_numbered_lines(spark):
     assert [r.line_no for r in out] == list(range(1, 1001)) and [r.v for r in out] == sorted(r.v for r in out)
 
 
+def test_rows_are_spread_where_the_session_asks(spark):
+    shuffles = lambda: spread(spark.range(10, numPartitions=1))._jdf.queryExecution().optimizedPlan().toString().count("Repartition")
+    assert shuffles() == 1
+    spark.conf.set(SPREAD, "false")
+    try:
+        assert shuffles() == 0
+    finally:
+        spark.conf.set(SPREAD, "true")
+
+
 def test_readers_share_what_is_made_once(spark):
     df = made_once(spark.range(100).select("id", (F.col("id") % 7).alias("k"), F.rand().alias("r")), "id")
     both = df.join(df.groupBy("k").agg(F.sum("r").alias("s")), "k").groupBy("k").agg(F.sum("r").alias("r"), F.first("s").alias("s"))
