@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fanloom.functions.weblog import area, host_key, url_key
 from fanloom.llm import bpe, distinct, frequency, heavy, mixture, pieces
 from fanloom.operators.hot_keys import distinct_records
-from fanloom.session import table
+from fanloom.session import spread, table
 
 
 def _frequencies(spark: SparkSession, d: str) -> DataFrame:
@@ -58,7 +58,7 @@ def p5_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", "source", "text")
+    return spread(table(spark, d, "documents").select("doc_id", "source", "text"))
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
