@@ -5,7 +5,7 @@ from fanloom.arity import ANY, Node, solve
 from fanloom.fuse import made_once
 from fanloom.graph import Function, block, cat, from_text, order, parallel, perm, run_graph, spread, stage, tee, to_dot
 from fanloom.operators.compare import compare_sets
-from fanloom.session import SPREAD, spread
+from fanloom.session import SPREAD, spread as spread_rows
 from fanloom.store import Stores, last_record, record_window
 from fanloom.stream import Bundle, PlanError, Stream, enumerate_channels, gather, group_copy, group_gather, literal, number_lines, permute, repeated, scatter
 
@@ -149,7 +149,7 @@ def test_numbered_lines(spark):
 
 
 def test_rows_are_spread_where_the_session_asks(spark):
-    shuffles = lambda: spread(spark.range(10, numPartitions=1))._jdf.queryExecution().optimizedPlan().toString().count("Repartition")
+    shuffles = lambda: spread_rows(spark.range(10, numPartitions=1))._jdf.queryExecution().optimizedPlan().toString().count("Repartition")
     assert shuffles() == 1
     spark.conf.set(SPREAD, "false")
     try:
